@@ -28,6 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import materialize
 
@@ -45,7 +46,7 @@ def letters_of(line: Column) -> Column:
     return F.regexp_replace(F.lower(line), r"[^\p{L}]+", "")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _minus_log10_p(k1: pd.Series, n1: pd.Series, k2: pd.Series, n2: pd.Series) -> pd.Series:
     """-log10 of the one-sided p-value of the log-likelihood ratio for k1 of n1 against k2 of n2."""
     a, b, c, d = (np.asarray(x, float) for x in (k1, n1, k2, n2))
