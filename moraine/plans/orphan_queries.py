@@ -21,14 +21,14 @@ QUERIES = {"p3_found": p3_found, "p3_report": p3_report}
 
 _FOUND = """
 WITH refs AS (
-  SELECT 'qrels' AS tbl, qid, docid AS ref_key, judged_at AS at, docid FROM qrels WHERE docid IS NOT NULL
+  SELECT 'qrels' AS tbl, qid, docid AS ref_key, judged_at AS ts, docid FROM qrels WHERE docid IS NOT NULL
   UNION
   SELECT 'tuples', qid, u.pid, built_at, p.docid FROM (SELECT qid, built_at, unnest(pids) AS pid FROM tuples) u LEFT JOIN passage_to_doc p ON u.pid = p.pid WHERE u.pid IS NOT NULL),
 born AS (SELECT docid, min(ingested_at) AS born FROM msmarco_docs GROUP BY docid),
 gone AS (SELECT docid, min(removed_at) AS gone FROM doc_removals GROUP BY docid),
 judged AS (
-  SELECT tbl, strftime(at AT TIME ZONE 'UTC', '%Y-%m') AS ref_month, qid, ref_key,
-    CASE WHEN r.docid IS NULL THEN 'missing' WHEN gone <= at THEN 'deleted' WHEN b.docid IS NULL THEN 'missing' WHEN born > at THEN 'late' END AS kind
+  SELECT tbl, strftime(ts AT TIME ZONE 'UTC', '%Y-%m') AS ref_month, qid, ref_key,
+    CASE WHEN r.docid IS NULL THEN 'missing' WHEN gone <= ts THEN 'deleted' WHEN b.docid IS NULL THEN 'missing' WHEN born > ts THEN 'late' END AS kind
   FROM refs r LEFT JOIN born b ON r.docid = b.docid LEFT JOIN gone g ON r.docid = g.docid)
 SELECT DISTINCT * FROM judged WHERE kind IS NOT NULL"""
 
