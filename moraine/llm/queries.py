@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import leakage, mixing, site_lines, splitter
+from . import encoding, leakage, mixing, site_lines, splitter
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,6 +18,14 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.without_lines(docs, site_lines.repeated_lines(docs))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled(table(spark, d, "msmarco_docs"), "docid", ["title", "body"], with_text=False).select("docid", "field").distinct()
+
+
+def p5_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled(table(spark, d, "msmarco_docs"), "docid", ["title", "body"]).dropDuplicates(["docid", "field"])
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = splitter.split_oversized(table(spark, d, "msmarco_docs"), "docid", ["title", "body"], with_text=False)
     return pieces.where("piece_no = 1").select("docid").distinct()
@@ -44,4 +52,4 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_clean, p6_found, p6_pieces, p7_found, p8_found, p8_mix, p8_shares)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_clean, p5_found, p5_restored, p6_found, p6_pieces, p7_found, p8_found, p8_mix, p8_shares)}
