@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import encoding, leakage, mixing, site_lines, splitter
+from . import encoding, leakage, mixing, reading, site_lines, splitter
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -52,4 +52,13 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_clean, p5_found, p5_restored, p6_found, p6_pieces, p7_found, p8_found, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_bands(table(spark, d, "documents"), table(spark, d, "reading_labels")).select("doc_id", "band")
+
+
+def p9_profile(spark: SparkSession, d: str) -> DataFrame:
+    bands = reading.reading_bands(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+    return bands.groupBy("band").agg(F.count("*").alias("documents"), F.round(F.avg("level"), 3).alias("mean_level"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_clean, p5_found, p5_restored, p6_found, p6_pieces, p7_found, p8_found, p8_mix, p8_shares, p9_found, p9_profile)}
