@@ -6,7 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import encoding, leakage, mixing, reading, site_lines, splitter
+from . import encoding, leakage, mixing, near_dup, reading, site_lines, splitter
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    members, links = near_dup.near_duplicates(table(spark, d, "msmarco_docs"))
+    return near_dup.all_pairs(members, links).toDF("docid_a", "docid_b")
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    members, links = near_dup.near_duplicates(table(spark, d, "msmarco_docs"))
+    return near_dup.groups(members, links).withColumnRenamed("id", "docid")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -61,4 +71,4 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return bands.groupBy("band").agg(F.count("*").alias("documents"), F.round(F.avg("level"), 3).alias("mean_level"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_clean, p5_found, p5_restored, p6_found, p6_pieces, p7_found, p8_found, p8_mix, p8_shares, p9_found, p9_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_clean, p5_found, p5_restored, p6_found, p6_pieces, p7_found, p8_found, p8_mix, p8_shares, p9_found, p9_profile)}
