@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import encoding, leakage, mixing, near_dup, reading, site_lines, splitter
+from . import boilerplate, encoding, leakage, mixing, near_dup, reading, site_lines, splitter
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,6 +19,15 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.groups(members, links).withColumnRenamed("id", "docid")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.boilerplate_lines(table(spark, d, "msmarco_docs"))
+
+
+def p2_main(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "msmarco_docs")
+    return site_lines.without_lines(docs, boilerplate.boilerplate_lines(docs))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.repeated_lines(table(spark, d, "msmarco_docs"))
 
@@ -71,4 +80,4 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return bands.groupBy("band").agg(F.count("*").alias("documents"), F.round(F.avg("level"), 3).alias("mean_level"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_clean, p5_found, p5_restored, p6_found, p6_pieces, p7_found, p8_found, p8_mix, p8_shares, p9_found, p9_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_main, p4_found, p4_clean, p5_found, p5_restored, p6_found, p6_pieces, p7_found, p8_found, p8_mix, p8_shares, p9_found, p9_profile)}
