@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bitmap import Bitmap
+from ..runtime import width
 
 #: Period of a parent without beginning, and of one without end.
 FIRST, LAST = -(1 << 30), 1 << 30
@@ -79,7 +80,7 @@ def orphan_references(refs: DataFrame, links: DataFrame, docs: DataFrame, remova
     born = docs.where(F.col("docid").isNotNull()).groupBy("docid").agg(F.min("ingested_at").alias("born"))
     gone = removals.where(F.col("docid").isNotNull() & F.col("removed_at").isNotNull()).groupBy("docid").agg(F.min("removed_at").alias("gone"))
     life = born.withColumn("is", F.lit(True)).join(gone, "docid", "full")
-    ranges = 1 + docs.count() // keys_per_range
+    ranges = max(width(docs.sparkSession), 1 + docs.count() // keys_per_range)
 
     via = refs.where("via")
     lost = suspects(via.select(F.col("ref_key").alias("key"), month_index(F.col("at")).alias("period")), links.select(F.col("ref_key").alias("key"), F.lit(FIRST).alias("first"), F.lit(LAST).alias("last")), ranges)
