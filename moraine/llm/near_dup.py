@@ -182,18 +182,25 @@ def _join_roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b)})
 
 
+def _blocks(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows with the hot roots (root, blocks) split: a text of block i goes to every pair of blocks that has i."""
+    rows = rows.join(hot, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    plain = rows.where("blocks = 1").select("root", F.lit(0).alias("side"), "id", "f1", "f2")
+    split = rows.where("blocks > 1").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.xxhash64("root", F.least(F.col("mine"), j), F.greatest(F.col("mine"), j)).alias("root"), F.when(F.col("mine") == j, 0).when(F.col("mine") < j, 1).otherwise(2).cast("int").alias("side")))
+    split = split.select(F.explode(pairs).alias("p"), "id", "f1", "f2").select("p.root", "p.side", "id", "f1", "f2")
+    return plain.unionByName(split)
+
+
 def candidate_pairs(texts: DataFrame, most: int = 4096) -> DataFrame:
     """Distinct id pairs ``(a, b)``, a < b, of texts close by fingerprint. ``texts``: id, f1, f2, roots."""
     kind = texts.schema["id"].dataType.simpleString()
     rows = texts.select("id", "f1", "f2", F.explode("roots").alias("root"))
-    hot = rows.groupBy("root").count().where(F.col("count") > most).select("root", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
-    rows = rows.join(hot, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    # A text of block i of a hot root goes to every pair of blocks that has i.
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.xxhash64("root", F.least(F.col("mine"), j), F.greatest(F.col("mine"), j)).alias("root"), F.when(F.col("mine") == j, 0).when(F.col("mine") < j, 1).otherwise(2).cast("int").alias("side")))
-    plain = rows.where("blocks = 1").select("root", F.lit(0).alias("side"), "id", "f1", "f2")
-    split = rows.where("blocks > 1").withColumn("mine", mine).select(F.explode(pairs).alias("p"), "id", "f1", "f2").select("p.root", "p.side", "id", "f1", "f2")
-    placed = plain.unionByName(split).repartition(width(texts.sparkSession), "root").sortWithinPartitions("root")
+    hot = materialize(rows.groupBy("root").count().where(F.col("count") > most).select("root", F.ceil(F.col("count") / most).cast("int").alias("blocks")), "hot")
+    placed = rows.select("root", F.lit(0).alias("side"), "id", "f1", "f2")
+    if not hot.isEmpty():
+        placed = _blocks(rows, hot)
+    placed = placed.repartition(width(texts.sparkSession), "root").sortWithinPartitions("root")
     return placed.mapInPandas(_join_roots, f"a {kind}, b {kind}").distinct()
 
 
