@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +51,6 @@ def pairs_to_score(run: DataFrame, queries: DataFrame, collection: DataFrame, to
 
 def score_pairs(pairs: DataFrame, predict, batch: int = 128) -> DataFrame:
     """Pairs with the ``score`` an injected ``predict(list of (query, text)) -> floats`` gives, batch by batch."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def score(q: pd.Series, t: pd.Series) -> pd.Series:
