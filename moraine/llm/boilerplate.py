@@ -98,29 +98,34 @@ def language(words: list[str]) -> str:
 def run_lengths(windows: np.ndarray, page: np.ndarray, most: int) -> np.ndarray:
     """For each suffix (row of token numbers) its longest prefix that stands in ``most`` distinct pages.
 
-    The suffix array is the order of the rows; the length shared by ``most``
-    neighbours is the least of the lengths shared by those in between. Suffixes
-    of one page that are equal throughout are counted once.
+    In the order of the suffix array the suffixes sharing a prefix are
+    neighbours; of each such stretch the distinct pages are the suffixes whose
+    page does not stand before in the stretch.
     """
     n, depth = windows.shape
     out = np.zeros(n, np.int64)
     if n < most:
         return out
     rows = np.ascontiguousarray(windows.astype(">u4")).view(f"V{4 * depth}").ravel()
-    _, group = np.unique(rows, return_inverse=True)
-    pick = np.unique(group * np.int64(page.max() + 1) + page, return_index=True)[1]  # the suffix array, one suffix a page
-    if len(pick) < most:
-        return out
-    w = windows[pick]
+    order = np.argsort(rows, kind="stable")
+    w, own = windows[order], page[order]
     differ = w[1:] != w[:-1]
-    lcp = np.where(differ.any(1), differ.argmax(1), depth)
-    k = most - 1
-    least = np.lib.stride_tricks.sliding_window_view(lcp, k).min(1) if k else np.full(len(pick), depth)
-    padded = np.r_[np.zeros(k, np.int64), least, np.zeros(k, np.int64)]
-    best = np.lib.stride_tricks.sliding_window_view(padded, most).max(1)[: len(pick)]
-    by = np.zeros(group.max() + 1, np.int64)
-    np.maximum.at(by, group[pick], best)
-    return by[group]
+    lcp = np.r_[0, np.where(differ.any(1), differ.argmax(1), depth)]
+    by_page = np.argsort(own, kind="stable")
+    before = np.full(n, -1)
+    again = own[by_page[1:]] == own[by_page[:-1]]
+    before[by_page[1:][again]] = by_page[:-1][again]
+    length = np.zeros(n, np.int64)
+    for k in range(1, depth + 1):
+        start = np.flatnonzero(lcp < k)
+        size = np.diff(np.r_[start, n])
+        fresh = before < np.repeat(start, size)
+        enough = np.add.reduceat(fresh.astype(np.int64), start) >= most
+        if not enough.any():
+            break
+        length[np.repeat(enough, size)] = k
+    out[order] = length
+    return out
 
 
 def _key(kind: int, toks: list[str]) -> int:

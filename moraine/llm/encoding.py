@@ -50,6 +50,8 @@ _RUN = re.compile(r"[^\x00-\x7f]+")
 _OPEN, _CLOSE = "“\"'‘«„‹(`", "”\"'’»“›)`"
 #: A lead byte of two whose follower became a plain blank or was stripped.
 _STRAY = re.compile(r"(?<![A-ZÀ-ÖØ-Þ])[ÃÂ](?=[ \t\r]|$)|(?<=[a-zà-ÿ])[ÃÂ](?=[a-z])|â[¦¬¢]|(?<=\s)â(?=\s)")
+#: A Russian word as it is written.
+_PLAIN = re.compile("[А-ЯЁ]?[а-яё]+")
 _LOST = re.compile("�+")
 _CYR_LIKE = re.compile(r"[Ѐ-џÀ-ÿ─-▟\u0080-¿]{2,}")
 
@@ -93,7 +95,7 @@ def cost(text: str) -> float:
 @lru_cache(200_000)
 def unwrap(run: str, depth: int = DEPTH) -> str | None:
     """The run with its layers taken off, or None if no reading costs less."""
-    if run.isalpha() and (run.islower() or run == run.title() and "Ѐ" <= run[-1] <= "џ"):
+    if run.isalpha() and run.islower() or _PLAIN.fullmatch(run):
         return None  # a plain word; lead bytes never look like that throughout
     best, least = None, cost(run) - 0.5
     for enc in LEGACY:
@@ -194,8 +196,10 @@ def _fix_line(line: str) -> tuple[str, bool, bool]:
     hurt, whole = False, True
     lost = any(not _quoted(line, *m.span()) for m in _LOST.finditer(line))
     swapped = _swap(line)
-    if swapped is not None and _russian(swapped) <= _russian(_RUN.sub(lambda m: unwrap(m.group()) or m.group(), line)):
-        return swapped, True, not lost
+    if swapped is not None:
+        runs = _RUN.findall(line)
+        if sum(unwrap(r) is not None for r in runs) * 2 < len(runs):
+            return swapped, True, not lost
     out, at = [], 0
     for m in _RUN.finditer(line):
         lo, hi = m.span()

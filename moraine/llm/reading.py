@@ -84,7 +84,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
                 keys.append(key)
                 slots.append(np.fromiter(n.keys(), np.int32, len(n)))
                 counts.append(np.fromiter(n.values(), np.int32, len(n)))
-            yield pd.DataFrame({"id": keys, "slots": slots, "counts": counts})
+            if keys:
+                yield pd.DataFrame({"id": keys, "slots": slots, "counts": counts})
 
     return src.mapInPandas(run, f"id {kind}, slots array<int>, counts array<int>")
 

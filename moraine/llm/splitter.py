@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 #: Penalties of cut positions by kind of boundary.
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, HARD = 0.0, 0.15, 0.3, 0.8, 1.5, 6.0
 IMBALANCE = 2.0
-_STRONG = re.compile(r"(?P<p>\s*\n[^\S\n]*\n\s*)|(?P<l>\s*\n\s*)|(?P<s>[.!?…。！？][\"'”’»)\]]*\s+)")
+_STRONG = re.compile(r"(?:[.!?…。！？][\"'”’»)\]]*+|(?<![^\S\n]))[^\S\n]*+(?:(?P<p>\n[^\S\n]*+\n\s*)|(?P<l>\n\s*))|(?P<s>[.!?…。！？][\"'”’»)\]]*+\s+)")
 _CLAUSE = re.compile(r"[,;:–—，；：][\"'”’»)\]]*\s*")
 _WORD = re.compile(r"\s+")
 
