@@ -299,7 +299,8 @@ def boilerplate_lines(docs: DataFrame, id_col: str = "docid", url_col: str = "ur
     """``(id, line_no)`` of the non-blank lines that are not main content."""
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("string").alias("id"), site_of(F.col(url_col)).alias("site"), F.col(title_col).alias("title"), F.col(body_col).alias("body")).where(F.col("id").isNotNull() & (F.length("body") > 0))
-    sizes = docs.select(site_of(F.col(url_col)).alias("of")).groupBy("of").agg(F.ceil(F.count("*") / pages_per_shard).alias("shards"))
+    # Only hosts of more than one shard; all others are one.
+    sizes = docs.select(site_of(F.col(url_col)).alias("of")).groupBy("of").agg(F.ceil(F.count("*") / pages_per_shard).alias("shards")).where(F.col("shards") > 1)
     d = d.join(sizes, F.col("site").eqNullSafe(F.col("of")), "left")
     shard = F.xxhash64("site", F.pmod(F.xxhash64("id"), F.greatest(F.coalesce("shards", F.lit(1)), F.lit(1))))
     d = d.select("id", "site", "title", "body", shard.alias("shard")).repartition(4 * width(spark), "shard").sortWithinPartitions("shard")

@@ -18,4 +18,19 @@ SELECT DISTINCT docid, line_no FROM keyed JOIN counts USING (site, k) JOIN sizes
 WITH n AS (SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '\\w+|[^\\w\\s]'))) AS own FROM documents WHERE source IN (SELECT source FROM mix_targets) GROUP BY source),
 t AS (SELECT sum(own) AS total FROM n)
 SELECT DISTINCT m.source FROM mix_targets m LEFT JOIN n USING (source), t WHERE m.target_share * total > m.max_repeats * coalesce(own, 0)""",
+    "p1_found": """
+WITH d AS (SELECT docid, max(body) AS body FROM msmarco_docs WHERE docid IS NOT NULL AND body IS NOT NULL GROUP BY docid),
+w AS (SELECT docid, regexp_extract_all(lower(body), '[\\p{L}\\p{N}]+') AS ws FROM d),
+s AS (SELECT DISTINCT docid, concat_ws(' ', ws[i], ws[i + 1], ws[i + 2]) AS g FROM (SELECT docid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+n AS (SELECT docid, count(*) AS c FROM s GROUP BY docid),
+p AS (SELECT a.docid AS x, b.docid AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.docid < b.docid GROUP BY 1, 2)
+SELECT x AS docid_a, y AS docid_b FROM p JOIN n a ON a.docid = x JOIN n b ON b.docid = y WHERE k >= 0.6 * (a.c + b.c - k)""",
+    "p7_found": """
+WITH norm AS (SELECT 'd' AS t, doc_id AS id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'i', item_id, text FROM benchmark WHERE text IS NOT NULL),
+w AS (SELECT t, id, regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(lower(text), '&(rsquo|lsquo|apos|#39|#8217|#8216);', '', 'g'), '&#?\\w+;', ' ', 'g'), '[''’‘ʼ′`´＇]', '', 'g'), '[\\p{L}\\p{N}]+') AS ws FROM norm),
+x AS (SELECT DISTINCT t, id, unnest(range(0, len(ws))) AS pos, unnest(ws) AS word, len(ws) AS n FROM w),
+m AS (SELECT d.id AS doc_id, i.id AS item_id, d.pos - i.pos AS off, i.n, list(i.pos ORDER BY i.pos) AS hit FROM x d JOIN x i ON d.t = 'd' AND i.t = 'i' AND d.word = i.word GROUP BY ALL HAVING count(*) >= 0.9 * ceil(0.5 * i.n)),
+r AS (SELECT doc_id, item_id, n, hit, unnest(range(1, len(hit) + 1)) AS a FROM m),
+b AS (SELECT doc_id, item_id, n, hit, a, unnest(range(a, len(hit) + 1)) AS b FROM r)
+SELECT DISTINCT doc_id, item_id FROM b WHERE hit[b] - hit[a] + 1 >= ceil(0.5 * n) AND (hit[b] - hit[a] + 1) - (b - a + 1) <= 0.1 * (hit[b] - hit[a] + 1)""",
 }
