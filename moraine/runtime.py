@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -32,6 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder all executors of {master} share")
         got = "file://" + tempfile.mkdtemp(prefix="moraine-")
         _OWN.append(got)
         spark.conf.set("spark.checkpoint.dir", got)
@@ -47,7 +51,7 @@ def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if path.startswith("file:///") and os.path.isdir(path.removeprefix("file://")):
+    if os.path.isdir(path.removeprefix("file://")):
         _OWN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
