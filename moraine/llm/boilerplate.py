@@ -31,10 +31,11 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,7 +91,8 @@ def language(words: list[str]) -> str:
     """A rough language: that of the most function words."""
     if sum("Ѐ" <= w[0] <= "ӿ" for w in words[:400]) * 2 > len(words[:400]):
         return "ru"
-    score = {k: sum(w in s for w in words) for k, s in _SETS.items()}
+    n = Counter(words)
+    score = {k: sum(n[w] for w in s if w in n) for k, s in _SETS.items()}
     best = max(score, key=score.get)
     return best if score[best] else "?"
 
@@ -140,6 +142,26 @@ def _like_title(raw: str, toks: list[str]) -> bool:
     return 2 <= len(toks) <= 16 and raw[-1:] not in ".:;," and toks[0] not in ("*", "-", "•", "–")
 
 
+def _read(raw: str, name: list[str]) -> tuple:
+    """Tokens of a line, the same with the site's name replaced, the keys of its runs, and whether it looks like a title."""
+    toks = tokens(raw)
+    if not toks:
+        if not raw.strip():
+            return ([],)
+        toks = [raw.strip()[:1]]
+    placed = _placed(toks, name)
+    short = len(placed) <= SHORT
+    return (
+        toks,
+        placed,
+        _key(0, placed),
+        [_key(k, placed[:k]) for k in OPEN if len(placed) >= k] if short else [],
+        [_key(10 + k, placed[-k:]) for k in CLOSE if len(placed) >= k] if short else [],
+        [_key(20, placed[k : k + 3]) for k in range(1, len(placed) - 2) if placed[k] in MARKS] if short else [],
+        _like_title(raw.strip(), placed),
+    )
+
+
 def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: float = 0.03) -> tuple[list[tuple], list[tuple], dict[str, int]]:
     """Lines with their keys, runs with their counts, and pages by language, of one shard.
 
@@ -149,9 +171,9 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
     """
     name = site_name(site)
     lines: list[_Line] = []
-    raws: list[str] = []
     langs: list[str] = []
     twin: dict[int, int] = {}
+    read: dict[str, tuple] = {}
     first = list(range(len(pages)))
 
     def root(x: int) -> int:
@@ -167,12 +189,14 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
         own = tokens(title or "")
         words: list[str] = []
         for no, raw in enumerate(body.split("\n"), 1):
-            toks = tokens(raw)
+            known = read.get(raw)
+            if known is None:
+                known = _read(raw, name)
+                if len(raw) < 200:
+                    read[raw] = known
+            toks = known[0]
             if not toks:
-                if raw.strip():
-                    toks = [raw.strip()[:1]]
-                else:
-                    continue
+                continue
             if len(words) < 600:
                 words += toks
             x = _Line()
@@ -180,18 +204,13 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
             x.own = bool(own) and toks == own
             # A path: the page's own title after something else.
             x.path = len(own) > 2 and len(toks) > len(own) and toks[-len(own) :] == own and bool(_LEADER.search(toks[-len(own) - 1]))
-            x.toks = _placed(toks, name)
-            x.whole = _key(0, x.toks)
-            short = len(x.toks) <= SHORT and not x.own
-            x.open = [_key(k, x.toks[:k]) for k in OPEN if len(x.toks) >= k] if short else []
-            x.close = [_key(10 + k, x.toks[-k:]) for k in CLOSE if len(x.toks) >= k] if short else []
-            x.inner = [_key(20, x.toks[k : k + 3]) for k in range(1, len(x.toks) - 2) if x.toks[k] in MARKS] if short else []
-            x.title = _like_title(raw.strip(), x.toks)
+            _, x.toks, x.whole, x.open, x.close, x.inner, x.title = known
+            if x.own:
+                x.open, x.close, x.inner = [], [], []
             if len(x.toks) >= 30:
                 a, b = root(p), root(twin.setdefault(x.whole, p))
                 first[max(a, b)] = min(a, b)
             lines.append(x)
-            raws.append(raw)
         langs.append(language([w for w in words if w[0].isalpha()]))
     if not lines:
         return [], [], {}
@@ -200,20 +219,25 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
     page = np.array([root(x.page) for x in lines])
     n_pages = len(set(page.tolist()))
     number: dict[str, int] = {LINE_END: 1}
-    forward = np.zeros((len(lines), DEPTH), np.uint32)
-    backward = np.zeros((len(lines), DEPTH), np.uint32)
-    for r, x in enumerate(lines):
-        ids = [number.setdefault(t, len(number) + 1) for t in (x.toks if len(x.toks) <= 2 * DEPTH else x.toks[:DEPTH] + x.toks[-DEPTH:])]
-        ids = [*ids, 1]
-        forward[r, : min(DEPTH, len(ids))] = ids[:DEPTH]
-        ids = [*ids[-2::-1], 1]
-        backward[r, : min(DEPTH, len(ids))] = ids[:DEPTH]
+    ahead: list[int] = []
+    back: list[int] = []
+    pad = [0] * DEPTH
+    numbered: dict[int, tuple[list[int], list[int]]] = {}
+    for x in lines:
+        both = numbered.get(x.whole)
+        if both is None:
+            ids = [number.setdefault(t, len(number) + 1) for t in (x.toks if len(x.toks) <= 2 * DEPTH else x.toks[:DEPTH] + x.toks[-DEPTH:])]
+            both = numbered[x.whole] = ([*ids, 1, *pad][:DEPTH], [*ids[::-1], 1, *pad][:DEPTH])
+        ahead += both[0]
+        back += both[1]
+    forward, backward = (np.array(a, np.uint32).reshape(-1, DEPTH) for a in (ahead, back))
     least = max(3, int(np.ceil(strict * n_pages)))
-    from_start = run_lengths(forward, page, least)
-    from_end = run_lengths(backward, page, 3)
-    loose = run_lengths(forward, page, 3)
+    from_start = run_lengths(forward, page, least).tolist()
+    from_end = run_lengths(backward, page, 3).tolist()
+    loose = run_lengths(forward, page, 3).tolist()
+    page = page.tolist()
 
-    certain = np.zeros(len(lines), bool)
+    certain = [False] * len(lines)
     count: dict[tuple[str, int, int], set] = {}
     lists: dict[tuple[str, int], set] = {}
     within: dict[tuple[str, int], set] = {}
@@ -244,11 +268,10 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
         if follow[r] and len(x.toks) <= SHORT:
             for key in (x.whole, *x.open):
                 lists.setdefault((lang, key), set()).add(page[r])
-        for at in range(1, len(x.toks) - 2):
-            if x.toks[at - 1] in STOPS:
-                for k in OPEN:
-                    if at + k <= len(x.toks):
-                        within.setdefault((lang, _key(k, x.toks[at : at + k])), set()).add(page[r])
+        for at in [i for i, t in enumerate(x.toks[:-3], 1) if t in STOPS]:
+            for k in OPEN:
+                if at + k <= len(x.toks):
+                    within.setdefault((lang, _key(k, x.toks[at : at + k])), set()).add(page[r])
         if not x.own:
             out.append((pages[x.page][0], x.no, [x.whole, *x.open, *x.close, *x.inner] if len(x.toks) <= SHORT else [x.whole], follow[r], bool(x.path)))
     size: dict[str, set] = {}
@@ -262,13 +285,13 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
 _SCHEMA = "id string, line_no int, keys array<long>, follow array<int>, path boolean, lang string, key long, kind int, k int, n int, lists int, inside int"
 
 
-def _shard_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of a partition sorted by shard, taken shard by shard."""
+def _shard_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a partition sorted by shard, taken shard by shard; out come lines, and runs and page counts."""
 
     def shards() -> Iterator[tuple[str | None, list]]:
         at, site, pages = None, None, {}
-        for pdf in batches:
-            for shard, s, key, title, body in pdf[["shard", "site", "id", "title", "body"]].itertuples(index=False, name=None):
+        for batch in batches:
+            for shard, s, key, title, body in zip(*[batch.column(c).to_pylist() for c in ("shard", "site", "id", "title", "body")]):
                 if shard != at and at is not None:
                     yield site, pages
                     pages = {}
@@ -277,22 +300,29 @@ def _shard_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if pages:
             yield site, pages
 
-    held: list[tuple] = []
+    lines: list[tuple] = []
+    runs: list[tuple] = []
     for site, pages in shards():
-        lines, runs, size = weigh(site, [p for _, p in sorted(pages.items())])
-        held += [(*x, *[None] * 7) for x in lines]
-        held += [(*[None] * 5, *x) for x in runs]
-        held += [(*[None] * 5, lang, None, -1, None, n, None, None) for lang, n in size.items()]
-        if len(held) > 20_000:
-            yield _frame(held)
-            held = []
-    if held:
-        yield _frame(held)
+        found, counted, size = weigh(site, [p for _, p in sorted(pages.items())])
+        lines += found
+        runs += counted
+        runs += [(lang, None, -1, None, n, None, None) for lang, n in size.items()]
+        if len(lines) > 20_000:
+            yield _batch(lines, runs)
+            lines, runs = [], []
+    if lines or runs:
+        yield _batch(lines, runs)
+
+
+_TYPES = [("id", pa.string()), ("line_no", pa.int32()), ("keys", pa.list_(pa.int64())), ("follow", pa.list_(pa.int32())), ("path", pa.bool_()), ("lang", pa.string()), ("key", pa.int64()), ("kind", pa.int32()), ("k", pa.int32()), ("n", pa.int32()), ("lists", pa.int32()), ("inside", pa.int32())]
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    f = pd.DataFrame(rows, columns=[c.split()[0] for c in _SCHEMA.split(", ")], dtype=object)
-    return f.astype({c: "Int32" for c in ("line_no", "kind", "k", "n", "lists", "inside")}).astype({"key": "Int64", "path": "boolean"})
+def _batch(lines: list[tuple], runs: list[tuple]) -> pa.RecordBatch:
+    left = [list(c) for c in zip(*lines)] or [[]] * 5
+    right = [list(c) for c in zip(*runs)] or [[]] * 7
+    none = [None]
+    columns = [c + none * len(runs) for c in left] + [none * len(lines) + c for c in right]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _TYPES)], names=[n for n, _ in _TYPES])
 
 
 def boilerplate_lines(docs: DataFrame, id_col: str = "docid", url_col: str = "url", title_col: str = "title", body_col: str = "body", pages_per_shard: int = 400, spread: float = 4.0, host_share: float = 0.2, world_share: float = 0.08, introduces: float = 0.5) -> DataFrame:
@@ -304,7 +334,7 @@ def boilerplate_lines(docs: DataFrame, id_col: str = "docid", url_col: str = "ur
     d = d.join(sizes, F.col("site").eqNullSafe(F.col("of")), "left")
     shard = F.xxhash64("site", F.pmod(F.xxhash64("id"), F.greatest(F.coalesce("shards", F.lit(1)), F.lit(1))))
     d = d.select("id", "site", "title", "body", shard.alias("shard")).repartition(4 * width(spark), "shard").sortWithinPartitions("shard")
-    rows = materialize(d.mapInPandas(_shard_pass, _SCHEMA), "lines")
+    rows = materialize(d.mapInArrow(_shard_pass, _SCHEMA), "lines")
 
     world = rows.where("kind = -1").groupBy("lang").agg(F.sum("n").alias("all_pages"), F.count("*").alias("shards"))
     runs = rows.where("kind >= 0").groupBy("lang", "key", "kind").agg(F.sum("k").alias("pages"), F.sum("lists").alias("lists"), F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("k") / F.col("n")).alias("square"), F.max(F.when(F.col("k") >= 4, F.col("k") / F.col("n")).otherwise(0)).alias("most"))
