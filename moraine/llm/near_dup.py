@@ -244,7 +244,7 @@ def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def groups(members: DataFrame, links: DataFrame, rounds: int = 40) -> DataFrame:
-    """``(id, group, links)``: each id with the least id of its connected group and the links of its class.
+    """``(id, group_id, links)``: each id with the least id of its connected group and the links of its class.
 
     Minimum labels spread over the links and jump along the labels already
     found; every round is written, so neither lineage nor driver grows.
@@ -264,4 +264,4 @@ def groups(members: DataFrame, links: DataFrame, rounds: int = 40) -> DataFrame:
         raise RuntimeError("groups did not settle; raise `rounds`")
     degree = edges.groupBy("a").agg(F.count("*").alias("links"))
     out = members.join(label.withColumnRenamed("node", "class"), "class", "left").join(degree.withColumnRenamed("a", "class"), "class", "left")
-    return out.select("id", F.coalesce("label", "class").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
+    return out.select("id", F.coalesce("label", "class").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -34,3 +34,17 @@ r AS (SELECT doc_id, item_id, n, hit, unnest(range(1, len(hit) + 1)) AS a FROM m
 b AS (SELECT doc_id, item_id, n, hit, a, unnest(range(a, len(hit) + 1)) AS b FROM r)
 SELECT DISTINCT doc_id, item_id FROM b WHERE hit[b] - hit[a] + 1 >= ceil(0.5 * n) AND (hit[b] - hit[a] + 1) - (b - a + 1) <= 0.1 * (hit[b] - hit[a] + 1)""",
 }
+_CUT = f"cut AS (SELECT docid, list(line_no) AS nos FROM ({SQL['p4_found']}) GROUP BY docid)"
+SQL["p4_clean"] = f"""
+WITH {_CUT}, d AS (SELECT docid, max(body) AS body FROM msmarco_docs WHERE docid IS NOT NULL GROUP BY docid)
+SELECT docid, CASE WHEN nos IS NULL THEN body ELSE array_to_string(list_filter(string_split(body, chr(10)), lambda x, i: NOT list_contains(nos, CAST(i AS INTEGER))), chr(10)) END AS body,
+  CAST(coalesce(len(nos), 0) AS INTEGER) AS lines_cut FROM d LEFT JOIN cut USING (docid)"""
+_PAIRS = SQL["p1_found"].rsplit("SELECT x AS", 1)[0]
+SQL["p1_groups"] = _PAIRS.replace("WITH d AS", "WITH RECURSIVE d AS") + """,
+l AS (SELECT x, y, k = a.c AND k = b.c AS same FROM p JOIN n a ON a.docid = x JOIN n b ON b.docid = y WHERE k >= 0.6 * (a.c + b.c - k)),
+e AS (SELECT x, y, same FROM l UNION ALL SELECT y, x, same FROM l),
+r AS (SELECT docid AS id, docid AS other FROM n UNION SELECT r.id, e.y FROM r JOIN e ON e.x = r.other),
+g AS (SELECT id, min(other) AS group_id FROM r GROUP BY id),
+c AS (SELECT n.docid, least(n.docid, coalesce(min(e.y), n.docid)) AS class FROM n LEFT JOIN e ON e.x = n.docid AND same GROUP BY n.docid),
+m AS (SELECT a.class, count(DISTINCT b.class) AS links FROM e JOIN c a ON a.docid = x JOIN c b ON b.docid = y WHERE a.class <> b.class GROUP BY a.class)
+SELECT g.id AS docid, group_id, coalesce(links, 0) AS links FROM g JOIN c ON c.docid = g.id LEFT JOIN m USING (class)"""

@@ -60,7 +60,7 @@ def test_extra_columns_with_clashing_names(spark):
 def test_groups(spark):
     members = spark.createDataFrame([(f"n{i:02}", f"n{i:02}") for i in range(12)] + [("copy", "n03")], "id string, class string")
     links = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(8)], "a string, b string")
-    got = {r.id: (r.group, r.links) for r in N.groups(members, links).collect()}
+    got = {r.id: (r.group_id, r.links) for r in N.groups(members, links).collect()}
     assert {got[f"n{i:02}"][0] for i in range(9)} == {"n00"} and got["copy"] == ("n00", 2)
     assert got["n10"] == ("n10", 0) and got["n00"] == ("n00", 1)
 
