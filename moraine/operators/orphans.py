@@ -69,18 +69,20 @@ def suspects(refs: DataFrame, parents: DataFrame, ranges: int) -> DataFrame:
     return r.groupBy("range").cogroup(p.groupBy("range")).applyInPandas(run, "key string, period int")
 
 
-def orphan_references(refs: DataFrame, links: DataFrame, docs: DataFrame, removals: DataFrame, keys_per_range: int = 500_000) -> DataFrame:
+def orphan_references(refs: DataFrame, links: DataFrame, docs: DataFrame, removals: DataFrame, keys_per_range: int = 50_000) -> DataFrame:
     """Orphan references ``(tbl, ref_month, qid, ref_key, kind)``.
 
     ``refs``: tbl, qid, ref_key, at, via - ``via`` tells whether the key names a
     document itself or goes through ``links`` (pid -> docid).
     """
-    refs = refs.where(F.col("ref_key").isNotNull() & F.col("at").isNotNull()).distinct()
+    refs = refs.where(F.col("ref_key").isNotNull() & F.col("at").isNotNull())
+    # Row counts bound the distinct keys of either side.
+    ranges = max(width(docs.sparkSession), 1 + (docs.count() + links.count() + refs.count()) // keys_per_range)
+    refs = refs.distinct()
     links = links.select(F.col("pid").alias("ref_key"), "docid").where(F.col("ref_key").isNotNull() & F.col("docid").isNotNull()).distinct()
     born = docs.where(F.col("docid").isNotNull()).groupBy("docid").agg(F.min("ingested_at").alias("born"))
     gone = removals.where(F.col("docid").isNotNull() & F.col("removed_at").isNotNull()).groupBy("docid").agg(F.min("removed_at").alias("gone"))
     life = born.withColumn("is", F.lit(True)).join(gone, "docid", "full")
-    ranges = max(width(docs.sparkSession), 1 + docs.count() // keys_per_range)
 
     via = refs.where("via")
     lost = suspects(via.select(F.col("ref_key").alias("key"), month_index(F.col("at")).alias("period")), links.select(F.col("ref_key").alias("key"), F.lit(FIRST).alias("first"), F.lit(LAST).alias("last")), ranges)
