@@ -147,7 +147,7 @@ class Items:
         return int(length[fine].max())
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = 0.5, replaced: float = 0.1, block: int = 20_000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = 0.5, replaced: float = 0.1, block: int = 5_000) -> DataFrame:
     """``(doc id, item id, stretch, item_words)`` of every item that stands in a document in a stretch of at least ``share`` of its words."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where(F.length("text") > 0)

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize
 
+#: Up to so many targets, what is known of a source is sent to every task; beyond, joins shuffle.
+MOST_SENT = 10_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the byte-level vocabulary splits a text before merging (public, fixed).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -67,11 +69,16 @@ def _unit(id_col, seed: int):
     return (F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 40)) + F.lit(1)) / F.lit(float(1 << 40))
 
 
+def _sent(df: DataFrame, targets: DataFrame) -> DataFrame:
+    """``df`` (at most a row for each target), marked for broadcast where the targets are few."""
+    return F.broadcast(df) if targets.count() <= MOST_SENT else df
+
+
 def measured(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight=None, seed: int = 7, tokenizer: str = TOKENIZER) -> DataFrame:
     """``(id, source, tokens, key)`` of the records whose source has a target, written once."""
     own = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), (weight if weight is not None else quality_weight(F.col(text_col))).alias("weight"))
     named = targets.select("source").where(F.col("source").isNotNull()).distinct()
-    rows = own.join(named, "source", "left_semi")
+    rows = own.join(_sent(named, targets), "source", "left_semi")
     rows = rows.select("id", "source", token_count("text", tokenizer).alias("tokens"), (-F.log(_unit(F.col("id"), seed)) / F.greatest(F.col("weight"), F.lit(1e-6))).alias("key"))
     return materialize(rows, "tokens")
 
@@ -93,7 +100,7 @@ def choose(rows: DataFrame, planned: DataFrame, per_range: int = 50_000) -> Data
     """``(id, source, tokens, repeats)`` of the records used at least once."""
     p = planned.select("source", "epochs", "rest", F.greatest(F.lit(1), F.ceil(F.col("n_records") / F.lit(per_range))).alias("n_ranges"))
     # key / (key + 1) rises with the key and stays under 1: equal ranges of it are key ranges.
-    r = rows.join(p, "source").withColumn("range", F.floor(F.col("n_ranges") * F.col("key") / (F.col("key") + F.lit(1.0))).cast("long"))
+    r = rows.join(_sent(p, planned), "source").withColumn("range", F.floor(F.col("n_ranges") * F.col("key") / (F.col("key") + F.lit(1.0))).cast("long"))
     before = r.groupBy("source", "range").agg(F.sum("tokens").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("range")) - F.col("n")).drop("n")
     w = Window.partitionBy("source", "range").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, 0)
     r = r.withColumn("inside", F.sum("tokens").over(w)).join(before, ["source", "range"])

@@ -39,8 +39,8 @@ from .text import WORD, HashOf, hashes, mix
 
 BITS, GROUP = 128, 4
 TABLES = BITS // GROUP
-#: Number of differing bits beyond which a pair is pruned: at similarity 0.6 the mean is 25.6 and the deviation 4.5.
-BUDGET = 42
+#: Deviations beyond the mean number of differing bits at the least similarity, at which a pair is pruned.
+SPARE = 3.6
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _A = _RNG.integers(0, 1 << 63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BITS, dtype=np.uint64)
@@ -48,6 +48,12 @@ _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 _SHIFT = np.arange(64, dtype=np.uint64)[::-1]
 
 
+def budget(least: float) -> int:
+    """Differing bits at which a pair is pruned: 42 for a similarity of 0.6, where the mean is 25.6."""
+    p = (1 - least) / 2
+    return int(np.ceil(BITS * p + SPARE * np.sqrt(BITS * p * (1 - p))))
+
+
 def shingles(text: str, known: HashOf, size: int = 3) -> np.ndarray:
     """Distinct hashes of all runs of ``size`` words, rising."""
     words = WORD.findall(text.lower())
@@ -97,8 +103,8 @@ def signed(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     return src.mapInPandas(run, f"id {kind}, c1 long, c2 long, f1 long, f2 long, roots array<long>")
 
 
-def trie_pairs(root: np.ndarray, side: np.ndarray, fp: np.ndarray, budget: int = BUDGET, direct: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs of equal root whose fingerprints differ in at most ``budget`` bits.
+def trie_pairs(root: np.ndarray, side: np.ndarray, fp: np.ndarray, most: int, direct: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of equal root whose fingerprints differ in at most ``most`` bits.
 
     ``side`` is 0 for rows of a root that is joined with itself; in a root of
     two blocks rows have side 1 and 2 and only pairs across are wanted.
@@ -131,13 +137,13 @@ def trie_pairs(root: np.ndarray, side: np.ndarray, fp: np.ndarray, budget: int =
             a, b = lo[k] + at // h[k], lo2[k] + at % h[k]
             keep = a < b
             a, b = a[keep], b[keep]
-            near = np.bitwise_count(fp[a] ^ fp[b]).sum(1, dtype=np.int64) <= budget
+            near = np.bitwise_count(fp[a] ^ fp[b]).sum(1, dtype=np.int64) <= most
             found_a.append(order[a[near]])
             found_b.append(order[b[near]])
             start = stop
 
     for depth in range(BITS):
-        alive = (hi > lo) & (hi2 > lo2) & (err <= budget) & ~((lo == lo2) & (hi - lo < 2))
+        alive = (hi > lo) & (hi2 > lo2) & (err <= most) & ~((lo == lo2) & (hi - lo < 2))
         lo, hi, lo2, hi2, err = (x[alive] for x in (lo, hi, lo2, hi2, err))
         small = (hi - lo) * (hi2 - lo2) <= direct
         finish(*(x[small] for x in (lo, hi, lo2, hi2)))
@@ -156,14 +162,14 @@ def trie_pairs(root: np.ndarray, side: np.ndarray, fp: np.ndarray, budget: int =
             np.r_[err, err, err + 1, err[other] + 1],
         )
     else:
-        alive = (hi > lo) & (hi2 > lo2) & (err <= budget)
+        alive = (hi > lo) & (hi2 > lo2) & (err <= most)
         finish(*(x[alive] for x in (lo, hi, lo2, hi2)))
     if not found_a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
-def _join_roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _join_roots(batches: Iterator[pd.DataFrame], errors: int) -> Iterator[pd.DataFrame]:
     """Trie joins of a partition sorted by root; the last root of a batch may go on in the next."""
     held: pd.DataFrame | None = None
     for pdf in itertools.chain(batches, [None]):
@@ -176,7 +182,7 @@ def _join_roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if now is None or not len(now):
             continue
         ids = now["id"].to_numpy()
-        a, b = trie_pairs(now["root"].to_numpy(), now["side"].to_numpy(), now[["f1", "f2"]].to_numpy().view(np.uint64))
+        a, b = trie_pairs(now["root"].to_numpy(), now["side"].to_numpy(), now[["f1", "f2"]].to_numpy().view(np.uint64), errors)
         a, b = ids[a], ids[b]
         swap = a > b
         yield pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b)})
@@ -192,7 +198,7 @@ def _blocks(rows: DataFrame, hot: DataFrame) -> DataFrame:
     return plain.unionByName(split)
 
 
-def candidate_pairs(texts: DataFrame, most: int = 4096) -> DataFrame:
+def candidate_pairs(texts: DataFrame, errors: int, most: int = 4096) -> DataFrame:
     """Distinct id pairs ``(a, b)``, a < b, of texts close by fingerprint. ``texts``: id, f1, f2, roots."""
     kind = texts.schema["id"].dataType.simpleString()
     rows = texts.select("id", "f1", "f2", F.explode("roots").alias("root"))
@@ -201,7 +207,7 @@ def candidate_pairs(texts: DataFrame, most: int = 4096) -> DataFrame:
     if not hot.isEmpty():
         placed = _blocks(rows, hot)
     placed = placed.repartition(width(texts.sparkSession), "root").sortWithinPartitions("root")
-    return placed.mapInPandas(_join_roots, f"a {kind}, b {kind}").distinct()
+    return placed.mapInPandas(lambda batches: _join_roots(batches, errors), f"a {kind}, b {kind}").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, least: float) -> DataFrame:
@@ -231,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "docid", text_col: str = "bod
     texts = rows.groupBy("c1", "c2").agg(F.min("id").alias("class"), F.first("f1").alias("f1"), F.first("f2").alias("f2"), F.first("roots").alias("roots"))
     texts = materialize(texts, "classes")
     members = rows.select("id", "c1", "c2").join(texts.select("c1", "c2", "class"), ["c1", "c2"]).select("id", "class").distinct()
-    pairs = materialize(candidate_pairs(texts.select(F.col("class").alias("id"), "f1", "f2", "roots")), "candidates")
+    pairs = materialize(candidate_pairs(texts.select(F.col("class").alias("id"), "f1", "f2", "roots"), budget(least)), "candidates")
     return members, verified(pairs, docs, id_col, text_col, size, least)
 
 

@@ -57,6 +57,15 @@ def test_extra_columns_with_clashing_names(spark):
     assert rows(members) == [("a", "a"), ("b", "a")] and rows(N.all_pairs(members, links)) == [("a", "b")]
 
 
+def test_budget():
+    assert N.budget(0.6) == 42 and N.budget(0.8) < N.budget(0.6)
+
+
+def test_five_words_and_a_higher_bound(spark):
+    docs = texts(40, 9)
+    assert pairs(spark, docs, size=5, least=0.8)[2] == brute(docs, 5, 0.8)
+
+
 def test_groups(spark):
     members = spark.createDataFrame([(f"n{i:02}", f"n{i:02}") for i in range(12)] + [("copy", "n03")], "id string, class string")
     links = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(8)], "a string, b string")
@@ -92,5 +101,5 @@ def test_hot_roots_lose_nothing(spark):
     docs = [(f"d{i:03}", " ".join(f"w{(i // 40) * 100 + j}" for j in range(60)) + f" own{i} tail{i}") for i in range(120)]
     df = spark.createDataFrame(docs, "docid string, body string")
     r = N.signed(df, "docid", "body", 3).select("id", "f1", "f2", "roots").persist()
-    assert rows(N.candidate_pairs(r, most=7)) == rows(N.candidate_pairs(r))
-    assert N.candidate_pairs(r, most=7).count() == 3 * 40 * 39 // 2
+    assert rows(N.candidate_pairs(r, 42, most=7)) == rows(N.candidate_pairs(r, 42))
+    assert N.candidate_pairs(r, 42, most=7).count() == 3 * 40 * 39 // 2
