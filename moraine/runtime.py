@@ -8,6 +8,8 @@ import re
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,21 @@ def _clean() -> None:
         shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context, wherever they were started."""
+    context = spark.sparkContext
+    if getattr(context, "_moraine", None):
+        return
+    home = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="moraine-"), "moraine.zip")
+    _OWN.append(os.path.dirname(path))
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f"{home.name}/{f.relative_to(home)}")
+    context.addPyFile(path)
+    context._moraine = path
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, ``<sf_dir>/<name>.parquet``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
