@@ -56,6 +56,8 @@ STOPS = frozenset(".!?")
 LINE_END = "\n"
 _TOKEN = re.compile(r"[^\W\d_]+|\d[\d.,]*|[^\w\s]|_")
 _DAMAGED = re.compile("[\x80-\x9fÃÂâ├┬Γ√¬Ð�Г]|[РВ][^\\sа-яА-ЯёЁa-zA-Z.,]")
+#: Marks around a title, and marks before a site's name in it.
+_AROUND, _BARS = frozenset("“”\"'«»‹›….*"), frozenset("–—-|·")
 _LEADER = re.compile(r"[>»/|:›·→-]$")
 
 
@@ -72,6 +74,20 @@ def site_name(site: str | None) -> list[str]:
     return _TOKEN.findall((site or "").split(".")[0].replace("-", " "))
 
 
+def title_forms(title: str | None) -> list[list[str]]:
+    """A title as lines of the page may show it: without quote marks and dots around it, with and without what follows its last dash or bar."""
+    toks = tokens(title or "")
+    while toks and toks[-1] in _AROUND:
+        toks.pop()
+    while toks and toks[0] in _AROUND:
+        toks = toks[1:]
+    forms = [toks] if toks else []
+    bars = [k for k, t in enumerate(toks) if t in _BARS]
+    if bars and 0 < bars[-1] and len(toks) - bars[-1] <= 5:
+        forms.append(toks[: bars[-1]])
+    return forms
+
+
 def _placed(toks: list[str], name: list[str]) -> list[str]:
     """Tokens with the site's name replaced."""
     if not name or name[0] not in toks:
@@ -186,7 +202,7 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
         if _DAMAGED.search(body):
             body = repair(body)[0]
             title = repair(title)[0]
-        own = tokens(title or "")
+        own = title_forms(title)
         words: list[str] = []
         for no, raw in enumerate(body.split("\n"), 1):
             known = read.get(raw)
@@ -201,9 +217,9 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
                 words += toks
             x = _Line()
             x.page, x.no = p, no
-            x.own = bool(own) and toks == own
+            x.own = toks in own
             # A path: the page's own title after something else.
-            x.path = len(own) > 2 and len(toks) > len(own) and toks[-len(own) :] == own and bool(_LEADER.search(toks[-len(own) - 1]))
+            x.path = any(len(f) > 2 and len(toks) > len(f) and toks[-len(f) :] == f and bool(_LEADER.search(toks[-len(f) - 1])) for f in own)
             _, x.toks, x.whole, x.open, x.close, x.inner, x.title = known
             if x.own:
                 x.open, x.close, x.inner = [], [], []
@@ -257,8 +273,9 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
             count.setdefault((lang, x.whole, 0), set()).add(page[r])
         elif loose[r] >= len(x.toks) + 1 and not x.own:
             count.setdefault((lang, x.whole, 1), set()).add(page[r])
+        # A line known as a whole speaks for its opening only if it has a slot to fill.
         for k, key in zip(OPEN, x.open):
-            if loose[r] >= k:
+            if loose[r] >= k and (not certain[r] or "@" in x.toks or "#" in x.toks):
                 count.setdefault((lang, key, 2), set()).add(page[r])
         for k, key in zip(CLOSE, x.close):
             if from_end[r] >= k:

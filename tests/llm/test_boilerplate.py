@@ -67,3 +67,9 @@ def test_run_lengths_against_brute_force():
             if len({page[j] for j in range(80) if (w[j, :k] == w[i, :k]).all()}) >= 3:
                 want = k
         assert got[i] == want
+
+
+def test_title_forms():
+    assert B.title_forms("“How to knit?” ") == [["how", "to", "knit", "?"]]
+    assert B.title_forms("How to knit – My Site") == [["how", "to", "knit", "–", "my", "site"], ["how", "to", "knit"]]
+    assert B.title_forms("How to knit…") == [["how", "to", "knit"]] and B.title_forms(None) == [] and B.title_forms("…") == []
