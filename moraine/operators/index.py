@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from ..functions import codec, vectors
 
 STAGES = ("centroids", "codes", "complete")
-#: Centroids are sent to every task: most bytes of them.
-MOST_CENTROID_BYTES = 256 << 20
+#: Centroids are sent to every task: so many at most, and so many bytes of them.
+MOST_CENTROIDS, MOST_CENTROID_BYTES = 1 << 19, 256 << 20
 
 
 def n_centroids(n_vectors: float) -> int:
@@ -60,11 +60,51 @@ def kmeans_centroids(sample: DataFrame, k: int, iterations: int = 10, seed: int
     return sample.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cid int, centroid array<double>")
 
 
+def held_centroids(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and matrix of the centroids, in order of id, after a check of their size."""
+    c = centroids.select("cid", "centroid").orderBy("cid").limit(MOST_CENTROIDS + 1).toPandas()
+    mat = np.array(c["centroid"].tolist(), np.float64)
+    if len(c) > MOST_CENTROIDS or mat.nbytes > MOST_CENTROID_BYTES:
+        raise ValueError(f"at most {MOST_CENTROIDS} centroids and {MOST_CENTROID_BYTES >> 20} MiB of them are sent to tasks")
+    return c["cid"].to_numpy(np.int64), mat
+
+
+def tile(mat: np.ndarray) -> int:
+    """Vectors a product is taken of at a time, such that it has four million cells at most."""
+    return max(1, 4_000_000 // max(1, len(mat)))
+
+
+def nearest(x: np.ndarray, mat: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``mat`` with the largest products with each row of ``x``, and the products; of equal ones the lower row comes first."""
+    sim = np.round(x @ mat.T, 6)
+    best = sim.argmax(1)[:, None] if k == 1 else np.argsort(-sim, axis=1, kind="stable")[:, :k]
+    return best, np.take_along_axis(sim, best, 1)
+
+
 def ranked_centroids(vecs: DataFrame, centroids: DataFrame, keep: int, by: list[str], vec: str = "vec") -> DataFrame:
-    """The ``keep`` centroids of largest dot product with each vector, ties to the lower id; for few centroids."""
-    sim = F.round(vectors.dot(F.col(vec), F.col("centroid")), 6)
-    all_ = vecs.crossJoin(F.broadcast(centroids)).withColumn("sim", sim)  # centroids: checked by the caller or few by construction
-    return all_.withColumn("probe", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("sim"), "cid"))).where(F.col("probe") <= keep)
+    """``vecs`` with the ``keep`` centroids of largest dot product with each vector (cid, sim, probe, centroid), ties to the lower id.
+
+    Matrix products over Arrow batches; one narrow pass. ``by`` names a vector.
+    """
+    held = vecs.sparkSession.sparkContext.broadcast(held_centroids(centroids))
+    cols = [f for f in vecs.schema.fields if f.name not in ("cid", "sim", "probe", "centroid")]
+    names = [f.name for f in cols]
+    if not set(by) <= set(names):
+        raise ValueError(f"{by} must name columns of the vectors")
+
+    def run(batches):
+        ids, mat = held.value
+        k, step = min(keep, len(ids)), tile(mat)
+        for pdf in batches:
+            for lo in range(0, len(pdf) if k else 0, step):
+                part = pdf.iloc[lo : lo + step]
+                best, sim = nearest(np.array(part[vec].tolist(), np.float64), mat, k)
+                out = part[names].loc[part.index.repeat(k)].reset_index(drop=True)
+                yield out.assign(cid=ids[best].ravel(), sim=sim.ravel(), probe=np.tile(np.arange(1, k + 1), len(part)), centroid=list(mat[best.ravel()]))
+
+    kind = centroids.schema["cid"].dataType.simpleString()
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols) + f", cid {kind}, sim double, probe int, centroid array<double>"
+    return vecs.select(*names).mapInPandas(run, schema)
 
 
 def encode(vecs: DataFrame, centroids: DataFrame, parameters: DataFrame, nbits: int, vec: str = "vec") -> DataFrame:
@@ -73,10 +113,7 @@ def encode(vecs: DataFrame, centroids: DataFrame, parameters: DataFrame, nbits:
     Centroids and codec parameters go to every task; their size is checked.
     """
     spark = vecs.sparkSession
-    c = centroids.orderBy("cid").toPandas()
-    ids, mat = c["cid"].to_numpy(np.int32), np.array(c["centroid"].tolist(), np.float64)
-    if mat.nbytes > MOST_CENTROID_BYTES:
-        raise ValueError(f"{mat.nbytes >> 20} MiB of centroids; at most {MOST_CENTROID_BYTES >> 20} MiB are sent to tasks")
+    ids, mat = held_centroids(centroids)
     p = parameters.select("boundaries").first()
     held = spark.sparkContext.broadcast((ids, mat, np.array(p["boundaries"], np.float64)))
     per = 8 // codec.check_bits(nbits)
@@ -84,14 +121,17 @@ def encode(vecs: DataFrame, centroids: DataFrame, parameters: DataFrame, nbits:
 
     def run(batches):
         ids, mat, edges = held.value
-        for pdf in batches:
-            x = np.array(pdf[vec].tolist(), np.float64).reshape(len(pdf), mat.shape[1])
-            best = np.round(x @ mat.T, 6).argmax(1) if len(pdf) else np.zeros(0, int)
-            codes = ((x - mat[best])[:, :, None] > edges[None]).sum(2)
-            codes = np.pad(codes, ((0, 0), (0, -codes.shape[1] % per)))
-            shift = (np.arange(per) * nbits)[None, None]
-            packed = (codes.reshape(len(pdf), -1, per) << shift).sum(2).astype(np.uint8)
-            yield pd.DataFrame({**{f.name: pdf[f.name] for f in cols}, "cid": ids[best], "packed": [r.tobytes() for r in packed]})
+        step = tile(mat)
+        for whole in batches:
+            for lo in range(0, len(whole), step):
+                pdf = whole.iloc[lo : lo + step]
+                x = np.array(pdf[vec].tolist(), np.float64)
+                best = nearest(x, mat, 1)[0][:, 0]
+                codes = ((x - mat[best])[:, :, None] > edges[None]).sum(2)
+                codes = np.pad(codes, ((0, 0), (0, -codes.shape[1] % per)))
+                shift = (np.arange(per) * nbits)[None, None]
+                packed = (codes.reshape(len(pdf), -1, per) << shift).sum(2).astype(np.uint8)
+                yield pd.DataFrame({**{f.name: pdf[f.name] for f in cols}, "cid": ids[best], "packed": [r.tobytes() for r in packed]})
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cols) + ", cid int, packed binary"
     return vecs.mapInPandas(run, schema)
@@ -103,7 +143,7 @@ def decode(codes: DataFrame, centroids: DataFrame, parameters: DataFrame, nbits:
     per = 8 // codec.check_bits(nbits)
     byte = F.transform(F.sequence(F.lit(1), F.length("packed")), lambda k: F.conv(F.hex(F.substring("packed", k, F.lit(1))), 16, 10).cast("int"))
     unpacked = F.flatten(F.transform(byte, lambda b: F.array(*[F.shiftright(b, j * nbits).bitwiseAND((1 << nbits) - 1) for j in range(per)])))
-    j = codes.join(centroids, "cid").crossJoin(F.broadcast(parameters.select("bucket_values")))  # parameters: one row
+    j = codes.join(centroids, "cid").withColumn("bucket_values", parameters.select("bucket_values").scalar())
     value = codec.dequantize(F.slice(unpacked, F.lit(1), dim), F.col("bucket_values"))
     return j.withColumn("vec", vectors.plus(F.col("centroid"), value)).drop("centroid", "bucket_values")
 

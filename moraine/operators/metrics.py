@@ -24,8 +24,9 @@ def clean_runs(raw: DataFrame) -> DataFrame:
     return once.select("run", "qid", "pid", F.row_number().over(Window.partitionBy("run", "qid").orderBy(F.col("given").asc_nulls_last(), "pid")).alias("rank"))
 
 
-def _n(df: DataFrame, name: str) -> DataFrame:
-    return df.agg(F.greatest(F.count_distinct("qid"), F.lit(1)).alias(name))  # one row
+def _n(df: DataFrame):
+    """Number of queries, at least one, as a scalar subquery."""
+    return df.agg(F.greatest(F.count_distinct("qid"), F.lit(1))).scalar()
 
 
 def judged(runs: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
@@ -37,7 +38,7 @@ def mrr_at(runs: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """Mean of 1 / rank of the first relevant document within ``k``, over all judged queries."""
     first = judged(runs, qrels, k).groupBy("run", "qid").agg(F.min(F.when(F.col("rel") > 0, F.col("rank"))).alias("r"))
     judged_qids = qrels.select("qid").distinct()
-    return first.join(judged_qids, "qid", "left_semi").groupBy("run").agg(F.sum(F.coalesce(1.0 / F.col("r"), F.lit(0.0))).alias("s")).crossJoin(F.broadcast(_n(qrels, "n"))).select("run", F.round(F.col("s") / F.col("n"), 6).alias("mrr"))
+    return first.join(judged_qids, "qid", "left_semi").groupBy("run").agg(F.sum(F.coalesce(1.0 / F.col("r"), F.lit(0.0))).alias("s")).select("run", F.round(F.col("s") / _n(qrels), 6).alias("mrr"))
 
 
 def _positives(qrels: DataFrame) -> DataFrame:
@@ -48,14 +49,14 @@ def recall_at(runs: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     """Mean share of a query's relevant documents within ``k``, over queries that have any."""
     pos = _positives(qrels)
     hits = judged(runs, qrels, k).groupBy("run", "qid").agg(F.count_distinct(F.when(F.col("rel") > 0, F.col("pid"))).alias("hits"))
-    return hits.join(pos, "qid").groupBy("run").agg(F.sum(F.col("hits") / F.col("positives")).alias("s")).crossJoin(F.broadcast(_n(pos, "n"))).select("run", F.round(F.col("s") / F.col("n"), 6).alias("recall"))
+    return hits.join(pos, "qid").groupBy("run").agg(F.sum(F.col("hits") / F.col("positives")).alias("s")).select("run", F.round(F.col("s") / _n(pos), 6).alias("recall"))
 
 
 def success_at(runs: DataFrame, qrels: DataFrame, k: int = 5) -> DataFrame:
     """Share of the queries with relevant documents that find one within ``k``."""
     pos = _positives(qrels)
     hit = judged(runs, qrels, k).groupBy("run", "qid").agg(F.max(F.when(F.col("rel") > 0, 1.0).otherwise(0.0)).alias("hit"))
-    return hit.join(pos, "qid").groupBy("run").agg(F.sum("hit").alias("s")).crossJoin(F.broadcast(_n(pos, "n"))).select("run", F.round(F.col("s") / F.col("n"), 6).alias("success"))
+    return hit.join(pos, "qid").groupBy("run").agg(F.sum("hit").alias("s")).select("run", F.round(F.col("s") / _n(pos), 6).alias("success"))
 
 
 def _gain(rel: str, rank: str):
@@ -67,7 +68,7 @@ def ndcg_at(runs: DataFrame, qrels: DataFrame, k: int = 10, digits: int = 6) ->
     order = qrels.select("qid", "rel", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("rel"))).alias("ideal_rank")).where(F.col("ideal_rank") <= k)
     ideal = order.groupBy("qid").agg(F.sum(_gain("rel", "ideal_rank")).alias("idcg"))
     dcg = judged(runs, qrels, k).groupBy("run", "qid").agg(F.sum(_gain("rel", "rank")).alias("dcg"))
-    return dcg.join(ideal, "qid").groupBy("run").agg(F.sum(F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0)).alias("s")).crossJoin(F.broadcast(_n(qrels, "n"))).select("run", F.round(F.col("s") / F.col("n"), digits).alias("ndcg"))
+    return dcg.join(ideal, "qid").groupBy("run").agg(F.sum(F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0)).alias("s")).select("run", F.round(F.col("s") / _n(qrels), digits).alias("ndcg"))
 
 
 def evaluate(runs: DataFrame, qrels: DataFrame) -> DataFrame:

@@ -29,11 +29,12 @@ def top(scored: DataFrame, k: int, by: list[str] | None = None, *order) -> DataF
 
 
 def maxsim(q: DataFrame, d: DataFrame) -> DataFrame:
-    """``(qid, doc_idx, score)`` of every document of ``d``; d may carry a qid to restrict it to that query's candidates.
+    """``(qid, doc_idx, score)`` of the candidate documents of each query.
 
-    ``q``: qid, qpos, qvec; ``d``: [qid,] doc_idx, pos, vec.
+    ``q``: qid, qpos, qvec; ``d``: qid, doc_idx, pos, vec - a query's candidates.
+    Against all documents see :func:`exact_topk`.
     """
-    pairs = q.join(d, "qid") if "qid" in d.columns else d.crossJoin(F.broadcast(q))  # the stated query set
+    pairs = q.join(d, "qid")
     best = pairs.groupBy("qid", "doc_idx", "qpos").agg(F.max(vectors.dot(F.col("qvec"), F.col("vec"))).alias("m"))
     return best.groupBy("qid", "doc_idx").agg(F.round(F.sum("m"), 6).alias("score"))
 

@@ -26,7 +26,9 @@ def _parameters(spark, d):
 
 
 def _codes(spark, d):
-    return _residuals(spark, d).crossJoin(F.broadcast(codec.as_arrays(_parameters(spark, d)))).withColumn("codes", codec.quantize(F.col("residual"), F.col("boundaries")))  # parameters: one row
+    p = codec.as_arrays(_parameters(spark, d))
+    r = _residuals(spark, d).withColumns({"boundaries": p.select("boundaries").scalar(), "bucket_values": p.select("bucket_values").scalar()})
+    return r.withColumn("codes", codec.quantize(F.col("residual"), F.col("boundaries")))
 
 
 def centroids(spark, d):

@@ -25,12 +25,14 @@ def _parts(spark, d):
 
 def maxsim_exact_topk(spark, d):
     e = C.token_vectors(spark, d)
-    return R.top(R.maxsim(C.query_vectors(e), e.select("doc_idx", "pos", "vec")), K).select("qid", "doc_idx", "score", "rank")
+    return R.exact_topk(C.query_vectors(e), e, K).select("qid", "doc_idx", "score", "rank")
 
 
-def maxsim_exact_topk_arrow(spark, d):
-    e = C.token_vectors(spark, d)
-    return R.exact_topk(C.query_vectors(e), e, K).select("qid", "doc_idx", "score", "rank")
+def maxsim_candidates(spark, d):
+    """Exact scores of each query's candidates by joins: all documents of a probed centroid."""
+    q, cen, codes = _parts(spark, d)
+    chosen = R.candidates(R.probes(q, cen, 1), codes).select("qid", "doc_idx").distinct()
+    return R.maxsim(q, codes.join(chosen, "doc_idx").select("qid", "doc_idx", "pos", "vec"))
 
 
 def probe_centroids(spark, d):
@@ -83,7 +85,7 @@ def trec_run(spark, d):
     return r.select(F.col("qid").cast("string").alias("qid"), F.col("doc_idx").cast("string").alias("pid"), "rank", "score").select(trec_line(F.lit("two_round")).alias("line"))
 
 
-QUERIES = {f.__name__: f for f in (maxsim_exact_topk, maxsim_exact_topk_arrow, probe_centroids, candidate_generation, approx_maxsim, rerank_exact, retrieve_topk, retrieve_maxp, run_maxp, trec_run)}
+QUERIES = {f.__name__: f for f in (maxsim_exact_topk, maxsim_candidates, probe_centroids, candidate_generation, approx_maxsim, rerank_exact, retrieve_topk, retrieve_maxp, run_maxp, trec_run)}
 
 _EXACT = "mx AS (SELECT qid, doc_idx, round(sum(m), 6) AS score FROM (SELECT qid, qpos, doc_idx, max(list_dot_product(qv, v)) AS m FROM q, e GROUP BY ALL) GROUP BY qid, doc_idx), tk AS (SELECT qid, doc_idx, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_idx) AS INTEGER) AS rank FROM mx)"
 _PROBE = f"pr AS (SELECT qid, qpos, cid, sim, CAST(r AS INTEGER) AS probe FROM (SELECT *, row_number() OVER (PARTITION BY qid, qpos ORDER BY sim DESC, cid) AS r FROM (SELECT qid, qpos, cid, round(list_dot_product(qv, c), 6) AS sim FROM q, cen)) WHERE r <= {NPROBE})"
@@ -94,7 +96,7 @@ _ALL = (C.E, C.CEN, C.NEAR, C.Q, _PROBE, _CAND, _APP, _TWO)
 _MAXP = "SELECT qid, docid, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, f, docid) AS rank FROM (SELECT qid, docid, max(score) AS score, min(rank) AS f FROM {} GROUP BY 1, 2)) WHERE rank <= 5"
 SQL = {
     "maxsim_exact_topk": C.with_(C.E, C.Q, _EXACT) + f"SELECT * FROM tk WHERE rank <= {K}",
-    "maxsim_exact_topk_arrow": C.with_(C.E, C.Q, _EXACT) + f"SELECT * FROM tk WHERE rank <= {K}",
+    "maxsim_candidates": C.with_(C.E, C.CEN, C.NEAR, C.Q, _PROBE, "cd AS (SELECT DISTINCT qid, doc_idx FROM (SELECT DISTINCT qid, cid FROM pr WHERE probe = 1) JOIN near USING (cid))") + "SELECT qid, doc_idx, round(sum(m), 6) AS score FROM (SELECT cd.qid, q.qpos, cd.doc_idx, max(list_dot_product(qv, v)) AS m FROM cd JOIN e USING (doc_idx) JOIN q ON q.qid = cd.qid GROUP BY ALL) GROUP BY qid, doc_idx",
     "probe_centroids": C.with_(C.E, C.CEN, C.Q, _PROBE) + "SELECT * FROM pr",
     "candidate_generation": C.with_(*_ALL[:6]) + "SELECT qid, doc_idx, count(*) AS n_tokens FROM ca GROUP BY ALL",
     "approx_maxsim": C.with_(*_ALL[:7]) + "SELECT qid, doc_idx, approx AS score FROM ap",

@@ -143,5 +143,4 @@ def shard_rows(collection: DataFrame, rank: int, shards: int, start: int = 0) ->
     dense = dense_ordinal(collection.select("ordinal", "pid", "text"), ["ordinal"], "row")
     n = F.lit(collection.count())
     mine = dense.withColumn("shard", balanced_shard(F.col("row"), n, shards)).where(F.col("shard") == rank)
-    first = mine.agg(F.min("row").alias("first"))
-    return mine.crossJoin(F.broadcast(first)).where(F.col("row") >= F.col("first") + start).select("ordinal", "pid", "text")  # first: one row
+    return mine.where(F.col("row") >= mine.agg(F.min("row")).scalar() + start).select("ordinal", "pid", "text")
