@@ -87,8 +87,7 @@ def plan(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target source: own tokens, budget, complete epochs, rest of the budget, whether it is reachable."""
     t = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(0))).cast("long").alias("max_repeats"))
     own = rows.groupBy("source").agg(F.sum("tokens").alias("own_tokens"), F.count("*").alias("n_records"))
-    total = own.agg(F.coalesce(F.sum("own_tokens"), F.lit(0)).alias("total_tokens"))
-    p = t.join(own, "source", "left").crossJoin(F.broadcast(total))  # total: one row
+    p = t.join(own, "source", "left").withColumn("total_tokens", own.agg(F.coalesce(F.sum("own_tokens"), F.lit(0))).scalar())
     p = p.withColumns({"own_tokens": F.coalesce("own_tokens", F.lit(0)), "n_records": F.coalesce("n_records", F.lit(0))})
     p = p.withColumn("budget", F.col("target_share") * F.col("total_tokens"))
     p = p.withColumn("reachable", F.col("budget") <= F.col("max_repeats") * F.col("own_tokens"))
@@ -112,8 +111,7 @@ def shares(chosen: DataFrame, planned: DataFrame) -> DataFrame:
     """Shares reached per target source, with what stood in the way."""
     used = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("used_tokens"), F.max("repeats").alias("most_repeats"), F.count("*").alias("records"))
     out = planned.join(used, "source", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("used_tokens", "most_repeats", "records")})
-    whole = out.agg(F.sum("used_tokens").alias("mixed_tokens"))
-    return out.crossJoin(F.broadcast(whole)).select("source", "target_share", "max_repeats", "own_tokens", "budget", "epochs", "most_repeats", "records", "used_tokens", F.try_divide(F.col("used_tokens"), F.col("total_tokens")).alias("share_of_total"), F.try_divide(F.col("used_tokens"), F.col("mixed_tokens")).alias("share_of_mix"), "reachable")
+    return out.withColumn("mixed_tokens", out.agg(F.sum("used_tokens")).scalar()).select("source", "target_share", "max_repeats", "own_tokens", "budget", "epochs", "most_repeats", "records", "used_tokens", F.try_divide(F.col("used_tokens"), F.col("total_tokens")).alias("share_of_total"), F.try_divide(F.col("used_tokens"), F.col("mixed_tokens")).alias("share_of_mix"), "reachable")
 
 
 def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight=None, seed: int = 7, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:

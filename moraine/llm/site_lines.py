@@ -80,12 +80,11 @@ def line_tests(docs: DataFrame, id_col: str = "docid", url_col: str = "url", bod
     pairs = materialize(inside.join(sizes, "site"), "pairs")
     recurs = (F.col("docs") >= min_docs) & (F.col("docs") >= min_share * F.col("site_docs"))
     cases = pairs.where(recurs)
-    world = sizes.agg(F.coalesce(F.sum("site_docs"), F.lit(0)).alias("all_docs"))
+    world = sizes.agg(F.coalesce(F.sum("site_docs"), F.lit(0))).scalar()
     keys = cases.select("key").distinct()
     # Of each key that recurs anywhere: documents holding it elsewhere, and documents of the sites in which it recurs.
     outside = pairs.join(keys, "key", "left_semi").groupBy("key").agg(F.sum(F.when(~recurs, F.col("docs")).otherwise(0)).alias("k2"), F.sum(F.when(recurs, F.col("site_docs")).otherwise(0)).alias("used"))
-    tested = pairs.agg(F.count("*").alias("tested"))
-    t = cases.join(outside, "key").crossJoin(F.broadcast(world)).crossJoin(F.broadcast(tested))  # one row each
+    t = cases.join(outside, "key").withColumns({"all_docs": world, "tested": pairs.agg(F.count("*")).scalar()})
     n2 = F.greatest((F.col("all_docs") - F.col("used")).cast("double"), 50.0 * F.col("site_docs"))
     return t.select("site", "key", "docs", "site_docs", "tested", _minus_log10_p(F.col("docs").cast("double"), F.col("site_docs").cast("double"), F.col("k2") + F.lit(0.5), n2 + 0.5).alias("score"))
 
