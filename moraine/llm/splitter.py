@@ -90,6 +90,12 @@ def boundaries(text: str, gap: int) -> tuple[list[int], list[float]]:
     return pos, pen
 
 
+def _word_near(text: str, want: int, slack: int) -> int:
+    """The beginning of a word nearest to a position, or the position itself."""
+    ends = [m.end() for m in _WORD.finditer(text, max(0, want - slack), want + slack)]
+    return min(ends, key=lambda e: abs(e - want), default=want)
+
+
 def spans(text: str, limit: int = 2000, overlap: int = 200) -> list[tuple[int, int]]:
     """Start and end of each piece; one span if the text is within the limit."""
     n = len(text)
@@ -100,7 +106,7 @@ def spans(text: str, limit: int = 2000, overlap: int = 200) -> list[tuple[int, i
     m = len(pos)
     # Where the piece after a cut at pos[j] begins: the best boundary about `overlap` before it.
     start = [0] * m
-    slack = overlap // 2
+    slack = overlap // 4
     for j in range(1, m):
         want = pos[j] - overlap
         if overlap <= 0 or want <= 0:
@@ -108,7 +114,7 @@ def spans(text: str, limit: int = 2000, overlap: int = 200) -> list[tuple[int, i
             continue
         lo, hi = bisect_left(pos, want - slack), bisect_left(pos, want + slack + 1)
         near = [(pen[i] + 2.0 * abs(pos[i] - want) / overlap, -pos[i]) for i in range(lo, min(hi, j)) if pos[i] > 0]
-        start[j] = -min(near)[1] if near else want
+        start[j] = -min(near)[1] if near else _word_near(text, want, slack)
     pieces = -(-(n - overlap) // (limit - overlap))
     target = (n + (pieces - 1) * overlap) / pieces
     best, back = [float("inf")] * m, [0] * m

@@ -14,7 +14,7 @@ def check(text, limit, overlap):
     for s, e in cut:
         assert 0 < e - s <= limit
     for (a, b), (c, d) in zip(cut, cut[1:]):
-        assert a < c <= b < d and abs((b - c) - overlap) <= overlap / 2
+        assert a < c <= b < d and abs((b - c) - overlap) <= overlap / 4 + 1
     return cut
 
 
