@@ -48,6 +48,8 @@ from .text import mix
 
 #: Tokens compared from a line's beginning or end; lines of more tokens are only compared as a whole.
 DEPTH, SHORT = 24, 22
+#: A list of more lines than these is content, not a list of links to other pages.
+LIST = 12
 #: Lengths of opening and closing runs that are weighed.
 OPEN, CLOSE = (2, 3, 4), (4, 6)
 #: Marks that part the fields of a line; a run of three tokens from one of them is weighed, too.
@@ -105,9 +107,9 @@ def _placed(toks: list[str], name: list[str]) -> list[str]:
 
 def language(words: list[str]) -> str:
     """A rough language: that of the most function words."""
-    if sum("Ѐ" <= w[0] <= "ӿ" for w in words[:400]) * 2 > len(words[:400]):
-        return "ru"
     n = Counter(words)
+    if sum(k for w, k in n.items() if "Ѐ" <= w[0] <= "ӿ") * 2 > len(words):
+        return "ru"
     score = {k: sum(n[w] for w in s if w in n) for k, s in _SETS.items()}
     best = max(score, key=score.get)
     return best if score[best] else "?"
@@ -213,8 +215,7 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
             toks = known[0]
             if not toks:
                 continue
-            if len(words) < 600:
-                words += toks
+            words += toks
             x = _Line()
             x.page, x.no = p, no
             x.own = toks in own
@@ -258,14 +259,20 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
     lists: dict[tuple[str, int], set] = {}
     within: dict[tuple[str, int], set] = {}
     follow: list[list[int]] = [[] for _ in lines]
+    # Beyond the windows' depth lines are compared as a whole.
+    long: dict[int, set] = {}
+    for r, x in enumerate(lines):
+        if len(x.toks) >= DEPTH and from_start[r] >= DEPTH and from_end[r] >= DEPTH:
+            long.setdefault(x.whole, set()).add(page[r])
     for r, x in enumerate(lines):
-        full = min(len(x.toks) + 1, DEPTH)
-        certain[r] = from_start[r] >= full and (len(x.toks) < DEPTH or from_end[r] >= DEPTH) and not x.own
-    for r in range(len(lines) - 1, -1, -1):
-        if r + 1 < len(lines) and lines[r + 1].page == lines[r].page:
-            y = lines[r + 1]
-            if y.title and not certain[r + 1] and not y.own and not y.path:
-                follow[r] = [y.no, *follow[r + 1]][:6]
+        certain[r] = not x.own and (from_start[r] > len(x.toks) if len(x.toks) < DEPTH else len(long.get(x.whole, ())) >= least)
+    entries = [0] * (len(lines) + 1)
+    for r in range(len(lines) - 2, -1, -1):
+        y = lines[r + 1]
+        if y.page == lines[r].page and y.title and not certain[r + 1] and not y.own and not y.path:
+            entries[r] = entries[r + 1] + 1
+            if entries[r] <= LIST:
+                follow[r] = [y.no, *follow[r + 1]]
     out = []
     for r, x in enumerate(lines):
         lang = langs[x.page]
