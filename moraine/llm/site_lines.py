@@ -14,7 +14,8 @@ nothing that grows with the data reaches the driver. Counting is a map-side
 combined aggregation over 64-bit hashes of site and key; documents delivered
 twice count once.
 
-Defined cases: rows without a url belong to no site; null and empty bodies
+Defined cases: rows without an id are left out; rows without a url belong to no
+site; null and empty bodies
 count as documents of the site without lines; lines without letters are never
 cases; with a single site the outside rate is half an occurrence in fifty times
 the site; an empty table gives an empty result.
@@ -67,7 +68,7 @@ def _minus_log10_p(k1: pd.Series, n1: pd.Series, k2: pd.Series, n2: pd.Series) -
 
 def site_lines(docs: DataFrame, id_col: str = "docid", url_col: str = "url", body_col: str = "body") -> DataFrame:
     """``(id, line_no, site, key)`` with 64-bit hashes of site and key, for lines with letters."""
-    d = docs.select(F.col(id_col).alias("id"), site_of(F.col(url_col)).alias("site"), F.col(body_col).alias("body")).where(F.col("site").isNotNull() & F.col("body").isNotNull())
+    d = docs.select(F.col(id_col).alias("id"), site_of(F.col(url_col)).alias("site"), F.col(body_col).alias("body")).where(F.col("id").isNotNull() & F.col("site").isNotNull() & F.col("body").isNotNull())
     lines = d.select("id", F.xxhash64("site").alias("site"), F.posexplode(F.split("body", "\n")).alias("pos", "line"))
     return lines.select("id", (F.col("pos") + 1).alias("line_no"), "site", letters_of(F.col("line")).alias("letters")).where(F.col("letters") != "").select("id", "line_no", "site", F.xxhash64("letters").alias("key"))
 

@@ -54,6 +54,8 @@ def brute(docs):
 
 def test_against_brute_force(spark):
     docs = corpus() + [("a.example0", "https://a.example", corpus()[0][2]), ("x", None, "share this now"), ("y", "http://b.example", None)]
+    extra = [(None, "https://a.example", "share this now")]
+    assert rows(S.repeated_lines(spark.createDataFrame(docs + extra, SCHEMA))) == brute(docs)
     got = rows(S.repeated_lines(spark.createDataFrame(docs, SCHEMA)))
     assert got == brute(docs) and ("b.example0", 4) not in got
 
