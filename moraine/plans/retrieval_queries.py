@@ -1,19 +1,24 @@
 """Retrieval over all token vectors, with its SQL.
 
 The stated query set is every document whose number is divisible by 50,
-against all documents.
+against all documents. Queries of two rounds stand twice: with the 20 candidates
+that their SQL fixes, which loses documents, and as ``*_full`` with the
+candidates of production. ``retrieve_recall`` measures both.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..operators import index as I
 from ..operators import retrieval as R
 from ..sources.sinks import trec_line
 from . import common as C
 
 NPROBE, NCAND, K = 2, 20, 10
+#: Documents a query keeps for the exact round in production.
+FULL = Config().n_candidates
 
 
 def _parts(spark, d):
@@ -50,25 +55,45 @@ def approx_maxsim(spark, d):
     return R.maxsim(q, R.candidates(R.probes(q, cen, NPROBE), codes).select("qid", "doc_idx", "pos", "vec"))
 
 
-def _retrieved(spark, d):
-    return R.retrieve(*_parts(spark, d), NPROBE, NCAND, K)
+def _retrieved(spark, d, n=NCAND):
+    return R.retrieve(*_parts(spark, d), NPROBE, n, K)
 
 
-def rerank_exact(spark, d):
-    return _retrieved(spark, d).select("qid", "doc_idx", "score", "approx")
+def rerank_exact(spark, d, n=NCAND):
+    return _retrieved(spark, d, n).select("qid", "doc_idx", "score", "approx")
 
 
-def retrieve_topk(spark, d):
-    return _retrieved(spark, d).select("qid", "doc_idx", "score", "rank")
+def rerank_full(spark, d):
+    return rerank_exact(spark, d, FULL)
 
 
-def retrieve_maxp(spark, d):
+def retrieve_topk(spark, d, n=NCAND):
+    return _retrieved(spark, d, n).select("qid", "doc_idx", "score", "rank")
+
+
+def retrieve_full(spark, d):
+    return retrieve_topk(spark, d, FULL)
+
+
+def retrieve_recall(spark, d):
+    """Share of each query's exact best that two rounds find, by number of candidates."""
+    exact = maxsim_exact_topk(spark, d).select("qid", "doc_idx")
+    found = [retrieve_topk(spark, d, n).select(F.lit(n).alias("n_candidates"), "qid", "doc_idx", F.lit(1).alias("found")) for n in (NCAND, FULL)]
+    wanted = exact.withColumn("n_candidates", F.explode(F.array(F.lit(NCAND), F.lit(FULL))))
+    return wanted.join(found[0].unionByName(found[1]), ["n_candidates", "qid", "doc_idx"], "left").groupBy("n_candidates", "qid").agg(F.round(F.count("found") / F.count("*"), 6).alias("recall"))
+
+
+def retrieve_maxp(spark, d, n=NCAND):
     """Four of the retrieved units make a document."""
-    r = _retrieved(spark, d).select("qid", F.col("doc_idx").alias("pid"), "score", "rank")
+    r = _retrieved(spark, d, n).select("qid", F.col("doc_idx").alias("pid"), "score", "rank")
     m = C.token_vectors(spark, d).select(F.col("doc_idx").alias("pid"), F.floor(F.col("doc_idx") / 4).cast("long").alias("docid")).distinct()
     return R.max_passage(r, m, 5)
 
 
+def retrieve_maxp_full(spark, d):
+    return retrieve_maxp(spark, d, FULL)
+
+
 def run_maxp(spark, d):
     """Documents of the stored tuples' passages by their best score."""
     from ..plans.text_queries import passage_map
@@ -80,12 +105,16 @@ def run_maxp(spark, d):
     return R.max_passage(ranked, passage_map(spark, d), 5)
 
 
-def trec_run(spark, d):
-    r = _retrieved(spark, d)
+def trec_run(spark, d, n=NCAND):
+    r = _retrieved(spark, d, n)
     return r.select(F.col("qid").cast("string").alias("qid"), F.col("doc_idx").cast("string").alias("pid"), "rank", "score").select(trec_line(F.lit("two_round")).alias("line"))
 
 
-QUERIES = {f.__name__: f for f in (maxsim_exact_topk, maxsim_candidates, probe_centroids, candidate_generation, approx_maxsim, rerank_exact, retrieve_topk, retrieve_maxp, run_maxp, trec_run)}
+def trec_run_full(spark, d):
+    return trec_run(spark, d, FULL)
+
+
+QUERIES = {f.__name__: f for f in (maxsim_exact_topk, maxsim_candidates, probe_centroids, candidate_generation, approx_maxsim, rerank_exact, rerank_full, retrieve_topk, retrieve_full, retrieve_recall, retrieve_maxp, retrieve_maxp_full, run_maxp, trec_run, trec_run_full)}
 
 _EXACT = "mx AS (SELECT qid, doc_idx, round(sum(m), 6) AS score FROM (SELECT qid, qpos, doc_idx, max(list_dot_product(qv, v)) AS m FROM q, e GROUP BY ALL) GROUP BY qid, doc_idx), tk AS (SELECT qid, doc_idx, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_idx) AS INTEGER) AS rank FROM mx)"
 _PROBE = f"pr AS (SELECT qid, qpos, cid, sim, CAST(r AS INTEGER) AS probe FROM (SELECT *, row_number() OVER (PARTITION BY qid, qpos ORDER BY sim DESC, cid) AS r FROM (SELECT qid, qpos, cid, round(list_dot_product(qv, c), 6) AS sim FROM q, cen)) WHERE r <= {NPROBE})"
@@ -111,3 +140,8 @@ SQL = {
     + _MAXP.format("(SELECT qid, docid, score, rank FROM tr JOIN pm USING (pid))"),
     "trec_run": C.with_(*_ALL) + "SELECT concat_ws(chr(9), CAST(qid AS VARCHAR), 'Q0', CAST(doc_idx AS VARCHAR), CAST(rank AS VARCHAR), format('{:.6f}', score), 'two_round') AS line FROM rk",
 }
+# The same with the candidates of production.
+_FULL = (*_ALL[:7], _TWO.replace(f"r <= {NCAND})", f"r <= {FULL})"))
+SQL |= {full: SQL[name].replace(C.with_(*_ALL), C.with_(*_FULL)) for full, name in (("rerank_full", "rerank_exact"), ("retrieve_full", "retrieve_topk"), ("retrieve_maxp_full", "retrieve_maxp"), ("trec_run_full", "trec_run"))}
+_TOP = "(SELECT qid, doc_idx FROM {} WHERE rank <= " + f"{K})"
+SQL["retrieve_recall"] = " UNION ALL ".join(f"SELECT * FROM ({C.with_(*parts, _EXACT)} SELECT CAST({n} AS INTEGER) AS n_candidates, t.qid, round(count(r.doc_idx) / count(*), 6) AS recall FROM {_TOP.format('tk')} t LEFT JOIN {_TOP.format('rk')} r USING (qid, doc_idx) GROUP BY t.qid)" for n, parts in ((NCAND, _ALL), (FULL, _FULL)))

@@ -90,3 +90,19 @@ def test_build_resumes_and_refuses_other_data(spark, tmp_path):
 
 def test_sample_size():
     assert I.n_sampled_docs(10) == 10 and I.n_sampled_docs(10**6) == 128_996 and I.n_sampled_docs(10, 0.01) == 1
+
+
+def test_recall_of_the_registered_retrieval(spark, tmp_path):
+    from moraine.config import Config
+    from moraine.plans import retrieval_queries as Q
+
+    rng = np.random.default_rng(5)
+    vecs = [(i, [float(x) for x in rng.normal(size=8)], int(rng.integers(4))) for i in range(8 * 200)]
+    spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert Config().n_candidates == Q.FULL
+    exact = set(rows(Q.maxsim_exact_topk(spark, str(tmp_path)).select("qid", "doc_idx")))
+    found = set(rows(Q.retrieve_full(spark, str(tmp_path)).select("qid", "doc_idx")))
+    assert len(exact & found) >= 0.9 * len(exact)
+    few = set(rows(Q.retrieve_topk(spark, str(tmp_path)).select("qid", "doc_idx")))
+    got = Q.retrieve_recall(spark, str(tmp_path)).groupBy("n_candidates").agg(F.avg("recall").alias("recall")).collect()
+    assert {r.n_candidates: round(r.recall, 6) for r in got} == {20: len(exact & few) / len(exact), Q.FULL: len(exact & found) / len(exact)}
