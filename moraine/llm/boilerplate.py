@@ -5,8 +5,8 @@ with line ends as tokens of their own (numbers and the site's own name are
 placeholders), and the suffixes that begin a line are sorted. Neighbours in
 that order share their longest runs, which gives for every line the longest run
 from its beginning that stands in several distinct pages of the host; the same
-is done from line ends backwards. Copies of a page within a host count as one
-page. Hosts of many pages are cut into shards of bounded size, each of which has
+is done from line ends backwards. Copies of a page within a host, whole or
+reworked, count as one page. Hosts of many pages are cut into shards of bounded size, each of which has
 a suffix array of its own.
 
 Runs are then weighed over all hosts. A run is boilerplate if it fills whole
@@ -50,6 +50,12 @@ from .text import mix
 DEPTH, SHORT = 24, 22
 #: A list of more lines than these is content, not a list of links to other pages.
 LIST = 12
+#: Copies are looked for among pages that share a line of so many tokens.
+LONG = 30
+#: Of the tokens of lines that stand on few pages, and of all tokens, copies share at least so much.
+COPY_FEW, COPY_ALL = 0.25, 0.9
+#: Lines on more pages than these, and on more than this share of them, stand on many.
+MANY, MANY_SHARE = 4, 0.1
 #: Lengths of opening and closing runs that are weighed.
 OPEN, CLOSE = (2, 3, 4), (4, 6)
 #: Marks that part the fields of a line; a run of three tokens from one of them is weighed, too.
@@ -148,6 +154,46 @@ def run_lengths(windows: np.ndarray, page: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
+def copies(held: list[dict[int, int]]) -> list[int]:
+    """For each page (the keys of its lines with their tokens) the first page it is a copy of, else itself.
+
+    Lines that stand on many pages say little about what else the pages hold,
+    so a quarter of the rest must agree line by line (reworked copies keep
+    little more), or else nearly everything. A copy is compared with the first
+    of its kind only, so likeness does not chain.
+    """
+    first = list(range(len(held)))
+    on = Counter(key for page in held for key in page)
+    some = [p for p, page in enumerate(held) if any(n >= LONG and on[key] > 1 for key, n in page.items())]
+    if len(some) < 2:
+        return first
+    column: dict[int, int] = {}
+    for p in some:
+        for key in held[p]:
+            if on[key] > 1:
+                column.setdefault(key, len(column))
+    has = np.zeros((len(some), len(column)), np.float32)
+    weight = np.zeros(len(column), np.float32)
+    for i, p in enumerate(some):
+        for key, n in held[p].items():
+            if (c := column.get(key)) is not None:
+                has[i, c], weight[c] = 1, n
+    many = max(MANY, MANY_SHARE * len(held))
+    few = np.array([on[key] <= many for key in column])
+    total = np.array([sum(held[p].values()) for p in some])
+    rest = np.array([sum(n for key, n in held[p].items() if on[key] <= many) for p in some])
+    long = has[:, weight >= LONG]
+    shared, shared_few = (has * weight) @ has.T, (has[:, few] * weight[few]) @ has[:, few].T
+    agree = (shared >= COPY_ALL * np.maximum.outer(total, total)) | ((shared_few > 0) & (shared_few >= COPY_FEW * np.maximum.outer(rest, rest)))
+    agree &= long @ long.T > 0
+    for i, p in enumerate(some):
+        for j in np.flatnonzero(agree[i, :i]).tolist():
+            if first[some[j]] == some[j]:
+                first[p] = some[j]
+                break
+    return first
+
+
 def _key(kind: int, toks: list[str]) -> int:
     return xxhash.xxh3_64_intdigest(" ".join(toks).encode("utf-8", "surrogatepass"), kind) - (1 << 63)
 
@@ -190,22 +236,15 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
     name = site_name(site)
     lines: list[_Line] = []
     langs: list[str] = []
-    twin: dict[int, int] = {}
     read: dict[str, tuple] = {}
-    first = list(range(len(pages)))
-
-    def root(x: int) -> int:
-        while first[x] != x:
-            first[x] = first[first[x]]
-            x = first[x]
-        return x
-
+    held: list[dict[int, int]] = []
     for p, (_, title, body) in enumerate(pages):
         if _DAMAGED.search(body):
             body = repair(body)[0]
             title = repair(title)[0]
         own = title_forms(title)
         words: list[str] = []
+        held.append({})
         for no, raw in enumerate(body.split("\n"), 1):
             known = read.get(raw)
             if known is None:
@@ -224,16 +263,15 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
             _, x.toks, x.whole, x.open, x.close, x.inner, x.title = known
             if x.own:
                 x.open, x.close, x.inner = [], [], []
-            if len(x.toks) >= 30:
-                a, b = root(p), root(twin.setdefault(x.whole, p))
-                first[max(a, b)] = min(a, b)
+            held[p][x.whole] = len(x.toks)
             lines.append(x)
         langs.append(language([w for w in words if w[0].isalpha()]))
     if not lines:
         return [], [], {}
 
-    # Pages that share long lines are copies: one page to the counts.
-    page = np.array([root(x.page) for x in lines])
+    # Copies are one page to the counts.
+    first = copies(held)
+    page = np.array([first[x.page] for x in lines])
     n_pages = len(set(page.tolist()))
     number: dict[str, int] = {LINE_END: 1}
     ahead: list[int] = []
@@ -300,7 +338,7 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
             out.append((pages[x.page][0], x.no, [x.whole, *x.open, *x.close, *x.inner] if len(x.toks) <= SHORT else [x.whole], follow[r], bool(x.path)))
     size: dict[str, set] = {}
     for p, lang in enumerate(langs):
-        size.setdefault(lang, set()).add(root(p))
+        size.setdefault(lang, set()).add(first[p])
     size = {k: len(v) for k, v in size.items()}
     runs = [(lang, key, kind, len(v), size[lang], len(v & lists.get((lang, key), set())), len(within.get((lang, key), ())) if kind == 2 else 0) for (lang, key, kind), v in count.items()]
     return out, runs, size

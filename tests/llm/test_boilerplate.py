@@ -73,3 +73,23 @@ def test_title_forms():
     assert B.title_forms("“How to knit?” ") == [["how", "to", "knit", "?"]]
     assert B.title_forms("How to knit – My Site") == [["how", "to", "knit", "–", "my", "site"], ["how", "to", "knit"]]
     assert B.title_forms("How to knit…") == [["how", "to", "knit"]] and B.title_forms(None) == [] and B.title_forms("…") == []
+
+
+def test_notice_on_all_pages_does_not_unite_them(spark):
+    docs, want = corpus(1)
+    notice = "This site uses cookies " + " ".join(f"and{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(36)) + "."
+    assert len(B.tokens(notice)) >= 40
+    docs = [(key, url, title, body + "\n" + notice) for key, url, title, body in docs]
+    want |= {(key, body.count("\n") + 1) for key, _, _, body in docs}
+    got = set(rows(B.boilerplate_lines(spark.createDataFrame(docs, SCHEMA))))
+    assert {(key, body.count("\n") + 1) for key, _, _, body in docs} <= got
+    assert len(got & want) >= 0.8 * len(want)
+
+
+def test_copies_share_most_of_their_text():
+    page = lambda *own, text=100: {0: 40, 1: 5, **{k: text for k in own}}
+    assert B.copies([page(10 + p) for p in range(20)]) == list(range(20))
+    assert B.copies([page(10 + p, text=31) for p in range(20)]) == list(range(20))
+    assert B.copies([page(10, 11, 12), page(10, 11, 13), *[page(20 + p) for p in range(8)]])[:3] == [0, 0, 2]
+    assert B.copies([page(10, 11), page(11, 12), page(12, 13)]) == [0, 0, 2] and B.copies([page(*range(10 * p, 10 * p + 10), 99) for p in range(3)]) == [0, 1, 2]
+    assert B.copies([{}, {1: 3}]) == [0, 1]
