@@ -10,7 +10,8 @@ reworked, count as one page. Hosts of many pages are cut into shards of bounded
 a suffix array of its own.
 
 Runs are then weighed over all hosts. A run is boilerplate if it fills whole
-lines of several pages of a host, or if it opens (or closes) short lines and
+lines of a share of a shard's pages, or, on its own host, of more of the host's
+pages than the share of other hosts' pages explains, or if it opens (or closes) short lines and
 either its share of pages differs from host to host far more than chance allows
 - article text draws on the same stock everywhere, templates belong to hosts -
 or it opens short lines on a large share of all pages. A line is boilerplate if
@@ -50,6 +51,8 @@ from .text import mix
 DEPTH, SHORT = 24, 22
 #: A list of more lines than these is content, not a list of links to other pages.
 LIST = 12
+#: Pages of a host, over all its shards, from which a whole line may be its own, and how far (minus log of the chance) beyond other hosts.
+HOST_PAGES, HOST_CHANCE = 5, 10.0
 #: Copies are looked for among pages that share a line of so many tokens.
 LONG = 30
 #: Of the tokens of lines that stand on few pages, and of all tokens, copies share at least so much.
@@ -229,9 +232,9 @@ def _read(raw: str, name: list[str]) -> tuple:
 def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: float = 0.03) -> tuple[list[tuple], list[tuple], dict[str, int]]:
     """Lines with their keys, runs with their counts, and pages by language, of one shard.
 
-    Line: (page id, line number, keys, numbers of the title-like lines that follow, certain).
+    Line: (page id, line number, keys, numbers of the title-like lines that follow, path, language, whether it is the first such line of its page and copies).
     Run: (language, key, kind, pages with it, pages in all, pages in which a list of titles follows, pages in which it opens a sentence within a line).
-    Kinds: 0 whole lines, 1 whole lines of too few pages, 2 openings, 3 endings, 4 from a mark.
+    Kinds: 0 whole lines, 2 openings, 3 endings, 4 from a mark.
     """
     name = site_name(site)
     lines: list[_Line] = []
@@ -312,12 +315,11 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
             if entries[r] <= LIST:
                 follow[r] = [y.no, *follow[r + 1]]
     out = []
+    seen: set[tuple[int, int]] = set()
     for r, x in enumerate(lines):
         lang = langs[x.page]
         if certain[r]:
             count.setdefault((lang, x.whole, 0), set()).add(page[r])
-        elif loose[r] >= len(x.toks) + 1 and not x.own:
-            count.setdefault((lang, x.whole, 1), set()).add(page[r])
         # A line known as a whole speaks for its opening only if it has a slot to fill.
         for k, key in zip(OPEN, x.open):
             if loose[r] >= k and (not certain[r] or "@" in x.toks or "#" in x.toks):
@@ -335,7 +337,9 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
                 if at + k <= len(x.toks):
                     within.setdefault((lang, _key(k, x.toks[at : at + k])), set()).add(page[r])
         if not x.own:
-            out.append((pages[x.page][0], x.no, [x.whole, *x.open, *x.close, *x.inner] if len(x.toks) <= SHORT else [x.whole], follow[r], bool(x.path)))
+            fresh = (x.whole, page[r]) not in seen
+            seen.add((x.whole, page[r]))
+            out.append((pages[x.page][0], x.no, [x.whole, *x.open, *x.close, *x.inner] if len(x.toks) <= SHORT else [x.whole], follow[r], bool(x.path), lang, fresh))
     size: dict[str, set] = {}
     for p, lang in enumerate(langs):
         size.setdefault(lang, set()).add(first[p])
@@ -344,7 +348,7 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
     return out, runs, size
 
 
-_SCHEMA = "id string, line_no int, keys array<long>, follow array<int>, path boolean, lang string, key long, kind int, k int, n int, lists int, inside int"
+_SCHEMA = "id string, line_no int, keys array<long>, follow array<int>, path boolean, lang string, fresh boolean, host long, key long, kind int, k int, n int, lists int, inside int"
 
 
 def _shard_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,9 +370,10 @@ def _shard_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     runs: list[tuple] = []
     for site, pages in shards():
         found, counted, size = weigh(site, [p for _, p in sorted(pages.items())])
-        lines += found
-        runs += counted
-        runs += [(lang, None, -1, None, n, None, None) for lang, n in size.items()]
+        host = None if site is None else xxhash.xxh3_64_intdigest(site.encode("utf-8", "surrogatepass")) - (1 << 63)
+        lines += [(*x, host) for x in found]
+        runs += [(lang, None, host, *x) for lang, *x in counted]
+        runs += [(lang, None, host, None, -1, None, n, None, None) for lang, n in size.items()]
         if len(lines) > 20_000:
             yield _batch(lines, runs)
             lines, runs = [], []
@@ -376,17 +381,35 @@ def _shard_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(lines, runs)
 
 
-_TYPES = [("id", pa.string()), ("line_no", pa.int32()), ("keys", pa.list_(pa.int64())), ("follow", pa.list_(pa.int32())), ("path", pa.bool_()), ("lang", pa.string()), ("key", pa.int64()), ("kind", pa.int32()), ("k", pa.int32()), ("n", pa.int32()), ("lists", pa.int32()), ("inside", pa.int32())]
+_TYPES = [("id", pa.string()), ("line_no", pa.int32()), ("keys", pa.list_(pa.int64())), ("follow", pa.list_(pa.int32())), ("path", pa.bool_()), ("lang", pa.string()), ("fresh", pa.bool_()), ("host", pa.int64()), ("key", pa.int64()), ("kind", pa.int32()), ("k", pa.int32()), ("n", pa.int32()), ("lists", pa.int32()), ("inside", pa.int32())]
 
 
 def _batch(lines: list[tuple], runs: list[tuple]) -> pa.RecordBatch:
-    left = [list(c) for c in zip(*lines)] or [[]] * 5
-    right = [list(c) for c in zip(*runs)] or [[]] * 7
+    left = [list(c) for c in zip(*lines)] or [[]] * 8
+    right = [list(c) for c in zip(*runs)] or [[]] * 9
     none = [None]
-    columns = [c + none * len(runs) for c in left] + [none * len(lines) + c for c in right]
+    columns = [c + none * len(runs) for c in left[:5]] + [a + b for a, b in zip(left[5:], right[:3])] + [none * len(lines) + c for c in right[3:]]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _TYPES)], names=[n for n, _ in _TYPES])
 
 
+def host_lines(rows: DataFrame, introduces: float) -> DataFrame:
+    """``(host, key, intro)``: whole lines on more pages of a host, over all its shards, than other hosts' share of such pages explains.
+
+    The chance of so many pages is bounded by that of a Poisson number
+    (Chernoff); half a page stands in for lines that no other host has.
+    """
+    pages = rows.where("kind = -1 AND host IS NOT NULL").groupBy("host", "lang").agg(F.sum("n").alias("host_pages"))
+    world = pages.groupBy("lang").agg(F.sum("host_pages").alias("world_pages"))
+    lines = rows.where("fresh AND host IS NOT NULL").select("host", "lang", F.element_at("keys", 1).alias("key"), (F.size("follow") > 0).cast("int").alias("leads"))
+    # One exchange serves both sums.
+    per = lines.repartition("key").groupBy("key", "lang", "host").agg(F.count("*").alias("pages"), F.sum("leads").alias("leads"))
+    each = per.groupBy("key", "lang").agg(F.sum("pages").alias("all"), F.collect_list(F.when(F.col("pages") >= HOST_PAGES, F.struct("host", "pages", "leads"))).alias("many"))
+    each = each.where(F.size("many") > 0).select("key", "lang", "all", F.inline("many")).join(pages, ["host", "lang"]).join(world, "lang")
+    expected = F.col("host_pages") * (F.col("all") - F.col("pages") + 0.5) / F.greatest(F.col("world_pages") - F.col("host_pages"), F.col("host_pages"))
+    beyond = F.col("pages") * F.log(F.col("pages") / expected) - F.col("pages") + expected
+    return each.where((F.col("pages") > expected) & (beyond >= HOST_CHANCE)).groupBy("host", "key").agg((F.sum("leads") >= introduces * F.sum("pages")).alias("intro"))
+
+
 def boilerplate_lines(docs: DataFrame, id_col: str = "docid", url_col: str = "url", title_col: str = "title", body_col: str = "body", pages_per_shard: int = 400, spread: float = 4.0, host_share: float = 0.2, world_share: float = 0.08, introduces: float = 0.5) -> DataFrame:
     """``(id, line_no)`` of the non-blank lines that are not main content."""
     spark = docs.sparkSession
@@ -411,6 +434,8 @@ def boilerplate_lines(docs: DataFrame, id_col: str = "docid", url_col: str = "ur
 
     lines = rows.where("id IS NOT NULL")
     hit = lines.select("id", "line_no", "follow", F.explode("keys").alias("key")).join(chosen, "key")
+    whole = lines.where("host IS NOT NULL").select("id", "line_no", "follow", "host", F.element_at("keys", 1).alias("key"))
+    hit = hit.unionByName(whole.join(host_lines(rows, introduces), ["host", "key"]).select(*hit.columns))
     direct = hit.select("id", "line_no")
     listed = hit.where("intro").select("id", F.explode("follow").alias("line_no"))
     paths = lines.where("path").select("id", "line_no")

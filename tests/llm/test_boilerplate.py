@@ -93,3 +93,15 @@ def test_copies_share_most_of_their_text():
     assert B.copies([page(10, 11, 12), page(10, 11, 13), *[page(20 + p) for p in range(8)]])[:3] == [0, 0, 2]
     assert B.copies([page(10, 11), page(11, 12), page(12, 13)]) == [0, 0, 2] and B.copies([page(*range(10 * p, 10 * p + 10), 99) for p in range(3)]) == [0, 1, 2]
     assert B.copies([{}, {1: 3}]) == [0, 1]
+
+
+def test_whole_lines_of_a_large_host_add_up_over_its_shards(spark):
+    docs, _ = corpus(2, 400)
+    own, stock = "Sign up to our weekly letter today.", "More about this in what follows below."
+    docs = [(key, url, title, "\n".join([body, *[own] * (key[:2] == "h0" and k % 50 == 0), *[stock] * (k % 50 == 1)])) for k, (key, url, title, body) in enumerate(docs)]
+    for per_shard in (400, 200):
+        got = set(rows(B.boilerplate_lines(spark.createDataFrame(docs, SCHEMA), pages_per_shard=per_shard)))
+        at = lambda line: {(key, no) for key, _, _, body in docs for no, x in enumerate(body.split("\n"), 1) if x == line}  # noqa: E731, B023
+        assert len(at(own)) == 8 and at(own) <= got
+        if per_shard == 400:  # a smaller shard may hold 3 % of it
+            assert len(at(stock)) == 16 and not at(stock) & got
