@@ -49,7 +49,7 @@ from .text import mix
 
 #: Tokens compared from a line's beginning or end; lines of more tokens are only compared as a whole.
 DEPTH, SHORT = 24, 22
-#: A list of more lines than these is content, not a list of links to other pages.
+#: Of lists with more lines than these only the head holds the lines; those within point to it.
 LIST = 12
 #: Pages of a host, over all its shards, from which a whole line may be its own, and how far (minus log of the chance) beyond other hosts.
 HOST_PAGES, HOST_CHANCE = 5, 10.0
@@ -232,7 +232,7 @@ def _read(raw: str, name: list[str]) -> tuple:
 def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: float = 0.03) -> tuple[list[tuple], list[tuple], dict[str, int]]:
     """Lines with their keys, runs with their counts, and pages by language, of one shard.
 
-    Line: (page id, line number, keys, numbers of the title-like lines that follow, path, language, whether it is the first such line of its page and copies).
+    Line: (page id, line number, keys, numbers of the title-like lines that follow, path, language, whether it is the first such line of its page and copies, line number of the head of the long list it stands in).
     Run: (language, key, kind, pages with it, pages in all, pages in which a list of titles follows, pages in which it opens a sentence within a line).
     Kinds: 0 whole lines, 2 openings, 3 endings, 4 from a mark.
     """
@@ -314,6 +314,15 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
             entries[r] = entries[r + 1] + 1
             if entries[r] <= LIST:
                 follow[r] = [y.no, *follow[r + 1]]
+    head: list[int | None] = [None] * len(lines)
+    top = 0
+    for r, n in enumerate(entries[:-1]):
+        if not r or entries[r - 1] == 0:
+            top = r
+        if n > LIST:
+            head[r] = lines[top].no
+            if top == r:
+                follow[r] = [lines[k].no for k in range(r + 1, r + n + 1)]
     out = []
     seen: set[tuple[int, int]] = set()
     for r, x in enumerate(lines):
@@ -329,7 +338,7 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
                 count.setdefault((lang, key, 3), set()).add(page[r])
         for key in x.inner:
             count.setdefault((lang, key, 4), set()).add(page[r])
-        if follow[r] and len(x.toks) <= SHORT:
+        if entries[r] and len(x.toks) <= SHORT:
             for key in (x.whole, *x.open):
                 lists.setdefault((lang, key), set()).add(page[r])
         for at in [i for i, t in enumerate(x.toks[:-3], 1) if t in STOPS]:
@@ -339,7 +348,7 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
         if not x.own:
             fresh = (x.whole, page[r]) not in seen
             seen.add((x.whole, page[r]))
-            out.append((pages[x.page][0], x.no, [x.whole, *x.open, *x.close, *x.inner] if len(x.toks) <= SHORT else [x.whole], follow[r], bool(x.path), lang, fresh))
+            out.append((pages[x.page][0], x.no, [x.whole, *x.open, *x.close, *x.inner] if len(x.toks) <= SHORT else [x.whole], follow[r], bool(x.path), lang, fresh, head[r]))
     size: dict[str, set] = {}
     for p, lang in enumerate(langs):
         size.setdefault(lang, set()).add(first[p])
@@ -348,7 +357,7 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
     return out, runs, size
 
 
-_SCHEMA = "id string, line_no int, keys array<long>, follow array<int>, path boolean, lang string, fresh boolean, host long, key long, kind int, k int, n int, lists int, inside int"
+_SCHEMA = "id string, line_no int, keys array<long>, follow array<int>, path boolean, lang string, fresh boolean, head int, host long, key long, kind int, k int, n int, lists int, inside int"
 
 
 def _shard_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,8 +381,8 @@ def _shard_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, counted, size = weigh(site, [p for _, p in sorted(pages.items())])
         host = None if site is None else xxhash.xxh3_64_intdigest(site.encode("utf-8", "surrogatepass")) - (1 << 63)
         lines += [(*x, host) for x in found]
-        runs += [(lang, None, host, *x) for lang, *x in counted]
-        runs += [(lang, None, host, None, -1, None, n, None, None) for lang, n in size.items()]
+        runs += [(lang, None, None, host, *x) for lang, *x in counted]
+        runs += [(lang, None, None, host, None, -1, None, n, None, None) for lang, n in size.items()]
         if len(lines) > 20_000:
             yield _batch(lines, runs)
             lines, runs = [], []
@@ -381,14 +390,14 @@ def _shard_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(lines, runs)
 
 
-_TYPES = [("id", pa.string()), ("line_no", pa.int32()), ("keys", pa.list_(pa.int64())), ("follow", pa.list_(pa.int32())), ("path", pa.bool_()), ("lang", pa.string()), ("fresh", pa.bool_()), ("host", pa.int64()), ("key", pa.int64()), ("kind", pa.int32()), ("k", pa.int32()), ("n", pa.int32()), ("lists", pa.int32()), ("inside", pa.int32())]
+_TYPES = [("id", pa.string()), ("line_no", pa.int32()), ("keys", pa.list_(pa.int64())), ("follow", pa.list_(pa.int32())), ("path", pa.bool_()), ("lang", pa.string()), ("fresh", pa.bool_()), ("head", pa.int32()), ("host", pa.int64()), ("key", pa.int64()), ("kind", pa.int32()), ("k", pa.int32()), ("n", pa.int32()), ("lists", pa.int32()), ("inside", pa.int32())]
 
 
 def _batch(lines: list[tuple], runs: list[tuple]) -> pa.RecordBatch:
-    left = [list(c) for c in zip(*lines)] or [[]] * 8
-    right = [list(c) for c in zip(*runs)] or [[]] * 9
+    left = [list(c) for c in zip(*lines)] or [[]] * 9
+    right = [list(c) for c in zip(*runs)] or [[]] * 10
     none = [None]
-    columns = [c + none * len(runs) for c in left[:5]] + [a + b for a, b in zip(left[5:], right[:3])] + [none * len(lines) + c for c in right[3:]]
+    columns = [c + none * len(runs) for c in left[:5]] + [a + b for a, b in zip(left[5:], right[:4])] + [none * len(lines) + c for c in right[4:]]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _TYPES)], names=[n for n, _ in _TYPES])
 
 
@@ -400,7 +409,7 @@ def host_lines(rows: DataFrame, introduces: float) -> DataFrame:
     """
     pages = rows.where("kind = -1 AND host IS NOT NULL").groupBy("host", "lang").agg(F.sum("n").alias("host_pages"))
     world = pages.groupBy("lang").agg(F.sum("host_pages").alias("world_pages"))
-    lines = rows.where("fresh AND host IS NOT NULL").select("host", "lang", F.element_at("keys", 1).alias("key"), (F.size("follow") > 0).cast("int").alias("leads"))
+    lines = rows.where("fresh AND host IS NOT NULL").select("host", "lang", F.element_at("keys", 1).alias("key"), ((F.size("follow") > 0) | F.col("head").isNotNull()).cast("int").alias("leads"))
     # One exchange serves both sums.
     per = lines.repartition("key").groupBy("key", "lang", "host").agg(F.count("*").alias("pages"), F.sum("leads").alias("leads"))
     each = per.groupBy("key", "lang").agg(F.sum("pages").alias("all"), F.collect_list(F.when(F.col("pages") >= HOST_PAGES, F.struct("host", "pages", "leads"))).alias("many"))
@@ -433,11 +442,15 @@ def boilerplate_lines(docs: DataFrame, id_col: str = "docid", url_col: str = "ur
     chosen = materialize(chosen, "runs")
 
     lines = rows.where("id IS NOT NULL")
-    hit = lines.select("id", "line_no", "follow", F.explode("keys").alias("key")).join(chosen, "key")
-    whole = lines.where("host IS NOT NULL").select("id", "line_no", "follow", "host", F.element_at("keys", 1).alias("key"))
+    hit = lines.select("id", "line_no", "follow", "head", F.explode("keys").alias("key")).join(chosen, "key")
+    whole = lines.where("host IS NOT NULL").select("id", "line_no", "follow", "head", "host", F.element_at("keys", 1).alias("key"))
     hit = hit.unionByName(whole.join(host_lines(rows, introduces), ["host", "key"]).select(*hit.columns))
     direct = hit.select("id", "line_no")
     listed = hit.where("intro").select("id", F.explode("follow").alias("line_no"))
+    # From within a long list: what its head holds beyond the line.
+    inner = hit.where("intro AND head < line_no").select("id", "head", "line_no").groupBy("id", "head").agg(F.min("line_no").alias("after"))
+    long = lines.where("head = line_no").select("id", "head", F.explode("follow").alias("line_no"))
+    listed = listed.unionByName(long.join(inner, ["id", "head"]).where("line_no > after").select("id", "line_no"))
     paths = lines.where("path").select("id", "line_no")
     kind = docs.schema[id_col].dataType
     return direct.unionByName(listed).unionByName(paths).distinct().select(F.col("id").cast(kind).alias(id_col), "line_no")

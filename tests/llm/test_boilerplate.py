@@ -105,3 +105,20 @@ def test_whole_lines_of_a_large_host_add_up_over_its_shards(spark):
         assert len(at(own)) == 8 and at(own) <= got
         if per_shard == 400:  # a smaller shard may hold 3 % of it
             assert len(at(stock)) == 16 and not at(stock) & got
+
+
+def test_long_lists_are_cut_as_short_ones(spark):
+    docs, _ = corpus(3, 20)
+    r = random.Random(4)
+    name = lambda: "".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(4))
+    listed, kept, out = set(), set(), []
+    for key, url, title, body in docs:
+        # A poem has no leader; the list of related titles has one on every page.
+        lines = [*body.split("\n"), f"{name()} wrote what {name()} had said to {name()}.", *[f"{name()} {name()}" for _ in range(15)], "It ended there.", "Related articles", *[f"{name()} {name()} {name()}" for _ in range(20)]]
+        n = len(lines)
+        listed |= {(key, k) for k in range(n - 19, n + 1)}
+        kept |= {(key, k) for k in range(n - 36, n - 21)}
+        out.append((key, url, title, "\n".join(lines)))
+    got = set(rows(B.boilerplate_lines(spark.createDataFrame(out, SCHEMA))))
+    assert listed <= got
+    assert len(kept) == 15 * 60 and not kept & got
