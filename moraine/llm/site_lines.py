@@ -3,11 +3,14 @@
 A line's key is its letters in lower case. For every (site, key) the number of
 documents of the site holding it is compared with its frequency outside the
 site by the log-likelihood ratio; the excess lines are those whose p-value
-passes the Benjamini-Hochberg procedure over all (site, key) pairs. The outside
-rate comes from the sites in which the key itself does not recur, so that a
-phrase every site repeats is no evidence against itself. Lines that are in
-excess and recur (at least ``min_docs`` documents and ``min_share`` of the
-site) are removed and the body is put together again by position.
+passes the Benjamini-Hochberg procedure over all (site, key) pairs. Outside are
+the documents of the sites in which the key itself does not recur (at least
+``min_docs`` documents and ``min_share`` of the site), counted as they are, with
+half a document in one as prior: a phrase that many sites repeat is no evidence
+against itself, while a phrase that stands scattered over all sites about as
+often as here is none of this site's and stays. Lines that are in excess and
+recur are removed and the body is put together again by position. Lines are
+split and keyed once, into a written step that counting and removal share.
 
 The p-values are ranked by a histogram of their logarithm (fixed width), so
 nothing that grows with the data reaches the driver. Counting is a map-side
@@ -17,8 +20,9 @@ twice count once.
 Defined cases: rows without an id are left out; rows without a url belong to no
 site; null and empty bodies
 count as documents of the site without lines; lines without letters are never
-cases; with a single site the outside rate is half an occurrence in fifty times
-the site; an empty table gives an empty result.
+cases; a line that no document outside holds (or with no outside at all: a single
+site, or a key recurring in every site) has nothing to compare with, and its
+recurring decides; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ from ..runtime import materialize
 
 #: Histogram of -log10(p): cells of 1/CELL, up to MOST.
 CELL, MOST = 50, 400
+#: Documents added to those holding a line outside, of twice as many added to all outside.
+PRIOR = 0.5
 
 
 def site_of(url: Column) -> Column:
@@ -73,21 +79,29 @@ def site_lines(docs: DataFrame, id_col: str = "docid", url_col: str = "url", bod
     return lines.select("id", (F.col("pos") + 1).alias("line_no"), "site", letters_of(F.col("line")).alias("letters")).where(F.col("letters") != "").select("id", "line_no", "site", F.xxhash64("letters").alias("key"))
 
 
-def line_tests(docs: DataFrame, id_col: str = "docid", url_col: str = "url", body_col: str = "body", min_docs: int = 5, min_share: float = 0.02) -> DataFrame:
-    """Recurring (site, key) pairs with counts inside and outside, and -log10 of the p-value; ``tested`` is the number of pairs."""
-    lines = site_lines(docs, id_col, url_col, body_col)
-    sizes = docs.select(F.xxhash64(site_of(F.col(url_col))).alias("site"), site_of(F.col(url_col)).isNotNull().alias("known"), F.col(id_col).alias("id")).where("known").groupBy("site").agg(F.count_distinct("id").alias("site_docs"))
-    inside = lines.groupBy("site", "key", "id").count().groupBy("site", "key").agg(F.count("*").alias("docs"))
+def site_sizes(docs: DataFrame, id_col: str = "docid", url_col: str = "url") -> DataFrame:
+    """``(site, site_docs)``: documents of each site, with or without lines."""
+    d = docs.select(site_of(F.col(url_col)).alias("host"), F.col(id_col).alias("id")).where(F.col("host").isNotNull())
+    return d.groupBy(F.xxhash64("host").alias("site")).agg(F.count_distinct("id").alias("site_docs"))
+
+
+def line_tests(lines: DataFrame, sizes: DataFrame, min_docs: int = 5, min_share: float = 0.02) -> DataFrame:
+    """Recurring (site, key) pairs with counts inside and outside, and -log10 of the p-value; ``tested`` is the number of pairs.
+
+    ``lines``: id, site, key; ``sizes``: site, site_docs.
+    """
+    inside = lines.select("site", "key", "id").distinct().groupBy("site", "key").agg(F.count("*").alias("docs"))
     pairs = materialize(inside.join(sizes, "site"), "pairs")
     recurs = (F.col("docs") >= min_docs) & (F.col("docs") >= min_share * F.col("site_docs"))
     cases = pairs.where(recurs)
     world = sizes.agg(F.coalesce(F.sum("site_docs"), F.lit(0))).scalar()
     keys = cases.select("key").distinct()
     # Of each key that recurs anywhere: documents holding it elsewhere, and documents of the sites in which it recurs.
-    outside = pairs.join(keys, "key", "left_semi").groupBy("key").agg(F.sum(F.when(~recurs, F.col("docs")).otherwise(0)).alias("k2"), F.sum(F.when(recurs, F.col("site_docs")).otherwise(0)).alias("used"))
+    outside = pairs.join(keys, "key", "left_semi").groupBy("key").agg(F.sum(F.when(~recurs, F.col("docs")).otherwise(0)).alias("outside_docs"), F.sum(F.when(recurs, F.col("site_docs")).otherwise(0)).alias("used"))
     t = cases.join(outside, "key").withColumns({"all_docs": world, "tested": pairs.agg(F.count("*")).scalar()})
-    n2 = F.greatest((F.col("all_docs") - F.col("used")).cast("double"), 50.0 * F.col("site_docs"))
-    return t.select("site", "key", "docs", "site_docs", "tested", _minus_log10_p(F.col("docs").cast("double"), F.col("site_docs").cast("double"), F.col("k2") + F.lit(0.5), n2 + 0.5).alias("score"))
+    t = t.withColumn("outside", F.col("all_docs") - F.col("used"))
+    score = _minus_log10_p(F.col("docs").cast("double"), F.col("site_docs").cast("double"), F.col("outside_docs") + PRIOR, F.col("outside") + 2 * PRIOR)
+    return t.select("site", "key", "docs", "site_docs", "outside_docs", "outside", "tested", F.when(F.col("outside_docs") > 0, score).otherwise(F.lit(float(MOST))).alias("score"))
 
 
 def excess_lines(tests: DataFrame, rate: float = 0.05) -> DataFrame:
@@ -104,9 +118,10 @@ def excess_lines(tests: DataFrame, rate: float = 0.05) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, id_col: str = "docid", url_col: str = "url", body_col: str = "body", min_docs: int = 5, min_share: float = 0.02, rate: float = 0.05) -> DataFrame:
     """``(id, line_no)`` of the lines to remove."""
-    tests = materialize(line_tests(docs, id_col, url_col, body_col, min_docs, min_share), "tests")
+    lines = materialize(site_lines(docs, id_col, url_col, body_col), "site-lines")
+    tests = materialize(line_tests(lines, site_sizes(docs, id_col, url_col), min_docs, min_share), "tests")
     bad = excess_lines(tests, rate).select("site", "key")
-    return site_lines(docs, id_col, url_col, body_col).join(bad, ["site", "key"], "left_semi").select(F.col("id").alias(id_col), "line_no").distinct()
+    return lines.join(bad, ["site", "key"], "left_semi").select(F.col("id").alias(id_col), "line_no").distinct()
 
 
 def without_lines(docs: DataFrame, bad: DataFrame, id_col: str = "docid", body_col: str = "body") -> DataFrame:

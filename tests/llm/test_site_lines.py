@@ -76,3 +76,24 @@ def test_clashing_columns_and_reassembly(spark):
     assert len(clean) == len(corpus())
     whole = S.without_lines(spark.createDataFrame([("z", None), ("y", "")], "docid string, body string"), bad)
     assert {r.docid: (r.body, r.lines_cut) for r in whole.collect()} == {"z": (None, 0), "y": ("", 0)}
+
+
+def test_the_test_decides(spark):
+    """A phrase as frequent elsewhere as here stays, though it recurs here; one that is only this site's goes."""
+    docs = []
+    for site in range(41):
+        for i in range(200):
+            lines = [f"text {chr(97 + site % 26)}{chr(98 + site // 26)} {chr(97 + i % 26)}{chr(98 + i // 26)}"]
+            if i < (5 if site == 0 else 4):
+                lines.append("a common saying")
+            if site == 0 and i < 5:
+                lines.append("our own notice")
+            docs.append((f"{site}-{i}", f"http://s{site}.example/{i}", "\n".join(lines)))
+    df = spark.createDataFrame(docs, SCHEMA)
+    want = {f"0-{i}" for i in range(5)}
+    got = rows(S.repeated_lines(df))
+    assert got == sorted((d, 3) for d in want)
+    assert {(d, 2) for d in want} | set(got) == set(brute(docs))  # the bare rule would take both
+    lines = S.site_lines(df)
+    t = {r.score > 3: r for r in S.line_tests(lines, S.site_sizes(df)).collect()}
+    assert t[False].outside_docs == 160 and t[False].outside == 8000 and t[True].outside_docs == 0
