@@ -48,3 +48,18 @@ g AS (SELECT id, min(other) AS group_id FROM r GROUP BY id),
 c AS (SELECT n.docid, least(n.docid, coalesce(min(e.y), n.docid)) AS class FROM n LEFT JOIN e ON e.x = n.docid AND same GROUP BY n.docid),
 m AS (SELECT a.class, count(DISTINCT b.class) AS links FROM e JOIN c a ON a.docid = x JOIN c b ON b.docid = y WHERE a.class <> b.class GROUP BY a.class)
 SELECT g.id AS docid, group_id, coalesce(links, 0) AS links FROM g JOIN c ON c.docid = g.id LEFT JOIN m USING (class)"""
+
+# The mix with sizes in white-space words: the same keys, epochs and prefix sums by windows over whole sources.
+_W8 = """
+WITH t AS (SELECT source, max(coalesce(target_share, 0.0)) AS share, max(coalesce(max_repeats, 0)) AS most FROM mix_targets WHERE source IS NOT NULL GROUP BY source),
+r AS (SELECT doc_id, source, coalesce(text, '') AS x, len(regexp_extract_all(coalesce(text, ''), '[\\x21-\\x7e]+')) AS tokens FROM documents WHERE source IN (SELECT source FROM t)),
+k AS (SELECT *, -ln((CAST('0x' || substr(md5('7|' || CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) + 1) / 281474976710656.0::DOUBLE) / greatest(greatest(0.05::DOUBLE, (1.0::DOUBLE - CAST(length(x) - length(translate(x, '0123456789.,;:!?()[]{}<>|/\\*#@&%$_=+~^"''', '')) AS DOUBLE) / greatest(length(x), 1)) * least(1.0::DOUBLE, length(x) / 400.0::DOUBLE)), 1e-6::DOUBLE) AS key FROM r),
+o AS (SELECT source, sum(tokens) AS own FROM r GROUP BY source),
+p AS (SELECT t.source, share, most, CAST(coalesce(own, 0) AS BIGINT) AS own, share * (SELECT sum(own) FROM o) AS budget FROM t LEFT JOIN o USING (source)),
+q AS (SELECT *, CASE WHEN own > 0 THEN least(most, CAST(floor(budget / own) AS BIGINT)) ELSE 0 END AS epochs FROM p),
+c AS (SELECT k.doc_id, source, tokens, epochs, epochs < most AND sum(tokens) OVER (PARTITION BY source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) <= budget - epochs * own AS extra FROM k JOIN q USING (source) WHERE tokens > 0),
+m AS (SELECT doc_id, source, CAST(tokens AS BIGINT) AS tokens, CAST(epochs + CASE WHEN extra THEN 1 ELSE 0 END AS BIGINT) AS repeats FROM c)"""
+SQL["p8_mix_words"] = _W8 + " SELECT * FROM m WHERE repeats > 0"
+SQL["p8_shares_words"] = _W8 + """,
+u AS (SELECT source, CAST(sum(tokens * repeats) AS BIGINT) AS used, count(*) AS records FROM m WHERE repeats > 0 GROUP BY source)
+SELECT source, own AS own_tokens, CAST(epochs AS BIGINT) AS epochs, coalesce(records, 0) AS records, coalesce(used, 0) AS used_tokens, round(coalesce(used, 0) / (SELECT sum(used) FROM u), 9) AS share_of_mix, budget <= most * own AS reachable FROM q LEFT JOIN u USING (source)"""

@@ -71,6 +71,20 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def _mixed_words(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The mix with sizes in white-space words, which SQL can count, too."""
+    size = F.coalesce(F.regexp_count("text", F.lit(r"[\x21-\x7e]+")), F.lit(0))
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), size=size.cast("long"))
+
+
+def p8_mix_words(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed_words(spark, d)[0]
+
+
+def p8_shares_words(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed_words(spark, d)[1].select("source", "own_tokens", "epochs", "records", "used_tokens", F.round("share_of_mix", 9).alias("share_of_mix"), "reachable")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_bands(table(spark, d, "documents"), table(spark, d, "reading_labels")).select("doc_id", "band")
 
@@ -80,4 +94,4 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return bands.groupBy("band").agg(F.count("*").alias("documents"), F.round(F.avg("level"), 3).alias("mean_level"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_main, p4_found, p4_clean, p5_found, p5_restored, p6_found, p6_pieces, p7_found, p8_found, p8_mix, p8_shares, p9_found, p9_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_main, p4_found, p4_clean, p5_found, p5_restored, p6_found, p6_pieces, p7_found, p8_found, p8_mix, p8_shares, p8_mix_words, p8_shares_words, p9_found, p9_profile)}

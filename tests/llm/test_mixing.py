@@ -38,7 +38,7 @@ def test_ranges_do_not_change_the_choice(spark, docs):
     t = spark.createDataFrame([("big", 0.2, 1), ("mid", 0.8, 2)], TARGETS)
     r = M.measured(docs, t)
     p = M.plan(r, t)
-    assert rows(M.choose(r, p)) == rows(M.choose(r, p, per_range=7))
+    assert rows(M.choose(r, p)) == rows(M.choose(r, p, ranges=1)) == rows(M.choose(r, p, ranges=40))
 
 
 def test_weights_prefer_heavier_records(spark):
@@ -49,6 +49,16 @@ def test_weights_prefer_heavier_records(spark):
     assert len(odd) == 500 and sum(odd) > 430
 
 
+@pytest.mark.parametrize("scale", [1e-6, 1.0, 1000.0])
+def test_scale_of_weights_is_harmless(spark, docs, scale):
+    t = spark.createDataFrame([("big", 0.2, 1), ("mid", 0.8, 2)], TARGETS)
+    r = M.measured(docs, t, weight=F.lit(scale))
+    got = [tuple(x)[::3] for x in rows(M.choose(r, M.plan(r, t)))]
+    one = M.measured(docs, t, weight=F.lit(1.0))
+    assert got == [tuple(x)[::3] for x in rows(M.choose(one, M.plan(one, t)))]
+    assert r.where("tokens > 0").count() > 500
+
+
 def test_empty_tables(spark, docs):
     t = spark.createDataFrame([("big", 0.5, 1)], TARGETS)
     chosen, report = M.mix(docs.limit(0), t)
