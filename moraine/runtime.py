@@ -70,7 +70,23 @@ def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
     df.write.parquet(path)
     if os.path.isdir(path.removeprefix("file://")):
         _OWN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._step = path
+    return out
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as that knows it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def discard(step: DataFrame) -> None:
+    """Remove a written step, wherever it lies, once all that reads it has been written itself."""
+    path = getattr(step, "_step", None)
+    if path:
+        fs, at = file_system(step.sparkSession, path)
+        fs.delete(at, True)
 
 
 def width(spark: SparkSession) -> int:
