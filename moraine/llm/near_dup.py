@@ -29,7 +29,8 @@ kept aside, and copies are never compared.
 
 Defined cases: null texts and texts of fewer words than a shingle have no
 shingles and are in no pair; identical texts under several ids form one class;
-repeated rows count once; words are case-folded runs of letters and digits; an
+repeated rows count once, and of an id
+delivered with different texts one (of the least hash); words are case-folded runs of letters and digits; an
 empty table gives an empty result.
 """
 
@@ -281,9 +282,12 @@ def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, t
 def near_duplicates(docs: DataFrame, id_col: str = "docid", text_col: str = "body", size: int = 3, least: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """Membership ``(id, class)`` and links ``(a, b, similarity)`` between classes; a class is named by its least id."""
     rows = materialize(signed(docs, id_col, text_col, size), "signed")
-    texts = rows.groupBy("c1", "c2").agg(F.min("id").alias("class"), *[F.first(c).alias(c) for c in ("key", "f1", "f2", "roots")])
-    texts = materialize(texts, "classes")
-    members = rows.select("id", "c1", "c2").join(texts.select("c1", "c2", "class"), ["c1", "c2"]).select("id", "class").distinct()
+    one = rows.groupBy("id").agg(F.min(F.struct("c1", "c2")).alias("c")).select("id", "c.c1", "c.c2")
+    one = materialize(one, "one")
+    named = one.groupBy("c1", "c2").agg(F.min("id").alias("class"))
+    texts = rows.groupBy("c1", "c2").agg(*[F.first(c).alias(c) for c in ("key", "f1", "f2", "roots")])
+    texts = materialize(texts.join(named, ["c1", "c2"]), "classes")
+    members = one.join(texts.select("c1", "c2", "class"), ["c1", "c2"]).select("id", "class")
     pairs = materialize(candidate_pairs(texts.select(F.col("key").alias("id"), "f1", "f2", "roots"), budgets(least)), "candidates")
     return members, verified(pairs, texts, docs, id_col, text_col, size, least)
 

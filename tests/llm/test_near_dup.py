@@ -131,7 +131,7 @@ def test_running_budgets_prune():
 
 
 def test_changed_deliveries_and_hubs(spark):
-    """A docid delivered with two texts is in the pairs of both; a text close to many is found with each."""
+    """An id delivered with two texts counts with one of them; a text close to many is found with each."""
     words = [f"w{i}" for i in range(300)]
     docs = [("hub", " ".join(words))]
     for k in range(40):
@@ -140,6 +140,6 @@ def test_changed_deliveries_and_hubs(spark):
         docs.append((f"n{k:02}", " ".join(own)))
     docs += [("two", "a b c d e f g h"), ("two", "k l m n o p q r"), ("u", "a b c d e f g h"), ("v", "k l m n o p q r")]
     got = pairs(spark, docs)[2]
-    assert {("two", "u"), ("two", "v")} <= set(got)
-    assert got == sorted({*brute(docs[:41]), ("two", "u"), ("two", "v")})
+    assert [p for p in got if "two" in p] in ([("two", "u")], [("two", "v")])
+    assert [p for p in got if "two" not in p] == brute(docs[:41])
     assert sum("hub" in p for p in got) == 40
