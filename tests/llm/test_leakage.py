@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from conftest import rows
 
 from moraine.llm import leakage as L
@@ -48,7 +49,6 @@ def test_against_brute_force(spark):
     D, I = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = brute(docs, items)
     assert rows(L.leaks(D, I).select("doc_id", "item_id")) == want and len(want) > 20
-    assert rows(L.leaks(D, I, block=3).select("doc_id", "item_id")) == want
 
 
 def test_normal_forms(spark):
@@ -73,4 +73,50 @@ def test_masks_hit_every_stretch_that_counts():
             inner = range(1, n - 1)
             for k in r.sample(inner, min(len(inner), n // 10)):
                 ok[k] = False
-            assert any(all(ok[p + k] for k in m) for m in L.masks_for(n) for p in range(n - m[-1])), (n, ok)
+            assert any(all(ok[p + k] for k in range(len(m)) if m[k] == "1") for m in L.masks_for(n) for p in range(n - len(m) + 1)), (n, ok)
+
+
+def test_masks_are_lossless_and_their_gaps_are_needed():
+    for masks, least in ((L.LONG, L.FROM_LONG), (L.MIDDLE, 10)):
+        fewest = L.least_blocking(masks, 200)
+        assert all(fewest[n] > n // 10 for n in range(least, 201))
+        alone = L.least_blocking(masks[:1], 200)
+        assert any(alone[n] <= n // 10 for n in range(least, 201))
+    # Nothing may be replaced under ten words.
+    assert all(L.least_blocking(L.MIDDLE, 9)[n] > 0 for n in range(L.FROM_MIDDLE, 10))
+
+
+def test_without_the_spaced_masks_a_case_is_lost(spark):
+    """Twenty words of an item of forty, with two of them replaced such that no seven in a row are left."""
+    item = [f"w{i}" for i in range(40)]
+    part = item[5:25]
+    part[6], part[13] = "x", "y"
+    D = spark.createDataFrame([(1, " ".join(["before"] * 9 + part + ["after"] * 9))], "doc_id long, text string")
+    I = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert [tuple(r) for r in L.leaks(D, I).collect()] == [(1, 1, 20, 40)]
+    runs = L.LONG[:1]
+    assert L.leaks(D, I, masks=lambda least: runs).collect() == []
+
+
+def test_stretch_against_all_runs():
+    r = random.Random(5)
+    for _ in range(300):
+        same = np.array([r.random() < 0.85 for _ in range(r.randrange(1, 40))])
+        at = np.flatnonzero(same).tolist()
+        want = max((y - x + 1 for i, x in enumerate(at) for j, y in enumerate(at[i:], i) if 10 * (y - x + 1 - (j - i + 1)) <= y - x + 1), default=0)
+        assert L.stretch(same, 100) == want
+
+
+def test_long_items_and_many(spark):
+    """An item of 20,000 words, and more items than documents, in one pass."""
+    long = " ".join(f"w{i * i % 7919}" for i in range(20_000))
+    items = [(0, long)] + [(k, f"the same beginning of all items here item {k} " + " ".join(f"v{k}x{j}" for j in range(20))) for k in range(1, 800)]
+    docs = [(1, "x " * 500 + long[:80_000]), (2, items[7][1]), (3, "the same beginning of all items here and no more")]
+    D, I = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert rows(L.leaks(D, I).select("doc_id", "item_id")) == [(1, 0), (2, 7)]
+
+
+def test_more_replaced_words_than_the_masks_bear(spark):
+    D = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        L.leaks(D, D.toDF("item_id", "text"), replaced=0.2)
