@@ -1,23 +1,27 @@
 """Page boilerplate mixed with main content (problem 2).
 
-Host suffix array. The pages of a host are concatenated as streams of tokens
-with line ends as tokens of their own (numbers and the site's own name are
-placeholders), and the suffixes that begin a line are sorted. Neighbours in
-that order share their longest runs, which gives for every line the longest run
-from its beginning that stands in several distinct pages of the host; the same
-is done from line ends backwards. Copies of a page within a host, whole or
-reworked, count as one page. Hosts of many pages are cut into shards of bounded size, each of which has
-a suffix array of its own.
-
-Runs are then weighed over all hosts. A run is boilerplate if it fills whole
-lines of a share of a shard's pages, or, on its own host, of more of the host's
-pages than the share of other hosts' pages explains, or if it opens (or closes) short lines and
-either its share of pages differs from host to host far more than chance allows
-- article text draws on the same stock everywhere, templates belong to hosts -
-or it opens short lines on a large share of all pages. A line is boilerplate if
-such a run covers it; if it leads the page's own title in a path; or if it
-belongs to a list of titles introduced by a boilerplate line of a kind that
-usually introduces such lists. Everything else is kept as main content.
+Host suffix array. The pages of a host are concatenated into one stream of
+tokens, with tokens of their own for the ends of lines and of pages (numbers and
+the site's own name are placeholders), and the suffixes of the stream that begin
+at a line are sorted, as are those of the reversed stream that begin at a line's
+end. Neighbours in that order share their longest runs, which gives for every
+line the longest run from its beginning, on over the following lines, and from
+its end backwards, that stands in several distinct pages of the host. Copies of
+a page within a host, whole or reworked, count as one page. Hosts of many pages
+are cut into shards of bounded size, each of which has a suffix array of its own.
+
+Runs are then weighed. A block of two lines or more that several pages repeat
+line by line is boilerplate, and so is a line that stands on more of a host's
+pages, added up over its shards, than the share of other hosts' pages explains:
+it is cut on that host, and everywhere only once it belongs to several hosts, or
+if its share of a language's pages differs from host to host far more than
+chance allows, or is large altogether. Headings that a host repeats on some
+pages are thus kept on all others. Openings (or closings) of short lines are
+weighed over all hosts alike: article text draws on the same stock everywhere,
+templates belong to hosts. A line is boilerplate if such a run covers it; if it
+leads the page's own title in a path; or if it belongs to a list of titles
+introduced by a boilerplate line of a kind that usually introduces such lists.
+Everything else is kept as main content.
 
 The page's own title is never boilerplate. Shares are taken per language, as
 pages of a language gather on few hosts.
@@ -52,7 +56,11 @@ DEPTH, SHORT = 24, 22
 #: Of lists with more lines than these only the head holds the lines; those within point to it.
 LIST = 12
 #: Pages of a host, over all its shards, from which a whole line may be its own, and how far (minus log of the chance) beyond other hosts.
-HOST_PAGES, HOST_CHANCE = 5, 10.0
+HOST_PAGES, HOST_CHANCE = 3, 10.0
+#: The same for lines of ``LONG`` tokens or more: the pages of one text, whose copies stand in several shards, share such lines, too.
+LONG_PAGES = 5
+#: Hosts a whole line must belong to before it is cut on all.
+HOSTS = 3
 #: Copies are looked for among pages that share a line of so many tokens.
 LONG = 30
 #: Of the tokens of lines that stand on few pages, and of all tokens, copies share at least so much.
@@ -114,10 +122,11 @@ def _placed(toks: list[str], name: list[str]) -> list[str]:
     return out
 
 
-def language(words: list[str]) -> str:
-    """A rough language: that of the most function words."""
-    n = Counter(words)
-    if sum(k for w, k in n.items() if "Ѐ" <= w[0] <= "ӿ") * 2 > len(words):
+def language(toks: list[str]) -> str:
+    """A rough language of a page's tokens: that of the most function words."""
+    n = Counter(toks)
+    total = sum(k for w, k in n.items() if w[0].isalpha())
+    if sum(k for w, k in n.items() if "Ѐ" <= w[0] <= "ӿ") * 2 > total:
         return "ru"
     score = {k: sum(n[w] for w in s if w in n) for k, s in _SETS.items()}
     best = max(score, key=score.get)
@@ -268,7 +277,7 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
                 x.open, x.close, x.inner = [], [], []
             held[p][x.whole] = len(x.toks)
             lines.append(x)
-        langs.append(language([w for w in words if w[0].isalpha()]))
+        langs.append(language(words))
     if not lines:
         return [], [], {}
 
@@ -276,23 +285,44 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
     first = copies(held)
     page = np.array([first[x.page] for x in lines])
     n_pages = len(set(page.tolist()))
+    # The stream of the host: lines end in a token of their own, pages in one that no other page has.
     number: dict[str, int] = {LINE_END: 1}
-    ahead: list[int] = []
-    back: list[int] = []
-    pad = [0] * DEPTH
-    numbered: dict[int, tuple[list[int], list[int]]] = {}
-    for x in lines:
-        both = numbered.get(x.whole)
-        if both is None:
-            ids = [number.setdefault(t, len(number) + 1) for t in (x.toks if len(x.toks) <= 2 * DEPTH else x.toks[:DEPTH] + x.toks[-DEPTH:])]
-            both = numbered[x.whole] = ([*ids, 1, *pad][:DEPTH], [*ids[::-1], 1, *pad][:DEPTH])
-        ahead += both[0]
-        back += both[1]
-    forward, backward = (np.array(a, np.uint32).reshape(-1, DEPTH) for a in (ahead, back))
+    numbered: dict[int, list[int]] = {}
+    stream: list[int] = []
+    start = np.zeros(len(lines) + 1, np.int64)
+    for r, x in enumerate(lines):
+        ids = numbered.get(x.whole)
+        if ids is None:
+            # Beyond the windows' depth nothing of a line is compared from its ends.
+            toks = x.toks if len(x.toks) <= 2 * DEPTH else x.toks[:DEPTH] + x.toks[-DEPTH:]
+            ids = numbered[x.whole] = [*[number.setdefault(t, len(number) + 1) for t in toks], 1]
+        stream += ids
+        start[r + 1] = len(stream)
+        if r + 1 == len(lines) or lines[r + 1].page != x.page:
+            stream[-1] = (1 << 32) - 1 - x.page
+    flat = np.array([0] * DEPTH + stream + [0] * DEPTH, np.uint32)
+    ahead, back = np.arange(DEPTH), -np.arange(DEPTH)
+    forward = flat[(start[:-1] + DEPTH)[:, None] + ahead]
+    backward = flat[(start[1:] + DEPTH - 2)[:, None] + back]
+    # The last line of a page ends as any other.
+    size = np.diff(start) - 1
+    last = np.flatnonzero(flat[start[1:] + DEPTH - 1] != 1)
+    inside = size[last] < DEPTH
+    forward[last[inside], size[last[inside]]] = 1
+    inside = size[last] + 1 < DEPTH
+    forward[last[inside], size[last[inside]] + 1] = flat[start[last[inside] + 1] + DEPTH - 1]
     least = max(3, int(np.ceil(strict * n_pages)))
-    from_start = run_lengths(forward, page, least).tolist()
+    from_start = run_lengths(forward, page, least)
     from_end = run_lengths(backward, page, 3).tolist()
-    loose = run_lengths(forward, page, 3).tolist()
+    loose = run_lengths(forward, page, 3)
+    # Blocks: runs over the ends of lines, which several pages hold line by line.
+    block = np.zeros(len(lines) + 1, np.int64)
+    past = np.searchsorted(start[1:], start[:-1] + loose, "right")
+    many = past - np.arange(len(lines)) >= 2
+    np.add.at(block, np.flatnonzero(many), 1)
+    np.subtract.at(block, past[many], 1)
+    block = (np.cumsum(block)[:-1] > 0).tolist()
+    from_start, loose = from_start.tolist(), loose.tolist()
     page = page.tolist()
 
     certain = [False] * len(lines)
@@ -303,7 +333,7 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
     # Beyond the windows' depth lines are compared as a whole.
     long: dict[int, set] = {}
     for r, x in enumerate(lines):
-        if len(x.toks) >= DEPTH and from_start[r] >= DEPTH and from_end[r] >= DEPTH:
+        if len(x.toks) >= DEPTH and loose[r] >= DEPTH and from_end[r] >= DEPTH:
             long.setdefault(x.whole, set()).add(page[r])
     for r, x in enumerate(lines):
         certain[r] = not x.own and (from_start[r] > len(x.toks) if len(x.toks) < DEPTH else len(long.get(x.whole, ())) >= least)
@@ -327,7 +357,7 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
     seen: set[tuple[int, int]] = set()
     for r, x in enumerate(lines):
         lang = langs[x.page]
-        if certain[r]:
+        if not x.own and (loose[r] > len(x.toks) if len(x.toks) < DEPTH else len(long.get(x.whole, ())) >= 3):
             count.setdefault((lang, x.whole, 0), set()).add(page[r])
         # A line known as a whole speaks for its opening only if it has a slot to fill.
         for k, key in zip(OPEN, x.open):
@@ -348,7 +378,7 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
         if not x.own:
             fresh = (x.whole, page[r]) not in seen
             seen.add((x.whole, page[r]))
-            out.append((pages[x.page][0], x.no, [x.whole, *x.open, *x.close, *x.inner] if len(x.toks) <= SHORT else [x.whole], follow[r], bool(x.path), lang, fresh, head[r]))
+            out.append((pages[x.page][0], x.no, [x.whole, *x.open, *x.close, *x.inner] if len(x.toks) <= SHORT else [x.whole], follow[r], bool(x.path) or block[r], lang, fresh, head[r], len(x.toks)))
     size: dict[str, set] = {}
     for p, lang in enumerate(langs):
         size.setdefault(lang, set()).add(first[p])
@@ -357,7 +387,7 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
     return out, runs, size
 
 
-_SCHEMA = "id string, line_no int, keys array<long>, follow array<int>, path boolean, lang string, fresh boolean, head int, host long, key long, kind int, k int, n int, lists int, inside int"
+_SCHEMA = "id string, line_no int, keys array<long>, follow array<int>, path boolean, lang string, fresh boolean, head int, n_toks int, host long, key long, kind int, k int, n int, lists int, inside int"
 
 
 def _shard_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,8 +411,8 @@ def _shard_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, counted, size = weigh(site, [p for _, p in sorted(pages.items())])
         host = None if site is None else xxhash.xxh3_64_intdigest(site.encode("utf-8", "surrogatepass")) - (1 << 63)
         lines += [(*x, host) for x in found]
-        runs += [(lang, None, None, host, *x) for lang, *x in counted]
-        runs += [(lang, None, None, host, None, -1, None, n, None, None) for lang, n in size.items()]
+        runs += [(lang, None, None, None, host, *x) for lang, *x in counted]
+        runs += [(lang, None, None, None, host, None, -1, None, n, None, None) for lang, n in size.items()]
         if len(lines) > 20_000:
             yield _batch(lines, runs)
             lines, runs = [], []
@@ -390,33 +420,33 @@ def _shard_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(lines, runs)
 
 
-_TYPES = [("id", pa.string()), ("line_no", pa.int32()), ("keys", pa.list_(pa.int64())), ("follow", pa.list_(pa.int32())), ("path", pa.bool_()), ("lang", pa.string()), ("fresh", pa.bool_()), ("head", pa.int32()), ("host", pa.int64()), ("key", pa.int64()), ("kind", pa.int32()), ("k", pa.int32()), ("n", pa.int32()), ("lists", pa.int32()), ("inside", pa.int32())]
+_TYPES = [("id", pa.string()), ("line_no", pa.int32()), ("keys", pa.list_(pa.int64())), ("follow", pa.list_(pa.int32())), ("path", pa.bool_()), ("lang", pa.string()), ("fresh", pa.bool_()), ("head", pa.int32()), ("n_toks", pa.int32()), ("host", pa.int64()), ("key", pa.int64()), ("kind", pa.int32()), ("k", pa.int32()), ("n", pa.int32()), ("lists", pa.int32()), ("inside", pa.int32())]
 
 
 def _batch(lines: list[tuple], runs: list[tuple]) -> pa.RecordBatch:
-    left = [list(c) for c in zip(*lines)] or [[]] * 9
-    right = [list(c) for c in zip(*runs)] or [[]] * 10
+    left = [list(c) for c in zip(*lines)] or [[]] * 10
+    right = [list(c) for c in zip(*runs)] or [[]] * 11
     none = [None]
-    columns = [c + none * len(runs) for c in left[:5]] + [a + b for a, b in zip(left[5:], right[:4])] + [none * len(lines) + c for c in right[4:]]
+    columns = [c + none * len(runs) for c in left[:5]] + [a + b for a, b in zip(left[5:], right[:5])] + [none * len(lines) + c for c in right[5:]]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _TYPES)], names=[n for n, _ in _TYPES])
 
 
-def host_lines(rows: DataFrame, introduces: float) -> DataFrame:
-    """``(host, key, intro)``: whole lines on more pages of a host, over all its shards, than other hosts' share of such pages explains.
+def host_lines(rows: DataFrame) -> DataFrame:
+    """``(host, lang, key, pages, leads)``: whole lines on more pages of a host, over all its shards, than other hosts' share of such pages explains.
 
     The chance of so many pages is bounded by that of a Poisson number
     (Chernoff); half a page stands in for lines that no other host has.
     """
     pages = rows.where("kind = -1 AND host IS NOT NULL").groupBy("host", "lang").agg(F.sum("n").alias("host_pages"))
     world = pages.groupBy("lang").agg(F.sum("host_pages").alias("world_pages"))
-    lines = rows.where("fresh AND host IS NOT NULL").select("host", "lang", F.element_at("keys", 1).alias("key"), ((F.size("follow") > 0) | F.col("head").isNotNull()).cast("int").alias("leads"))
+    lines = rows.where("fresh AND host IS NOT NULL").select("host", "lang", F.element_at("keys", 1).alias("key"), ((F.size("follow") > 0) | F.col("head").isNotNull()).cast("int").alias("leads"), (F.col("n_toks") >= LONG).alias("long"))
     # One exchange serves both sums.
-    per = lines.repartition("key").groupBy("key", "lang", "host").agg(F.count("*").alias("pages"), F.sum("leads").alias("leads"))
-    each = per.groupBy("key", "lang").agg(F.sum("pages").alias("all"), F.collect_list(F.when(F.col("pages") >= HOST_PAGES, F.struct("host", "pages", "leads"))).alias("many"))
+    per = lines.repartition("key").groupBy("key", "lang", "host").agg(F.count("*").alias("pages"), F.sum("leads").alias("leads"), F.max("long").alias("long"))
+    each = per.groupBy("key", "lang").agg(F.sum("pages").alias("all"), F.collect_list(F.when(F.col("pages") >= F.when(F.col("long"), LONG_PAGES).otherwise(HOST_PAGES), F.struct("host", "pages", "leads"))).alias("many"))
     each = each.where(F.size("many") > 0).select("key", "lang", "all", F.inline("many")).join(pages, ["host", "lang"]).join(world, "lang")
     expected = F.col("host_pages") * (F.col("all") - F.col("pages") + 0.5) / F.greatest(F.col("world_pages") - F.col("host_pages"), F.col("host_pages"))
     beyond = F.col("pages") * F.log(F.col("pages") / expected) - F.col("pages") + expected
-    return each.where((F.col("pages") > expected) & (beyond >= HOST_CHANCE)).groupBy("host", "key").agg((F.sum("leads") >= introduces * F.sum("pages")).alias("intro"))
+    return each.where((F.col("pages") > expected) & (beyond >= HOST_CHANCE)).select("host", "lang", "key", "pages", "leads")
 
 
 def boilerplate_lines(docs: DataFrame, id_col: str = "docid", url_col: str = "url", title_col: str = "title", body_col: str = "body", pages_per_shard: int = 400, spread: float = 4.0, host_share: float = 0.2, world_share: float = 0.08, introduces: float = 0.5) -> DataFrame:
@@ -438,13 +468,19 @@ def boilerplate_lines(docs: DataFrame, id_col: str = "docid", url_col: str = "ur
     ratio = F.try_divide(F.col("square") - p * F.col("pages"), p * (1 - p) * F.greatest(F.col("shards") - 1, F.lit(1)))
     anchored = F.col("inside") <= 0.1 * F.col("pages")
     opens = F.col("kind").isin(2, 3, 4) & anchored & (((ratio >= spread) & (F.col("most") >= host_share)) | (F.col("kind").eqNullSafe(2) & (p >= world_share) & (F.col("pages") >= 20)))
-    chosen = runs.where((F.col("kind") == 0) | opens).groupBy("key").agg((F.sum("lists") >= introduces * F.sum("pages")).alias("intro"))
-    chosen = materialize(chosen, "runs")
+    # Whole lines of a language: of some hosts far more than of others, or of many pages whatever the host.
+    lines_of_all = (F.col("kind") == 0) & (((ratio >= spread) & (F.col("most") >= host_share)) | ((p >= world_share) & (F.col("pages") >= 20)))
+    chosen = runs.where(lines_of_all | opens).groupBy("key").agg((F.sum("lists") >= introduces * F.sum("pages")).alias("intro"))
+    own = materialize(host_lines(rows), "host-lines")
+    intro = (F.sum("leads") >= introduces * F.sum("pages")).alias("intro")
+    # A whole line is cut on the hosts it belongs to, and everywhere once it belongs to several.
+    shared = own.groupBy("key").agg(F.count_distinct("host").alias("hosts"), intro).where(F.col("hosts") >= HOSTS).select("key", "intro")
+    chosen = materialize(chosen.unionByName(shared).groupBy("key").agg(F.max("intro").alias("intro")), "runs")
 
     lines = rows.where("id IS NOT NULL")
     hit = lines.select("id", "line_no", "follow", "head", F.explode("keys").alias("key")).join(chosen, "key")
     whole = lines.where("host IS NOT NULL").select("id", "line_no", "follow", "head", "host", F.element_at("keys", 1).alias("key"))
-    hit = hit.unionByName(whole.join(host_lines(rows, introduces), ["host", "key"]).select(*hit.columns))
+    hit = hit.unionByName(whole.join(own.groupBy("host", "key").agg(intro), ["host", "key"]).select(*hit.columns))
     direct = hit.select("id", "line_no")
     listed = hit.where("intro").select("id", F.explode("follow").alias("line_no"))
     # From within a long list: what its head holds beyond the line.

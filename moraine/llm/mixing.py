@@ -131,6 +131,6 @@ def shares(chosen: DataFrame, planned: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight=None, seed: int = 7, tokenizer: str = TOKENIZER, size=None) -> tuple[DataFrame, DataFrame]:
     """The chosen records and the report of shares reached."""
     rows = measured(docs, targets, id_col, text_col, source_col, weight, seed, tokenizer, size)
-    planned = plan(rows, targets)
+    planned = materialize(plan(rows, targets), "plan")
     chosen = materialize(choose(rows, planned), "chosen")
     return chosen.withColumnRenamed("id", id_col), shares(chosen, planned)
