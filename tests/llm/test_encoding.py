@@ -61,6 +61,44 @@ def test_lost_bytes():
     assert E.repair("Se�ora V�lmora") == ("Se�ora V�lmora", True, False)
 
 
+SCRIPTS = [
+    "今天天气很好，我们去公园散步吧。",
+    "今日はとても良い天気ですね。散歩に行きましょう。",
+    "Η γρήγορη αλεπού πηδά πάνω από το σκυλί.",
+    "השועל החום המהיר קופץ מעל הכלב של העצלן",
+    "Tiếng Việt có nhiều dấu thanh, rất đẹp và ưa nhìn.",
+    "Hello 😀 world",
+    "สวัสดีชาวโลก วันนี้อากาศดี",
+    "यह एक अच्छा दिन है और मौसम सुहावना है",
+    "안녕하세요 세계",
+    "السلام عليكم ورحمة الله",
+    "ქართული ენა მდიდარია",
+    "α-particles and β decay",
+]
+
+
+@pytest.mark.parametrize("text", SCRIPTS)
+@pytest.mark.parametrize("enc", ["cp1252", "latin-1"])
+def test_any_script(text, enc):
+    assert E.repair(text) == (text, False, True)
+    bad = "".join(bytes([b]).decode(enc, "ignore") or chr(b) for b in text.encode())
+    assert E.repair(bad) == (text, True, True)
+    assert E.repair("Sound before\n" + bad + "\nand after")[0] == "Sound before\n" + text + "\nand after"
+
+
+@pytest.mark.parametrize("text", ["café\xa0» dit-il", "«\xa0voilà\xa0»", "der Buchstabe ‚Ä‘", "Ü– und É…", "Größe: 5×”", "Fuß“", "à\xa0»", "ça… É–t", "naïveté\xa0!", "“Ñ” is a letter", "Ø–Å", "São “João”… à…"])
+def test_sound_marks_beside_letters_are_left_alone(text):
+    assert E.repair(text) == (text, False, True)
+
+
+def test_long_damaged_runs_and_short_cyrillic_lines():
+    text = "字" * 5000
+    assert E.repair(text.encode().decode("latin-1") + "é")[0] == text + "é"
+    long, short = "Вчера огород был новый, а сегодня уже тихий.", "Она"
+    bad = [t.encode("koi8-r").decode("cp1251") for t in (long, short)]
+    assert E.repair("\n".join(bad))[0] == long + "\n" + short
+
+
 def test_operator(spark):
     bad = "FÃ¼r Ã–l"
     data = [("a", None, bad), ("a", None, bad), ("b", bad, ""), ("c", "plain", "x" * 300_000), ("d", "Für", None), (None, bad, None)]
