@@ -47,7 +47,6 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize, width
 from .encoding import repair
-from .reading import _SETS
 from .site_lines import site_of
 from .text import mix
 
@@ -72,6 +71,15 @@ OPEN, CLOSE = (2, 3, 4), (4, 6)
 #: Marks that part the fields of a line; a run of three tokens from one of them is weighed, too.
 MARKS = frozenset("|·»›>/")
 STOPS = frozenset(".!?")
+#: Function words by language (fixed values), for a rough grouping of pages.
+FUNCTION = {
+    "en": "the of and to in is a that for it with as on are be this by from at or an was we my has can you your how i if when because before each must only such both whose upon their which not into than may will our do no all some most more",
+    "de": "der die das und ist ein eine einen nicht zu den dem mit für auf im von es sei wer sich auch als",
+    "fr": "le la les et est une un de des du à pour dans que qui en il on se sur plus depuis",
+    "es": "el la los las y es un una de que en por para con del se al lo más como",
+    "pt": "o a os as e é um uma de que em por para com do da não no na mais há",
+}
+_SETS = {k: frozenset(v.split()) for k, v in FUNCTION.items()}
 LINE_END = "\n"
 _TOKEN = re.compile(r"[^\W\d_]+|\d[\d.,]*|[^\w\s]|_")
 _DAMAGED = re.compile("[\x80-\x9fÃÂâ├┬Γ√¬Ð�Г]|[РВ][^\\sа-яА-ЯёЁa-zA-Z.,]")

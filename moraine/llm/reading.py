@@ -4,18 +4,27 @@ A Rasch-style latent difficulty model: a document has a level, a word has a
 difficulty and a spread, and the log-odds of meeting one word rather than
 another is linear in the document's level with the difference of their
 difficulties as slope (an occurrence of word w has the weight
-exp(-(level - difficulty_w)^2 / 2 spread_w) at a level). Joint likelihood is
-raised by alternating optimisation over the whole corpus:
+exp(-(level - difficulty_w)^2 / 2 spread_w) at a level). The joint likelihood of
+levels and words is raised by alternating optimisation over the whole corpus,
+each step taking the most likely values given the others:
 
 * given levels, a word's difficulty and spread are the mean and the variance of
-  the levels at its occurrences - one distributed sum per iteration;
+  the levels at its occurrences - one distributed sum per round;
 * given words, a document's level is the mean difficulty of its words, weighted
-  by 1 / spread - one narrow pass.
+  by 1 / spread - one narrow pass, which also sums the likelihood.
+
+Rounds end when the mean log-likelihood of an occurrence stops rising (by more
+than ``tolerance``). A human band counts in its document's level as much as all
+its words in every round; a line fitted to all labelled documents fixes the
+scale after each, and the labels set the four cut points between bands.
 
 Word parameters live in ``1 << BITS`` hashed slots, so what is gathered and
-sent out has a fixed size whatever the corpus. The human bands of labelled
-documents start the levels, fix the scale in every iteration (a line fitted to
-all labelled documents) and set the four cut points between bands.
+sent out has a fixed size whatever the corpus; words that share a slot share
+parameters.
+
+English is known by the words that stand in most labelled documents, all of
+which are English: a document must reach half the median share that those
+words have in labelled ones. No list of words of any language is needed.
 
 Defined cases: null texts, texts under ``min_words`` white-space words and texts
 not in English get no band; null bands and labels of unknown documents are
@@ -44,50 +53,58 @@ BITS = 18
 PRIOR_N, PRIOR_VAR, FLOOR = 2.0, 2.0, 0.03
 CELLS = 2000
 _WORD = re.compile(r"[^\W\d_]+")
-#: Function words by language (fixed values).
-FUNCTION = {
-    "en": "the of and to in is a that for it with as on are be this by from at or an was we my has can you your how i if when because before each must only such both whose upon their which not into than may will our do no all some most more",
-    "de": "der die das und ist ein eine einen nicht zu den dem mit für auf im von es sei wer sich auch als",
-    "fr": "le la les et est une un de des du à pour dans que qui en il on se sur plus depuis",
-    "es": "el la los las y es un una de que en por para con del se al lo más como",
-    "pt": "o a os as e é um uma de que em por para com do da não no na mais há",
-}
-_SETS = {k: frozenset(v.split()) for k, v in FUNCTION.items()}
-
-
-def is_english(words: list[str]) -> bool:
-    """Whether English function words make up enough of the words, and more than those of any other language."""
-    if not words:
-        return False
-    n = Counter(words)
-    score = {k: sum(n[w] for w in s if w in n) for k, s in _SETS.items()}
-    own = score.pop("en")
-    return own >= 0.05 * len(words) and own > max(score.values())
-
-
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
-    """``(id, slots, counts)`` of the English documents with enough words."""
+#: Commonest words of the labelled documents that English is known by, and the share of their median that a document must reach.
+COMMON_WORDS, COMMON_SHARE = 50, 0.5
+
+
+def labelled(labels: DataFrame, id_col: str, band_col: str) -> DataFrame:
+    """``(id, y)``: mean band of each labelled document, repeated labels counted once."""
+    y = labels.where(F.col(band_col).isNotNull()).select(F.col(id_col).alias("id"), *[c for c in labels.columns if c not in (id_col, band_col)], F.col(band_col).alias("band")).distinct()
+    return y.groupBy("id").agg(F.avg("band").cast("double").alias("y"))
+
+
+def _slots(words: list[str], known: HashOf, bits: int) -> Counter:
+    return Counter(known[w] & ((1 << bits) - 1) for w in words)
+
+
+def common_words(docs: DataFrame, y: DataFrame, id_col: str, text_col: str, bits: int) -> np.ndarray:
+    """Slots of the words that stand in most labelled documents, all of which are English."""
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0).join(y.select("id"), "id", "left_semi")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, n = HashOf(), Counter()
+        for pdf in batches:
+            for text in pdf["text"]:
+                n.update(_slots(_WORD.findall(text.lower()), known, bits).keys())
+        yield pd.DataFrame({"slot": list(n.keys()), "n": list(n.values())})
+
+    got = src.select("text").mapInPandas(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "slot").limit(COMMON_WORDS)
+    return np.array([r["slot"] for r in got.collect()], np.int64)  # COMMON_WORDS rows
+
+
+def features(docs: DataFrame, common: np.ndarray, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, bits: int = BITS) -> DataFrame:
+    """``(id, slots, counts, share)`` of the documents with enough words; ``share`` is that of the common words."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
     kind = src.schema["id"].dataType.simpleString()
+    names = frozenset(common.tolist())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = HashOf()
         for pdf in batches:
-            keys, slots, counts = [], [], []
+            keys, slots, counts, share = [], [], [], []
             for key, text in zip(pdf["id"], pdf["text"]):
                 if len(text.split(None, min_words)) < min_words:
                     continue
                 words = _WORD.findall(text.lower())
-                if not is_english(words):
-                    continue
-                n = Counter(known[w] & ((1 << BITS) - 1) for w in words)
+                n = _slots(words, known, bits)
                 keys.append(key)
                 slots.append(np.fromiter(n.keys(), np.int32, len(n)))
                 counts.append(np.fromiter(n.values(), np.int32, len(n)))
+                share.append(sum(n[w] for w in names if w in n) / max(1, len(words)))
             if keys:
-                yield pd.DataFrame({"id": keys, "slots": slots, "counts": counts})
+                yield pd.DataFrame({"id": keys, "slots": slots, "counts": counts, "share": share})
 
-    return src.mapInPandas(run, f"id {kind}, slots array<int>, counts array<int>")
+    return src.mapInPandas(run, f"id {kind}, slots array<int>, counts array<int>, share double")
 
 
 def _flat(batch: pa.RecordBatch):
@@ -109,36 +126,54 @@ class Words:
         top = np.bincount(row, w * self.difficulty[slot], batch.num_rows)
         return self.a * top / np.maximum(np.bincount(row, w, batch.num_rows), 1e-12) + self.b
 
+    def likelihood(self, level: np.ndarray, slot: np.ndarray, n: np.ndarray) -> float:
+        """Log-likelihood of the levels at occurrences, up to a constant; words met twice or less say nothing."""
+        w = self.weight[slot] / self.a**2
+        each = 0.5 * (np.log(np.maximum(w, 1e-12)) - w * (level - self.a * self.difficulty[slot] - self.b) ** 2)
+        return float((n * each)[self.weight[slot] > 1e-5].sum())
 
-def _sums(rows: DataFrame, words: Words | None) -> Words:
-    """New word parameters from the levels of all rows: those of ``words``, moved half way to the label where there is one, or the labels alone."""
+
+def _sums(rows: DataFrame, words: Words | None, bits: int) -> tuple[Words, float]:
+    """New word parameters from the levels of all rows, and the mean log-likelihood of an occurrence under the old ones.
+
+    A row's level is the most likely one under the words as they are; where
+    there is a label, it counts as much as all words of the document. Without
+    words the labels alone are the levels.
+    """
     spark = rows.sparkSession
-    held = spark.sparkContext.broadcast(words)  # 1 << BITS slots
+    held = spark.sparkContext.broadcast(words)  # 1 << bits slots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((3, 1 << BITS))
+        total = np.zeros((3, 1 << bits))
+        likely = np.zeros(2)
         for batch in batches:
             y = batch.column("y").to_numpy(zero_copy_only=False).astype(float)
+            row, slot, n = _flat(batch)
             if held.value is None:
                 level = y
             else:
                 level = held.value.levels(batch)
                 level = np.where(np.isnan(y), level, (level + y) / 2)
-            row, slot, n = _flat(batch)
+                likely += held.value.likelihood(level[row], slot, n), n.sum()
             for k in range(3):
-                total[k] += np.bincount(slot, n * level[row] ** k, 1 << BITS)
+                total[k] += np.bincount(slot, n * level[row] ** k, 1 << bits)
         at = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(total[k][at]) for k in range(3)]], names=["slot", "n", "s", "q"])
+        # The likelihood travels in a slot of its own.
+        columns = [np.r_[at, -1].astype(np.int32), np.r_[total[0][at], likely[1]], np.r_[total[1][at], likely[0]], np.r_[total[2][at], 0.0]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["slot", "n", "s", "q"])
 
     part = rows.mapInArrow(run, "slot int, n double, s double, q double")
-    got = part.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).toPandas()  # at most 1 << BITS rows
-    n, s, q = np.zeros((3, 1 << BITS))
+    got = part.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).toPandas()  # at most 1 + (1 << bits) rows
+    own = got[got["slot"] < 0]
+    got = got[got["slot"] >= 0]
+    n, s, q = np.zeros((3, 1 << bits))
     n[got["slot"]], s[got["slot"]], q[got["slot"]] = got["n"], got["s"], got["q"]
     mean = s.sum() / max(n.sum(), 1)
     difficulty = (s + mean) / (n + 1)
     raw = np.maximum(q / np.maximum(n, 1) - (s / np.maximum(n, 1)) ** 2, 0)
     spread = (raw * n + PRIOR_VAR * PRIOR_N) / (n + PRIOR_N)
-    return Words(difficulty, np.where(n > 2, 1 / (spread + FLOOR), 1e-6))
+    likelihood = float(own["s"].sum() / max(own["n"].sum(), 1)) if words is not None else -np.inf
+    return Words(difficulty, np.where(n > 2, 1 / (spread + FLOOR), 1e-6)), likelihood
 
 
 def _labelled(rows: DataFrame, words: Words) -> pd.DataFrame:
@@ -181,19 +216,36 @@ def _cuts(rows: DataFrame, words: Words) -> list[float]:
     return list(np.maximum.accumulate(out))
 
 
-def reading_bands(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", band_col: str = "band", iterations: int = 2, min_words: int = 50) -> DataFrame:
+def fitted(rows: DataFrame, tolerance: float = 1e-3, most: int = 20, bits: int = BITS) -> tuple[Words, list[float]]:
+    """Word parameters on the scale of the labels, and the mean log-likelihood after each round.
+
+    Rounds end when the likelihood rises by less than ``tolerance`` of an
+    occurrence's, or after ``most`` of them. ``rows``: slots, counts, y.
+    """
+    known = rows.where(F.col("y").isNotNull())
+    words = _anchored(known, _sums(known, None, bits)[0])
+    course: list[float] = []
+    while True:
+        new, likelihood = _sums(rows, words, bits)
+        course.append(likelihood)
+        if len(course) > 1 and (course[-1] - course[-2] < tolerance or len(course) > most):
+            return words, course
+        words = _anchored(known, new)
+
+
+def reading_bands(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", band_col: str = "band", min_words: int = 50, bits: int = BITS) -> DataFrame:
     """``(id, level, band)`` of every English document with enough words."""
     spark = docs.sparkSession
-    y = labels.where(F.col(band_col).isNotNull()).select(F.col(id_col).alias("id"), *[c for c in labels.columns if c not in (id_col, band_col)], F.col(band_col).alias("band")).distinct()
-    y = y.groupBy("id").agg(F.avg("band").cast("double").alias("y"))
-    rows = materialize(features(docs, id_col, text_col, min_words).join(y, "id", "left"), "words")
+    y = materialize(labelled(labels, id_col, band_col), "labels")
+    common = common_words(docs, y, id_col, text_col, bits)
+    rows = materialize(features(docs, common, id_col, text_col, min_words, bits).join(y, "id", "left"), "words")
     known = rows.where(F.col("y").isNotNull())
     kind = rows.schema["id"].dataType.simpleString()
     if len(known.select("y").distinct().take(2)) < 2:
         return spark.createDataFrame([], f"{id_col} {kind}, level double, band int")
-    words = _anchored(known, _sums(known, None))
-    for _ in range(iterations):
-        words = _anchored(known, _sums(rows, words))
+    least = COMMON_SHARE * known.agg(F.percentile_approx("share", 0.5, F.lit(10_000))).first()[0]
+    rows, known = rows.where(F.col("share") >= least), known.where(F.col("share") >= least)
+    words, _ = fitted(rows, bits=bits)
     cuts = _cuts(known, words)
     held = spark.sparkContext.broadcast((words, np.array(cuts)))
 

@@ -35,10 +35,33 @@ def test_held_out_accuracy(spark):
     assert sum(got[i] == truth[i] for i in held) / len(held) >= 0.9
 
 
-def test_language_and_length():
-    assert R.is_english("the box will jump and the loud boy is in the house".split())
-    assert not R.is_english("die behörde änderte die regeln für den garten und es ist nicht so".split())
-    assert not R.is_english("для этого нужен лёгкий берег".split()) and not R.is_english([])
+OTHERS = {
+    "de": "die behörde änderte die regeln für den garten und es ist nicht so in diesem jahr auf dem markt",
+    "nl": "de gemeente wijzigde de regels voor de tuin en het is niet zo dat wij in dit jaar op de markt zijn",
+    "it": "il comune ha cambiato le regole per il giardino e non è così che in questo anno siamo al mercato",
+    "pl": "gmina zmieniła zasady dla ogrodu i nie jest tak że w tym roku jesteśmy na rynku a to jest do domu",
+    "pt": "a câmara mudou as regras para o jardim e não é assim que no ano em que a gente vai ao mercado",
+    "ru": "для этого нужен лёгкий берег и мы не были в этом году на рынке",
+}
+
+
+def test_other_languages_get_no_band(spark):
+    docs, truth = corpus(300)
+    docs += [(9000 + k, (text + " ") * 6, "en") for k, text in enumerate(OTHERS.values())]
+    labels = [(i, "ann", b) for i, b in truth.items() if i % 3 == 0]
+    D, L = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, annotator string, band int")
+    assert {r.doc_id for r in R.reading_bands(D, L).collect()} == set(truth)
+
+
+def test_likelihood_rises_until_it_settles(spark):
+    docs, truth = corpus(400, 7)
+    D = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    y = spark.createDataFrame([(i, float(b)) for i, b in truth.items() if i % 5 == 0], "id long, y double")
+    common = R.common_words(D, y, "doc_id", "text", R.BITS)
+    rows_ = R.features(D, common).join(y, "id", "left").persist()
+    _, course = R.fitted(rows_)
+    assert len(course) > 2 and course[1] > course[0] and course[-1] - course[-2] < 1e-3
+    assert all(b - a > -0.02 for a, b in zip(course, course[1:]))
 
 
 def test_edge_cases(spark):
