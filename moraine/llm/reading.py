@@ -75,7 +75,7 @@ def common_words(docs: DataFrame, y: DataFrame, id_col: str, text_col: str, bits
         known, n = HashOf(), Counter()
         for pdf in batches:
             for text in pdf["text"]:
-                n.update(_slots(_WORD.findall(text.lower()), known, bits).keys())
+                n.update(known[w] & ((1 << bits) - 1) for w in set(_WORD.findall(text.lower())))
         yield pd.DataFrame({"slot": list(n.keys()), "n": list(n.values())})
 
     got = src.select("text").mapInPandas(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "slot").limit(COMMON_WORDS)
@@ -216,13 +216,13 @@ def _cuts(rows: DataFrame, words: Words) -> list[float]:
     return list(np.maximum.accumulate(out))
 
 
-def fitted(rows: DataFrame, tolerance: float = 1e-3, most: int = 20, bits: int = BITS) -> tuple[Words, list[float]]:
+def fitted(rows: DataFrame, known: DataFrame, tolerance: float = 1e-3, most: int = 20, bits: int = BITS) -> tuple[Words, list[float]]:
     """Word parameters on the scale of the labels, and the mean log-likelihood after each round.
 
     Rounds end when the likelihood rises by less than ``tolerance`` of an
-    occurrence's, or after ``most`` of them. ``rows``: slots, counts, y.
+    occurrence's, or after ``most`` of them. ``rows``: slots, counts, y;
+    ``known``: those with a label.
     """
-    known = rows.where(F.col("y").isNotNull())
     words = _anchored(known, _sums(known, None, bits)[0])
     course: list[float] = []
     while True:
@@ -244,8 +244,8 @@ def reading_bands(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     if len(known.select("y").distinct().take(2)) < 2:
         return spark.createDataFrame([], f"{id_col} {kind}, level double, band int")
     least = COMMON_SHARE * known.agg(F.percentile_approx("share", 0.5, F.lit(10_000))).first()[0]
-    rows, known = rows.where(F.col("share") >= least), known.where(F.col("share") >= least)
-    words, _ = fitted(rows, bits=bits)
+    rows, known = rows.where(F.col("share") >= least), materialize(known.where(F.col("share") >= least), "known")
+    words, _ = fitted(rows, known, bits=bits)
     cuts = _cuts(known, words)
     held = spark.sparkContext.broadcast((words, np.array(cuts)))
 
