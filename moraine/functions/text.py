@@ -5,6 +5,7 @@ All are column expressions and stay inside generated code.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from string import Formatter
 
 from pyspark.sql import Column, DataFrame
@@ -74,3 +75,27 @@ def segment(df: DataFrame, text: str, size: int = 180, stride: int = 90) -> Data
     w = df.withColumn("_w", words(F.col(text)))
     w = w.withColumn("_k", F.explode(F.sequence(F.lit(0), n_windows(F.size("_w"), size, stride) - 1)))
     return w.withColumns({"passage_idx": F.col("_k"), "passage": F.array_join(F.slice("_w", F.col("_k") * stride + 1, F.lit(size)), " ")}).drop("_w", "_k")
+
+
+def segment_with(df: DataFrame, text: str, encode: Callable[[str], list], decode: Callable[[list], str], size: int = 180, stride: int = 90) -> DataFrame:
+    """The windows of :func:`segment` over the tokens of an injected tokenizer (``encode``, ``decode``), batch by batch.
+
+    Null counts as empty; a text without tokens gives one empty passage.
+    """
+    if not 0 < stride <= size:
+        raise ValueError("the stride must be positive and at most the window")
+    fields = [f for f in df.schema.fields if f.name not in ("passage_idx", "passage")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", passage_idx int, passage string"
+
+    def run(batches):
+        for pdf in batches:
+            made = []
+            for t in pdf[text]:
+                tokens = encode(t or "")
+                starts = [0] if len(tokens) <= size else range(0, len(tokens) - size + stride, stride)
+                made.append([decode(tokens[k : k + size]) for k in starts])
+            n = [len(m) for m in made]
+            out = pdf[[f.name for f in fields]].loc[pdf.index.repeat(n)].reset_index(drop=True)
+            yield out.assign(passage_idx=[k for m in n for k in range(m)], passage=[p for m in made for p in m])
+
+    return df.select(*[f.name for f in fields]).mapInPandas(run, schema)

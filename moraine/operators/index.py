@@ -1,11 +1,17 @@
 """Compressed multi-vector index: sampling, centroids, codes, inversion, stages.
 
-An index directory holds Parquet tables that are written stage by stage -
-``centroids`` (with the codec's parameters), ``codes``, ``lists`` - and a small
-JSON file with fingerprint and last finished stage, which is put in place after
-each stage. A build with the same fingerprint goes on after its last stage; a
-finished one is left alone; another fingerprint is an error unless the build
-starts afresh.
+An index directory, on any file system Hadoop knows, holds Parquet tables that
+are written stage by stage - ``centroids`` and ``parameters``; ``by_doc``, the
+codes in the order of the documents; ``docs`` with lengths and first embeddings,
+``codes``, the same codes in folders by ``cid`` modulo ``BUCKETS`` and sorted by
+``cid`` there, and ``lists``, the inverted lists - and small JSON files with
+fingerprint and last finished stage, one put in place after each stage. A build
+with the same fingerprint goes on after its last stage; a finished one is left
+alone; another fingerprint is an error unless the build starts afresh.
+
+Centroids are sent to tasks in blocks of a checked size; with more than one
+block the best of each are compared, so any number of centroids will do. Beyond
+``DIRECT`` of them they are learned in two levels.
 """
 
 from __future__ import annotations
@@ -13,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-import os
 from collections.abc import Callable
 
 import numpy as np
@@ -22,10 +27,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codec, vectors
+from ..runtime import discard, file_system, materialize, put_text, width
 
-STAGES = ("centroids", "codes", "complete")
-#: Centroids are sent to every task: so many at most, and so many bytes of them.
+STAGES = ("centroids", "codes", "lists", "complete")
+#: Centroids are sent to every task in blocks: so many at most, and so many bytes of them.
 MOST_CENTROIDS, MOST_CENTROID_BYTES = 1 << 19, 256 << 20
+#: Centroids learned by one model on the driver at most; more are learned in two levels.
+DIRECT = 1 << 14
+#: Folders of the codes by centroid.
+BUCKETS = 64
 
 
 def n_centroids(n_vectors: float) -> int:
@@ -50,23 +60,59 @@ def mean_centroids(vecs: DataFrame, label: str = "label", vec: str = "vec") -> D
     return m.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("d", "m")))["m"].alias("centroid"))  # one entry per dimension
 
 
-def kmeans_centroids(sample: DataFrame, k: int, iterations: int = 10, seed: int = 42, vec: str = "vec") -> DataFrame:
-    """``(cid, centroid)`` by distributed k-means over a sample; at most as many as there are vectors."""
+def _means(sample: DataFrame, k: int, iterations: int, seed: int, vec: str) -> list[tuple[int, list[float]]]:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     rows = sample.select(array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("features"))
     model = KMeans(k=k, maxIter=iterations, seed=seed, initMode="k-means||").fit(rows)
-    return sample.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cid int, centroid array<double>")
+    return [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
 
 
-def held_centroids(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and matrix of the centroids, in order of id, after a check of their size."""
-    c = centroids.select("cid", "centroid").orderBy("cid").limit(MOST_CENTROIDS + 1).toPandas()
-    mat = np.array(c["centroid"].tolist(), np.float64)
-    if len(c) > MOST_CENTROIDS or mat.nbytes > MOST_CENTROID_BYTES:
-        raise ValueError(f"at most {MOST_CENTROIDS} centroids and {MOST_CENTROID_BYTES >> 20} MiB of them are sent to tasks")
-    return c["cid"].to_numpy(np.int64), mat
+def lloyd(x: np.ndarray, k: int, iterations: int, seed: int) -> np.ndarray:
+    """Plain k-means of a matrix, started at distinct rows; at most as many centroids as rows."""
+    rng = np.random.default_rng(seed)
+    c = x[np.sort(rng.permutation(len(x))[:k])].astype(np.float64)
+    for _ in range(iterations):
+        near = np.concatenate([(((c * c).sum(1)[None] - 2 * x[lo : lo + 4096] @ c.T).argmin(1)) for lo in range(0, len(x), 4096)])
+        n = np.bincount(near, minlength=len(c))
+        total = np.stack([np.bincount(near, x[:, d], len(c)) for d in range(x.shape[1])], 1)
+        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
+    return c
+
+
+def kmeans_centroids(sample: DataFrame, k: int, iterations: int = 10, seed: int = 42, vec: str = "vec", direct: int = DIRECT) -> DataFrame:
+    """``(cid, centroid)`` by distributed k-means over a sample; at most as many as there are vectors.
+
+    Beyond ``direct`` centroids the sample is cut into about as many clusters
+    as the root of ``k``, and each of them is cut again in a task of its own,
+    which holds the cluster's share of the sample.
+    """
+    spark = sample.sparkSession
+    if k <= direct:
+        return spark.createDataFrame(_means(sample, k, iterations, seed, vec), "cid int, centroid array<double>")
+    coarse = 1 << math.ceil(math.log2(math.sqrt(k)))
+    fine = -(-k // coarse)
+    top = spark.createDataFrame(_means(sample, coarse, iterations, seed, vec), "cid int, centroid array<double>")
+    placed = ranked_centroids(sample.select(F.col(vec).alias("vec")), top, 1, ["vec"], with_centroid=False).select("cid", "vec")
+
+    def cut(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        c = lloyd(np.array(pdf["vec"].tolist(), np.float64), fine, iterations, seed + int(key[0]))
+        return pd.DataFrame({"cid": int(key[0]) * fine + np.arange(len(c)), "centroid": list(c)})
+
+    return placed.groupBy("cid").applyInPandas(cut, "cid int, centroid array<double>")
+
+
+def centroid_blocks(centroids: DataFrame) -> int:
+    """Blocks in which the centroids are sent to tasks."""
+    n, dim = centroids.agg(F.count("*"), F.max(F.size("centroid"))).first()
+    return max(1, -(-n // MOST_CENTROIDS), -(-n * (dim or 0) * 8 // MOST_CENTROID_BYTES))
+
+
+def held_centroids(centroids: DataFrame, block: int = 0, blocks: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and matrix of one block of the centroids, in order of id."""
+    c = centroids.where(F.pmod("cid", F.lit(blocks)) == block).select("cid", "centroid").orderBy("cid").toPandas()  # blocks are made such that this is bounded
+    return c["cid"].to_numpy(np.int64), np.array(c["centroid"].tolist(), np.float64)
 
 
 def tile(mat: np.ndarray) -> int:
@@ -81,43 +127,63 @@ def nearest(x: np.ndarray, mat: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return best, np.take_along_axis(sim, best, 1)
 
 
-def ranked_centroids(vecs: DataFrame, centroids: DataFrame, keep: int, by: list[str], vec: str = "vec") -> DataFrame:
+def ranked_centroids(vecs: DataFrame, centroids: DataFrame, keep: int, by: list[str], vec: str = "vec", with_centroid: bool = True) -> DataFrame:
     """``vecs`` with the ``keep`` centroids of largest dot product with each vector (cid, sim, probe, centroid), ties to the lower id.
 
-    Matrix products over Arrow batches; one narrow pass. ``by`` names a vector.
+    Matrix products over Arrow batches; one narrow pass for each block of
+    centroids. ``by`` names a vector.
     """
-    held = vecs.sparkSession.sparkContext.broadcast(held_centroids(centroids))
     cols = [f for f in vecs.schema.fields if f.name not in ("cid", "sim", "probe", "centroid")]
     names = [f.name for f in cols]
     if not set(by) <= set(names):
         raise ValueError(f"{by} must name columns of the vectors")
-
-    def run(batches):
-        ids, mat = held.value
-        k, step = min(keep, len(ids)), tile(mat)
-        for pdf in batches:
-            for lo in range(0, len(pdf) if k else 0, step):
-                part = pdf.iloc[lo : lo + step]
-                best, sim = nearest(np.array(part[vec].tolist(), np.float64), mat, k)
-                out = part[names].loc[part.index.repeat(k)].reset_index(drop=True)
-                yield out.assign(cid=ids[best].ravel(), sim=sim.ravel(), probe=np.tile(np.arange(1, k + 1), len(part)), centroid=list(mat[best.ravel()]))
-
     kind = centroids.schema["cid"].dataType.simpleString()
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols) + f", cid {kind}, sim double, probe int, centroid array<double>"
-    return vecs.select(*names).mapInPandas(run, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols) + f", cid {kind}, sim double, probe int" + ", centroid array<double>" * with_centroid
+    blocks = centroid_blocks(centroids)
+
+    def one(block: int) -> DataFrame:
+        held = vecs.sparkSession.sparkContext.broadcast(held_centroids(centroids, block, blocks))
+
+        def run(batches):
+            ids, mat = held.value
+            k, step = min(keep, len(ids)), tile(mat)
+            for pdf in batches:
+                for lo in range(0, len(pdf) if k else 0, step):
+                    part = pdf.iloc[lo : lo + step]
+                    best, sim = nearest(np.array(part[vec].tolist(), np.float64), mat, k)
+                    out = part[names].loc[part.index.repeat(k)].reset_index(drop=True)
+                    out = out.assign(cid=ids[best].ravel(), sim=sim.ravel(), probe=np.tile(np.arange(1, k + 1), len(part)))
+                    yield out.assign(centroid=list(mat[best.ravel()])) if with_centroid else out
+
+        return vecs.select(*names).mapInPandas(run, schema)
+
+    out = one(0)
+    for block in range(1, blocks):
+        out = out.unionByName(one(block))
+    if blocks > 1:
+        w = Window.partitionBy(*by).orderBy(F.desc("sim"), "cid")
+        out = out.withColumn("probe", F.row_number().over(w)).where(F.col("probe") <= keep)
+    return out
 
 
 def encode(vecs: DataFrame, centroids: DataFrame, parameters: DataFrame, nbits: int, vec: str = "vec") -> DataFrame:
     """``vecs`` with ``cid`` and ``packed``, by matrix products over Arrow batches.
 
-    Centroids and codec parameters go to every task; their size is checked.
+    Centroids and codec parameters go to every task; where the centroids are
+    more than one block, the nearest are found block by block and the codes by
+    column expressions. The other columns must then name a vector.
     """
     spark = vecs.sparkSession
+    per = 8 // codec.check_bits(nbits)
+    cols = [f for f in vecs.schema.fields if f.name != vec]
+    if centroid_blocks(centroids) > 1:
+        near = ranked_centroids(vecs, centroids, 1, [f.name for f in cols], vec)
+        codes = codec.quantize(vectors.minus(F.col(vec), F.col("centroid")), parameters.select("boundaries").scalar())
+        packed = F.unhex(F.array_join(F.transform(codec.pack(codes, nbits), lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+        return near.select(*[f.name for f in cols], F.col("cid").cast("int").alias("cid"), packed.alias("packed"))
     ids, mat = held_centroids(centroids)
     p = parameters.select("boundaries").first()
     held = spark.sparkContext.broadcast((ids, mat, np.array(p["boundaries"], np.float64)))
-    per = 8 // codec.check_bits(nbits)
-    cols = [f for f in vecs.schema.fields if f.name != vec]
 
     def run(batches):
         ids, mat, edges = held.value
@@ -164,12 +230,23 @@ def doc_offsets(docs: DataFrame) -> DataFrame:
 
 
 def shard_edges(offsets: DataFrame, shards: int) -> DataFrame:
-    """``(shard, first_doc)``: for each shard the first document that begins at or after its share of all embeddings."""
-    total = offsets.agg(F.max(F.col("emb_start") + F.col("doclen")).alias("total"), F.max("doc_idx").alias("last"))
-    wanted = total.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "total", "last").withColumn("target", F.floor(F.col("shard") * F.col("total") / shards))
-    hit = offsets.join(F.broadcast(wanted), F.col("emb_start") >= F.col("target"))  # one row a shard
-    got = hit.groupBy("shard").agg(F.min("doc_idx").alias("first_doc"))
-    return wanted.join(got, "shard", "left").select("shard", F.coalesce("first_doc", F.col("last") + 1).alias("first_doc"))
+    """``(shard, first_doc)``: for each shard the first document that begins at or after its share of all embeddings.
+
+    ``offsets``: dense doc_idx, doclen, emb_start. Shard k wants embedding
+    floor(k total / shards). A document knows from where it begins and ends
+    which shards' wishes fall between, and that these begin at the next one.
+    """
+    total = offsets.agg(F.coalesce(F.max(F.col("emb_start") + F.col("doclen")), F.lit(0)).alias("total"), F.min("doc_idx").alias("least"))
+
+    def wishes_upto(at: Column) -> Column:
+        """The last shard whose wish is at or before an embedding."""
+        return F.least(F.lit(shards - 1), F.ceil((at + 1) * shards / F.greatest(F.col("total"), F.lit(1))).cast("long") - 1)
+
+    o = offsets.crossJoin(F.broadcast(total))  # one row
+    ends = o.select("doc_idx", wishes_upto(F.col("emb_start")).alias("a"), wishes_upto(F.col("emb_start") + F.col("doclen")).alias("b")).where("b > a")
+    inner = ends.select(F.explode(F.sequence((F.col("a") + 1).cast("int"), F.col("b").cast("int"))).alias("shard"), (F.col("doc_idx") + 1).alias("first_doc"))
+    start = total.where(F.col("least").isNotNull()).select(F.explode(F.sequence(F.lit(0), F.least(F.lit(shards - 1), F.ceil(F.lit(shards) / F.greatest(F.col("total"), F.lit(1))).cast("int") - 1))).alias("shard"), F.col("least").alias("first_doc"))
+    return start.unionByName(inner)
 
 
 def fingerprint(settings: dict, collection: DataFrame) -> str:
@@ -179,26 +256,69 @@ def fingerprint(settings: dict, collection: DataFrame) -> str:
 
 
 def _state(path: str) -> dict:
-    try:
-        with open(os.path.join(path, "state.json"), encoding="utf-8") as f:
-            return json.load(f)
-    except FileNotFoundError:
+    """The last state put in place, or none."""
+    spark = SparkSession.active()
+    fs, at = file_system(spark, path)
+    if not fs.exists(at):
         return {}
+    names = sorted(n for f in fs.listStatus(at) if (n := f.getPath().getName()).startswith("state-") and n.endswith(".json"))
+    return json.loads(spark.read.text(f"{path}/{names[-1]}", wholetext=True).first()[0]) if names else {}
 
 
 def _set_state(path: str, **state) -> None:
-    os.makedirs(path, exist_ok=True)
-    new = os.path.join(path, "state.json.new")
-    with open(new, "w", encoding="utf-8") as f:
-        json.dump(state, f)
-    os.replace(new, os.path.join(path, "state.json"))
+    """Put a new state in place: files are numbered and get their names when complete."""
+    spark = SparkSession.active()
+    fs, at = file_system(spark, path)
+    fs.mkdirs(at)
+    last = max([int(n[6:-5]) for f in fs.listStatus(at) if (n := f.getPath().getName()).startswith("state-") and n.endswith(".json")], default=0)
+    put_text(spark, f"{path}/state-{last + 1:08d}.json", json.dumps(state))
+
 
+def learn(vecs: DataFrame, k: int, nbits: int, path: str, iterations: int = 10, seed: int = 42, residual_sample: int = 100_000, dim: int = 1, trainer: Callable[..., DataFrame] = kmeans_centroids) -> None:
+    """Write ``centroids`` and ``parameters`` learned from sampled vectors (pid, pos, vec)."""
+    from .ordinals import sample_exact
 
-def build_index(spark: SparkSession, collection: DataFrame, encoder: Callable[[DataFrame], DataFrame], path: str, nbits: int = 2, fraction: float | None = None, seed: int = 42, iterations: int = 10, residual_sample: int = 100_000, resume: bool = True, settings: dict | None = None) -> dict:
+    spark = vecs.sparkSession
+    if vecs.isEmpty():
+        spark.createDataFrame([(0, [0.0] * dim)], "cid int, centroid array<double>").write.mode("overwrite").parquet(f"{path}/centroids")
+        parameters = spark.createDataFrame([codec.uniform_parameters(dim, nbits)], "boundaries array<array<double>>, bucket_values array<array<double>>")
+    else:
+        trainer(vecs, k, iterations, seed).write.mode("overwrite").parquet(f"{path}/centroids")
+        few = sample_exact(vecs.withColumn("key", F.concat_ws("#", "pid", "pos")), "key", residual_sample, seed)
+        near = ranked_centroids(few, spark.read.parquet(f"{path}/centroids"), 1, ["key"])
+        parameters = codec.as_arrays(codec.quantile_parameters(near.select(vectors.minus(F.col("vec"), F.col("centroid")).alias("residual")), nbits))
+    parameters.write.mode("overwrite").parquet(f"{path}/parameters")
+
+
+def write_codes(vecs: DataFrame, path: str, nbits: int) -> None:
+    """Write ``by_doc`` from vectors (ordinal, pid, pos, vec), in one narrow pass; positions count from 0."""
+    spark = vecs.sparkSession
+    codes = encode(vecs, spark.read.parquet(f"{path}/centroids"), spark.read.parquet(f"{path}/parameters"), nbits)
+    codes.write.mode("overwrite").parquet(f"{path}/by_doc")
+
+
+def write_lists(collection: DataFrame, path: str) -> None:
+    """Write ``docs``, ``codes`` and ``lists`` from ``by_doc``. ``collection``: ordinal, pid."""
+    spark = collection.sparkSession
+    by_doc = spark.read.parquet(f"{path}/by_doc")
+    lens = by_doc.groupBy("ordinal").agg(F.count("*").alias("doclen"))
+    docs = collection.select("ordinal", "pid").join(lens, "ordinal", "left").select("ordinal", "pid", F.coalesce("doclen", F.lit(0)).alias("doclen"))
+    starts = doc_offsets(docs.select(F.col("ordinal").alias("doc_idx"), "doclen")).select(F.col("doc_idx").alias("ordinal"), "emb_start")
+    docs.join(starts, "ordinal").write.mode("overwrite").parquet(f"{path}/docs")
+    starts = spark.read.parquet(f"{path}/docs").select("ordinal", "emb_start")
+    placed = by_doc.join(starts, "ordinal").select("ordinal", "pos", "cid", "packed", (F.col("emb_start") + F.col("pos")).alias("emb_id"), F.pmod("cid", F.lit(BUCKETS)).alias("bucket"))
+    # As many files of a bucket as the shuffle is wide, so that no task writes a whole bucket of a large index.
+    salt = F.pmod(F.xxhash64("ordinal"), F.lit(max(1, width(spark) // BUCKETS)))
+    placed.repartition("bucket", salt).sortWithinPartitions("bucket", "cid", "ordinal", "pos").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/codes")
+    inverted_lists(spark.read.parquet(f"{path}/codes").select("cid", "emb_id")).write.mode("overwrite").parquet(f"{path}/lists")
+
+
+def build_index(spark: SparkSession, collection: DataFrame, encoder: Callable[[DataFrame], DataFrame], path: str, nbits: int = 2, fraction: float | None = None, seed: int = 42, iterations: int = 10, residual_sample: int = 100_000, resume: bool = True, settings: dict | None = None, trainer: Callable[..., DataFrame] = kmeans_centroids) -> dict:
     """Build (or go on building) the index of a collection in a shared directory.
 
     ``collection``: ordinal, pid, text. ``encoder`` maps it to ordinal, pid,
-    pos, vec - one row per kept token. Returns the index's metadata.
+    pos, vec - one row per kept token; ``trainer(vectors, k, iterations, seed)``
+    gives the centroids. Returns the index's metadata.
     """
     from .ordinals import sample_exact
 
@@ -209,32 +329,25 @@ def build_index(spark: SparkSession, collection: DataFrame, encoder: Callable[[D
     done = state.get("stage") if resume else None
     if done == "complete":
         return state["metadata"]
-    at = lambda name: os.path.join(path, name)
     if done is None:
         n = collection.count()
-        docs = sample_exact(collection, "pid", n_sampled_docs(n, fraction), seed)
-        sample = encoder(docs).select("pid", "pos", "vec").persist()
+        few = n_sampled_docs(n, fraction)
+        sample = materialize(encoder(sample_exact(collection, "pid", few, seed)).select("pid", "pos", "vec"), "sample")
         rows = sample.count()
-        k = max(1, min(n_centroids(max(1, rows) / max(1, min(n, n_sampled_docs(n, fraction))) * n), rows))
-        kmeans_centroids(sample, k, iterations, seed).write.mode("overwrite").parquet(at("centroids"))
-        centroids = spark.read.parquet(at("centroids"))
-        near = ranked_centroids(sample_exact(sample.withColumn("key", F.concat_ws("#", "pid", "pos")), "key", residual_sample, seed), centroids, 1, ["key"])
-        residual = near.select(vectors.minus(F.col("vec"), F.col("centroid")).alias("residual"))
-        codec.as_arrays(codec.quantile_parameters(residual, nbits)).write.mode("overwrite").parquet(at("parameters"))
-        sample.unpersist()
+        k = max(1, min(n_centroids(max(1, rows) / max(1, min(n, few)) * n), rows))
+        learn(sample, k, nbits, path, iterations, seed, residual_sample, int((settings or {}).get("dim", 1)), trainer)
+        discard(sample)
         _set_state(path, fingerprint=mark, stage="centroids")
         done = "centroids"
-    centroids, parameters = spark.read.parquet(at("centroids")), spark.read.parquet(at("parameters"))
     if done == "centroids":
-        codes = encode(encoder(collection), centroids, parameters, nbits)
-        codes.withColumn("bucket", F.pmod("cid", F.lit(64))).write.mode("overwrite").partitionBy("bucket").parquet(at("codes"))
+        write_codes(encoder(collection), path, nbits)
         _set_state(path, fingerprint=mark, stage="codes")
-    codes = spark.read.parquet(at("codes"))
-    lens = codes.groupBy("ordinal", "pid").agg(F.count("*").alias("doclen"))
-    collection.select("ordinal", "pid").join(lens, ["ordinal", "pid"], "left").select("ordinal", "pid", F.coalesce("doclen", F.lit(0)).alias("doclen")).write.mode("overwrite").parquet(at("docs"))
-    codes.groupBy("cid").agg(F.count("*").alias("n"), F.count_distinct("ordinal").alias("n_docs")).write.mode("overwrite").parquet(at("lists"))
-    n_emb, n_docs, k = codes.count(), spark.read.parquet(at("docs")).count(), centroids.count()
-    dim = len(centroids.first()["centroid"])
+        done = "codes"
+    if done == "codes":
+        write_lists(collection, path)
+        _set_state(path, fingerprint=mark, stage="lists")
+    n_emb, n_docs = spark.read.parquet(f"{path}/by_doc").count(), spark.read.parquet(f"{path}/docs").count()
+    k, dim = spark.read.parquet(f"{path}/centroids").agg(F.count("*"), F.max(F.size("centroid"))).first()
     meta = {"n_docs": n_docs, "n_embeddings": n_emb, "n_centroids": k, "dim": dim, "nbits": nbits, "bytes_per_vector": codec.bytes_per_vector(dim, nbits)}
     _set_state(path, fingerprint=mark, stage="complete", metadata=meta)
     return meta

@@ -72,12 +72,34 @@ def ndcg_at(runs: DataFrame, qrels: DataFrame, k: int = 10, digits: int = 6) ->
 
 
 def evaluate(runs: DataFrame, qrels: DataFrame) -> DataFrame:
-    """MRR@10, Recall@50, Recall@1000, nDCG@10 and Success@5 of every run."""
-    every = runs.select("run").distinct()
-    parts = [mrr_at(runs, qrels, 10).withColumnRenamed("mrr", "mrr_10"), recall_at(runs, qrels, 50).withColumnRenamed("recall", "recall_50"), recall_at(runs, qrels, 1000).withColumnRenamed("recall", "recall_1000"), ndcg_at(runs, qrels, 10).withColumnRenamed("ndcg", "ndcg_10"), success_at(runs, qrels, 5).withColumnRenamed("success", "success_5")]
-    for p in parts:
-        every = every.join(p, "run", "left")
-    return every.na.fill(0.0)
+    """MRR@10, Recall@50, Recall@1000, nDCG@10 and Success@5 of every run.
+
+    Runs meet the judgements once; all metrics are sums over the same rows. The
+    ideal gain comes from the counts of each relevance, of which there are few.
+    """
+    rel, rank = F.col("rel") > 0, F.col("rank")
+    per = judged(runs, qrels, 1000).groupBy("run", "qid").agg(
+        F.min(F.when(rel & (rank <= 10), rank)).alias("first"),
+        F.max(F.when(rel & (rank <= 5), 1.0).otherwise(0.0)).alias("hit"),
+        *[F.count_if(rel & (rank <= k)).alias(f"hits_{k}") for k in (50, 1000)],
+        F.sum(F.when(rank <= 10, _gain("rel", "rank")).otherwise(0.0)).alias("dcg"),
+    )
+    levels = qrels.groupBy("qid", "rel").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("qid").orderBy(F.desc("rel"))) - F.col("n")  # a row per relevance
+    seats = F.when((before < 10) & rel, F.sequence(before + 1, F.least(before + F.col("n"), F.lit(10)))).otherwise(F.array())
+    ideal = F.aggregate(seats, F.lit(0.0), lambda s, r: s + (F.pow(F.lit(2.0), F.col("rel")) - 1) / F.log2(r + 1.0))
+    own = levels.select("qid", "rel", "n", ideal.alias("gain")).groupBy("qid").agg(F.sum("gain").alias("idcg"), F.sum(F.when(rel, F.col("n")).otherwise(0)).alias("positives"))
+    n_judged, n_positive = (F.greatest(F.count_if(c), F.lit(1)) for c in (F.lit(True), F.col("positives") > 0))
+    sizes = own.agg(n_judged.alias("n_judged"), n_positive.alias("n_positive"))
+    some = F.col("positives") > 0
+    sums = per.join(own, "qid", "left").groupBy("run").agg(
+        F.sum(F.when(F.col("positives").isNotNull(), F.coalesce(1.0 / F.col("first"), F.lit(0.0)))).alias("mrr_10"),
+        *[F.sum(F.when(some, F.col(f"hits_{k}") / F.col("positives"))).alias(f"recall_{k}") for k in (50, 1000)],
+        F.sum(F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg"))).alias("ndcg_10"),
+        F.sum(F.when(some, F.col("hit"))).alias("success_5"),
+    )
+    over = {"mrr_10": "n_judged", "recall_50": "n_positive", "recall_1000": "n_positive", "ndcg_10": "n_judged", "success_5": "n_positive"}
+    return sums.select("run", *[F.round(F.coalesce(F.col(m) / sizes.select(n).scalar(), F.lit(0.0)), 6).alias(m) for m, n in over.items()])
 
 
 def macro_average(per_run: DataFrame, group, metric: str) -> DataFrame:

@@ -14,21 +14,41 @@ def negative_pool(run: DataFrame, positives: DataFrame) -> DataFrame:
     return run.join(positives, ["qid", "docid"], "left_anti")
 
 
+def _placed(pool: DataFrame, seed: int, spread: int = 256) -> DataFrame:
+    """``(qid, neg, place, n)``: each query's pool in the order of a hash, with its size.
+
+    Pools are numbered in ranges of the hash, so a query with a large pool is
+    the work of ``spread`` tasks.
+    """
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), "qid", "neg"))
+    p = pool.select("qid", F.col("docid").alias("neg")).distinct().withColumn("h", h).withColumn("part", (F.conv(F.substring("h", 1, 4), 16, 10).cast("long") * spread / 65536).cast("int"))
+    parts = p.groupBy("qid", "part").agg(F.count("*").alias("c"))
+    whole = Window.partitionBy("qid")
+    parts = parts.select("qid", "part", (F.sum("c").over(whole.orderBy("part")) - F.col("c")).alias("before"), F.sum("c").over(whole).alias("n"))  # at most `spread` rows a query
+    inside = F.row_number().over(Window.partitionBy("qid", "part").orderBy("h", "neg")) - 1
+    return p.withColumn("inside", inside).join(parts, ["qid", "part"]).select("qid", "neg", (F.col("before") + F.col("inside")).alias("place"), "n")
+
+
 def triples(positives: DataFrame, pool: DataFrame, per_positive: int = 1, strategy: str = "random", seed: int = 12345) -> DataFrame:
-    """``(qid, pos, neg, k)``: each positive with ``per_positive`` negatives of its query.
+    """``(qid, pos, neg, k)``: each positive with ``per_positive`` negatives of its query, all different, or all there are.
 
     ``top`` takes the first of the pool, the same for every positive of a query;
-    ``random`` those first by a hash of seed, query, positive and negative.
+    ``random`` draws: the pool stands in the order of a hash, and a positive
+    takes the ones from a place that its own hash gives, round the end. Only
+    the drawn places are joined, never a query's positives with its whole pool.
     """
     if strategy == "top":
         near = pool.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("ord", "docid"))).where(F.col("k") <= per_positive)
         return positives.select("qid", F.col("docid").alias("pos")).join(near.select("qid", F.col("docid").alias("neg"), "k"), "qid")
     if strategy != "random":
         raise ValueError("top or random")
-    pairs = positives.select("qid", F.col("docid").alias("pos")).join(pool.select("qid", F.col("docid").alias("neg")).distinct(), "qid")
-    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), "qid", "pos", "neg"))
-    w = Window.partitionBy("qid", "pos").orderBy(draw, "neg")
-    return pairs.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_positive)
+    placed = _placed(pool, seed)
+    sizes = placed.groupBy("qid").agg(F.max("n").alias("n"))
+    start = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "qid", "pos")), 1, 12), 16, 10).cast("long")
+    drawn = positives.select("qid", F.col("docid").alias("pos")).join(sizes, "qid")
+    drawn = drawn.select("qid", "pos", "n", start.alias("start"), F.explode(F.sequence(F.lit(1), F.least(F.lit(per_positive), F.col("n").cast("int")))).alias("k"))
+    drawn = drawn.select("qid", "pos", "k", F.pmod(F.col("start") + F.col("k") - 1, F.col("n")).alias("place"))
+    return drawn.join(placed.select("qid", "place", "neg"), ["qid", "place"]).select("qid", "pos", "neg", "k")
 
 
 def to_passages(t: DataFrame, first: DataFrame) -> DataFrame:

@@ -47,10 +47,31 @@ def modular_shard(line_no: Column, shards: int) -> Column:
 
 
 def shuffled(df: DataFrame, key: str, seed: int, epoch: int = 0) -> DataFrame:
-    """A reproducible global shuffle, another one each epoch."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key)), key)
+    """``df`` with its ``place`` from 0 in a reproducible global shuffle, another one each epoch; equal keys are rows of their own."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(epoch)), F.col(key)))
+    return dense_ordinal(df.withColumn("_hash", h), ["_hash", key], "place").drop("_hash")
 
 
 def sample_exact(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows (or all) without replacement: those first by the hash of seed and key."""
-    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
+    """Exactly ``n`` rows (or all) without replacement: those first by the hash of seed and key.
+
+    Rows are not sorted: where the hash of the n-th row lies is found by counts
+    of hash prefixes of 16 and then 32 bits (65,536 counts at most each time);
+    rows under it are taken, and only those that share its prefix are put in
+    order.
+    """
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    cut, rest = "", n
+    for _ in range(2):
+        prefix = F.substring(h, 1, len(cut) + 4)
+        counts = df.where(h.startswith(cut)).groupBy(prefix.alias("p")).count().orderBy("p").collect()
+        for r in counts:
+            if rest <= r["count"]:
+                cut = r["p"]
+                break
+            rest -= r["count"]
+        else:
+            return df
+    under = F.substring(h, 1, len(cut)) < cut
+    edge = df.where(h.startswith(cut)).orderBy(h, key).limit(rest)
+    return df.where(under).unionByName(edge)

@@ -19,7 +19,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from .index import ranked_centroids
+from ..runtime import materialize
+from .index import BUCKETS, decode, ranked_centroids
+
+
+#: Keys that are pushed into a scan as a filter at most.
+MOST_PUSHED = 2_000
 
 
 def top(scored: DataFrame, k: int, by: list[str] | None = None, *order) -> DataFrame:
@@ -41,7 +46,7 @@ def maxsim(q: DataFrame, d: DataFrame) -> DataFrame:
 
 def probes(q: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
     """``(qid, qpos, cid, sim, probe)``: the nearest centroids of each query token."""
-    return ranked_centroids(q, centroids, nprobe, ["qid", "qpos"], "qvec").select("qid", "qpos", "cid", "sim", "probe")
+    return ranked_centroids(q, centroids, nprobe, ["qid", "qpos"], "qvec", with_centroid=False).select("qid", "qpos", "cid", "sim", "probe")
 
 
 def candidates(probed: DataFrame, codes: DataFrame) -> DataFrame:
@@ -58,6 +63,38 @@ def retrieve(q: DataFrame, centroids: DataFrame, codes: DataFrame, nprobe: int =
     return top(both, k, ["qid"], F.desc("score"), F.desc("approx"), F.asc("doc_idx"))
 
 
+def _few(keys: DataFrame, name: str) -> list | None:
+    """Distinct keys where they are few enough to be pushed into a scan, else none."""
+    got = [r[0] for r in keys.select(name).distinct().limit(MOST_PUSHED + 1).collect()]
+    return got if len(got) <= MOST_PUSHED else None
+
+
+def search_index(q: DataFrame, path: str, nbits: int, nprobe: int = 2, n_candidates: int = 8192, k: int = 1000) -> DataFrame:
+    """``(qid, doc_idx, score, approx, rank)`` from the compressed index at ``path``.
+
+    Both rounds score what the codes give back. The first reads the folders of
+    the probed centroids only, the second the codes of the documents it chose;
+    packed codes are joined, and decoded only where they are wanted, once.
+    Centroids and documents that are few go into the scans as filters.
+    """
+    spark = q.sparkSession
+    cen, par = spark.read.parquet(f"{path}/centroids"), spark.read.parquet(f"{path}/parameters")
+    probed = materialize(probes(q, cen, nprobe).select("qid", "cid").distinct(), "probed")
+    buckets = [r[0] for r in probed.select(F.pmod("cid", F.lit(BUCKETS))).distinct().collect()]  # BUCKETS rows at most
+    codes = spark.read.parquet(f"{path}/codes").where(F.col("bucket").isin(buckets))
+    cids = _few(probed, "cid")
+    codes = codes.where(F.col("cid").isin(cids)) if cids is not None else codes.join(probed.select("cid").distinct(), "cid", "left_semi")
+    seen = decode(codes.select(F.col("ordinal").alias("doc_idx"), "pos", "cid", "packed"), cen, par, nbits)
+    near = top(maxsim(q, candidates(probed, seen).select("qid", "doc_idx", "pos", "vec")), n_candidates)
+    chosen = materialize(near.select("qid", "doc_idx", F.col("score").alias("approx")), "chosen")
+    whole = spark.read.parquet(f"{path}/by_doc").select(F.col("ordinal").alias("doc_idx"), "pos", "cid", "packed")
+    docs = _few(chosen, "doc_idx")
+    whole = whole.where(F.col("doc_idx").isin(docs)) if docs is not None else whole.join(chosen.select("doc_idx").distinct(), "doc_idx", "left_semi")
+    vecs = decode(whole, cen, par, nbits).select("doc_idx", "pos", "vec")
+    exact = maxsim(q, vecs.join(chosen.select("qid", "doc_idx"), "doc_idx"))
+    return top(exact.join(chosen, ["qid", "doc_idx"]), k, ["qid"], F.desc("score"), F.desc("approx"), F.asc("doc_idx"))
+
+
 def exact_topk(q: DataFrame, d: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """``(qid, doc_idx, score, rank)`` of every query against all documents, by matrix products.
 

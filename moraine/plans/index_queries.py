@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, vectors
+from ..config import Config
 from ..operators import index as I
+from ..operators.ordinals import sample_exact
 from . import common as C
 
 
@@ -21,7 +23,7 @@ def _residuals(spark, d):
 
 
 def _parameters(spark, d):
-    p = codec.quantile_parameters(_residuals(spark, d), 2)
+    p = codec.quantile_parameters(sample_exact(_residuals(spark, d), "vec_id", Config().residual_sample), 2)
     return p.withColumn("value", F.round("value", 6))
 
 
@@ -81,13 +83,12 @@ def reconstruction_cosine(spark, d):
 def l2_normalize(spark, d):
     e = C.token_vectors(spark, d)
     half = F.transform("vec", lambda x: x * 0.5)
-    return e.select("vec_id", F.round(vectors.norm(vectors.unit(half)), 6).alias("length"), F.round(F.element_at(vectors.unit(half), 1), 6).alias("first"))
+    return e.select("vec_id", F.posexplode(vectors.unit(half)).alias("d", "x")).withColumn("x", F.round("x", 6))
 
 
 def bytes_per_vector(spark, d):
-    e = C.token_vectors(spark, d).agg(F.max(F.size("vec")).alias("dim"))
-    n = F.explode(F.array(F.lit(1), F.lit(2), F.lit(4), F.lit(8))).alias("nbits")
-    return e.select("dim", n).select("nbits", (4 + F.ceil(F.col("dim") * F.col("nbits") / 8)).cast("int").alias("n_bytes"))
+    dim = C.token_vectors(spark, d).agg(F.max(F.size("vec"))).first()[0]
+    return spark.createDataFrame([(n, codec.bytes_per_vector(dim, n)) for n in (1, 2, 4, 8)], "nbits int, n_bytes int")
 
 
 def num_centroids(spark, d):
@@ -147,7 +148,7 @@ SQL = {
     "unpack_roundtrip": C.with_(C.E) + "SELECT vec_id, true AS same FROM e",
     "decode_vectors": C.with_(*_TO_CODES, _DEC) + "SELECT vec_id, CAST(d AS INTEGER) AS d, round(x, 6) AS x FROM dx",
     "reconstruction_cosine": C.with_(*_TO_CODES, _DEC) + "SELECT vec_id, round(sum(x * orig) / greatest(sqrt(sum(orig * orig)) * sqrt(sum(x * x)), 1e-12), 6) AS cosine FROM dx GROUP BY vec_id",
-    "l2_normalize": C.with_(C.E) + "SELECT vec_id, 1.0::DOUBLE AS length, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first FROM e",
+    "l2_normalize": C.with_(C.E) + "SELECT vec_id, CAST(unnest(range(0, len(v))) AS INTEGER) AS d, round(unnest(v) / greatest(sqrt(list_dot_product(v, v)), 1e-12), 6) AS x FROM e",
     "bytes_per_vector": C.with_(C.E) + "SELECT CAST(nbits AS INTEGER) AS nbits, CAST(4 + ceil((SELECT max(len(v)) FROM e) * nbits / 8.0) AS INTEGER) AS n_bytes FROM (SELECT unnest([1, 2, 4, 8]) AS nbits)",
     "num_centroids": C.with_(C.E) + "SELECT CAST(floor(doc_idx / 10) AS BIGINT) AS span, count(*) AS n, CAST(pow(2.0, floor(log2(16 * sqrt(count(*))))) AS BIGINT) AS k FROM e GROUP BY 1",
     "doclens_offsets": C.with_(C.E, _LEN) + "SELECT * FROM off",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from ..operators import mining as M
 from ..operators import retrieval as R
 from ..runtime import table
 from . import common as C
-from .text_queries import passage_map
+from ..operators.ordinals import shuffled
+from .text_queries import SEG, passage_map, segment_passages
 
 
 def _positives(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +57,7 @@ def triples_resolve_text(spark, d):
 
 
 def distill_pairs(spark, d):
-    docs = C.documents_once(spark, d).select(F.col("docid").alias("pid"), F.col("title").alias("text"))
+    docs = C.documents_once(spark, d).select(F.col("docid").alias("pid"), format_document("title_body").alias("text"))
     run = _candidates(spark, d).select("qid", F.col("docid").alias("pid"), F.row_number().over(Window.partitionBy("qid").orderBy("ord", "docid")).alias("rank"))
     return M.pairs_to_score(run, C.queries_once(spark, d), docs, 10).select("qid", "pid", "rank", "query", "text")
 
@@ -80,10 +83,30 @@ def distill_tuples_maxp(spark, d):
 
 
 def tuple_passages(spark, d):
-    """Passages of the stored tuples in order, with their documents where known."""
-    t = table(spark, d, "tuples").select("qid", "built_at", "pids").distinct()
-    p = passage_map(spark, d).select("pid", F.col("docid").alias("text"))
-    return M.tuple_texts(t, p, strict=False).select("qid", "n", "pid", F.col("text").alias("docid")).distinct()
+    """Texts of the passages of stored tuples, in order; of the tuples all of whose passages exist, so that the strict check holds."""
+    p = segment_passages(spark, d).select("pid", F.col("passage").alias("text"))
+    t = table(spark, d, "tuples").where(F.col("qid").isNotNull() & (F.size("pids") > 0)).select("qid", "built_at", "pids").distinct()
+    t = t.withColumn("tuple", F.md5(F.concat_ws("|", "qid", F.array_join("pids", ",", "-"), F.date_format("built_at", "yyyyMMddHHmmss"))))
+    lost = t.select("tuple", F.explode("pids").alias("pid")).join(p.select("pid"), "pid", "left_anti").select("tuple").distinct()
+    whole = t.join(lost, "tuple", "left_anti").select(F.col("tuple").alias("qid"), "pids")
+    return M.tuple_texts(whole, p).select(F.col("qid").alias("tuple"), "n", "pid", "text").distinct()
+
+
+def distill_scored(spark, d):
+    """Tuples from the pairs as a cross-encoder scores them: a stand-in is injected, batch by batch."""
+
+    def predict(pairs):
+        return [int(hashlib.md5(f"{q}|{t}".encode()).hexdigest()[:6], 16) / 1e6 for q, t in pairs]
+
+    pairs = distill_pairs(spark, d).withColumn("query", F.coalesce("query", F.lit("")))
+    n = M.nway_tuples(M.score_pairs(pairs, predict), _positives(spark, d).withColumnRenamed("docid", "pid"), 4)
+    return n.select("qid", F.array_join("pids", ",").alias("pids"), F.array_join(F.transform("scores", lambda s: F.format_string("%.6f", s)), ",").alias("scores"), "positive_idx")
+
+
+def triples_shuffled(spark, d):
+    """Triples in the order of a seeded shuffle, with their place in it."""
+    t = triples_hash_sampled(spark, d).select(F.concat_ws("|", "qid", "pos", "neg").alias("key"))
+    return shuffled(t, "key", 42, 3)
 
 
 def _tuple_scores(spark, d):
@@ -116,13 +139,16 @@ def in_batch_ce(spark, d):
     return L.in_batch_ce(m).select(F.round("loss", 6).alias("loss"), "n")
 
 
-QUERIES = {f.__name__: f for f in (negative_pool_anti, triples_top_negatives, triples_hash_sampled, triples_first_passage, triples_resolve_text, distill_pairs, distill_tuples, distill_tuples_maxp, tuple_passages, pairwise_ce, kl_distillation, in_batch_ce)}
+QUERIES = {f.__name__: f for f in (negative_pool_anti, triples_top_negatives, triples_hash_sampled, triples_first_passage, triples_resolve_text, distill_pairs, distill_tuples, distill_tuples_maxp, distill_scored, triples_shuffled, tuple_passages, pairwise_ce, kl_distillation, in_batch_ce)}
 
 _POS = "ps AS (SELECT qid, pid AS docid FROM qr WHERE rel > 0)"
 _CA = "ca AS (SELECT qid, pid AS docid, min(rank) AS ord FROM rn GROUP BY ALL)"
 _POOL = "po AS (SELECT ca.* FROM ca LEFT JOIN ps USING (qid, docid) WHERE ps.qid IS NULL)"
 _BASE = (C.QRELS, C.RUNS, _POS, _CA, _POOL)
-_HS = "hs AS (SELECT qid, pos, neg, CAST(k AS INTEGER) AS k FROM (SELECT *, row_number() OVER (PARTITION BY qid, pos ORDER BY md5(concat_ws('|', '12345', qid, pos, neg)), neg) AS k FROM (SELECT ps.qid, ps.docid AS pos, po.docid AS neg FROM ps JOIN po USING (qid))) WHERE k <= 2)"
+#: The pool in the order of a hash; a positive takes two places from one that its own hash gives.
+_HS = """pl AS (SELECT qid, docid AS neg, row_number() OVER (PARTITION BY qid ORDER BY md5(concat_ws('|', '12345', qid, docid)), docid) - 1 AS place, count(*) OVER (PARTITION BY qid) AS n FROM (SELECT DISTINCT qid, docid FROM po)),
+dr AS (SELECT qid, docid AS pos, CAST('0x' || substr(md5(concat_ws('|', '12345', qid, docid)), 1, 12) AS BIGINT) AS start, unnest(range(1, least(2, n) + 1)) AS k, n FROM ps JOIN (SELECT DISTINCT qid, n FROM pl) USING (qid)),
+hs AS (SELECT dr.qid, pos, neg, CAST(k AS INTEGER) AS k FROM dr JOIN pl ON pl.qid = dr.qid AND pl.place = (start + k - 1) % dr.n)"""
 _PM = "pm AS (SELECT pid, max(docid) AS docid FROM passage_to_doc WHERE pid IS NOT NULL GROUP BY pid)"
 _TB = C.sql_strip(f"concat_ws(' ', {C.sql_strip("coalesce(title, '')")}, {C.sql_strip("coalesce(body, '')")})")
 _SC = "sc AS (SELECT qid, docid AS pid, ord AS rank, CAST(CAST('0x' || substr(md5(concat_ws('|', qid, docid)), 1, 6) AS INTEGER) AS DOUBLE) / 1e6 AS score FROM ca)"
@@ -139,7 +165,7 @@ SQL = {
     "triples_hash_sampled": C.with_(*_BASE, _HS) + "SELECT * FROM hs",
     "triples_first_passage": C.with_(*_BASE, _HS, _PM, "fp AS (SELECT docid, pid FROM pm WHERE pid = docid || '_p0')") + "SELECT qid, k, p.pid AS pos, n.pid AS neg FROM hs JOIN fp p ON p.docid = hs.pos JOIN fp n ON n.docid = hs.neg",
     "triples_resolve_text": C.with_(*_BASE, _HS, C.DOCS, C.QUERIES_ONCE, f"dt AS (SELECT docid, {_TB} AS text FROM docs)") + "SELECT hs.qid, pos, neg, qs.text AS query, md5(p.text) AS pos_md5, md5(n.text) AS neg_md5 FROM hs JOIN qs USING (qid) JOIN dt p ON p.docid = pos JOIN dt n ON n.docid = neg",
-    "distill_pairs": C.with_(*_BASE, C.DOCS, C.QUERIES_ONCE, "rk AS (SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY ord, docid) AS rank FROM ca)") + "SELECT rk.qid, rk.docid AS pid, CAST(rank AS INTEGER) AS rank, qs.text AS query, docs.title AS text FROM rk JOIN qs USING (qid) JOIN docs ON docs.docid = rk.docid WHERE rank <= 10",
+    "distill_pairs": C.with_(*_BASE, C.DOCS, C.QUERIES_ONCE, "rk AS (SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY ord, docid) AS rank FROM ca)") + "SELECT rk.qid, rk.docid AS pid, CAST(rank AS INTEGER) AS rank, qs.text AS query, " + _TB + " AS text FROM rk JOIN qs USING (qid) JOIN docs ON docs.docid = rk.docid WHERE rank <= 10",
     "distill_tuples": C.with_(*_BASE, _SC, "pp AS (SELECT qid, docid AS pid FROM ps)", _NWAY.format(s="sc", p="pp", n=8)) + "SELECT qid, pids, scores, CAST(0 AS INTEGER) AS positive_idx FROM nw",
     "distill_tuples_maxp": C.with_(
         C.QRELS,
@@ -151,7 +177,10 @@ SQL = {
         _NWAY.format(s="tr", p="pp", n=4),
     )
     + "SELECT qid, pids, CAST(0 AS INTEGER) AS positive_idx FROM nw",
-    "tuple_passages": C.with_(_PM) + "SELECT DISTINCT qid, CAST(n AS INTEGER) AS n, t.pid, pm.docid FROM (SELECT qid, unnest(range(0, len(pids))) AS n, unnest(pids) AS pid FROM tuples) t LEFT JOIN pm USING (pid)",
+    "tuple_passages": C.with_(C.DOCS, SEG, "pt AS (SELECT docid || '_p' || passage_idx AS pid, array_to_string(ws[passage_idx * 90 + 1 : passage_idx * 90 + 180], ' ') AS text FROM seg)", "tt AS (SELECT DISTINCT qid, pids, built_at FROM tuples WHERE qid IS NOT NULL AND len(pids) > 0)", "tp AS (SELECT md5(concat_ws('|', qid, array_to_string(list_transform(pids, lambda p: coalesce(p, '-')), ','), strftime(built_at AT TIME ZONE 'UTC', '%Y%m%d%H%M%S'))) AS tuple, unnest(range(0, len(pids))) AS n, unnest(pids) AS pid FROM tt)")
+    + "SELECT DISTINCT tuple, CAST(n AS INTEGER) AS n, tp.pid, text FROM tp JOIN pt USING (pid) WHERE tuple NOT IN (SELECT tuple FROM tp LEFT JOIN pt USING (pid) WHERE pt.pid IS NULL)",
+    "distill_scored": C.with_(*_BASE, C.DOCS, C.QUERIES_ONCE, "rk AS (SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY ord, docid) AS rank FROM ca)", f"sp AS (SELECT rk.qid, rk.docid AS pid, rank, CAST(CAST('0x' || substr(md5(coalesce(qs.text, '') || '|' || {_TB}), 1, 6) AS INTEGER) AS DOUBLE) / 1e6 AS score FROM rk JOIN qs USING (qid) JOIN docs ON docs.docid = rk.docid WHERE rank <= 10)", "pp AS (SELECT qid, docid AS pid FROM ps)", _NWAY.format(s="sp", p="pp", n=4)) + "SELECT qid, pids, scores, CAST(0 AS INTEGER) AS positive_idx FROM nw",
+    "triples_shuffled": C.with_(*_BASE, _HS) + "SELECT key, row_number() OVER (ORDER BY md5(concat_ws('|', '42', '3', key)), key) - 1 AS place FROM (SELECT concat_ws('|', qid, pos, neg) AS key FROM hs)",
     "pairwise_ce": C.with_(_TS) + "SELECT round(avg(greatest(g.score - p.score, 0) + ln(1 + exp(-abs(g.score - p.score)))), 6) AS loss, count(*) AS n FROM ts g JOIN ts p ON g.tuple = p.tuple AND p.n = p.positive_idx AND g.n <> g.positive_idx",
     "kl_distillation": C.with_(_TS, "a AS (SELECT *, -CAST(n AS DOUBLE) AS st, max(score) OVER (PARTITION BY tuple) AS mt, max(-n) OVER (PARTITION BY tuple) AS ms FROM ts), b AS (SELECT tuple, score - mt - ln(sum(exp(score - mt)) OVER (PARTITION BY tuple)) AS lt, st - ms - ln(sum(exp(st - ms)) OVER (PARTITION BY tuple)) AS ls FROM a)") + "SELECT round(avg(kl), 6) AS loss, count(*) AS n FROM (SELECT tuple, sum(exp(lt) * (lt - ls)) AS kl FROM b GROUP BY tuple)",
     "in_batch_ce": C.with_(C.E, "m AS (SELECT x.doc_idx // 8 AS batch, x.doc_idx AS q, y.doc_idx AS d, x.pos, max(list_dot_product(x.v, y.v)) AS m FROM e x JOIN e y ON x.doc_idx // 8 = y.doc_idx // 8 AND x.pos % 2 = 0 AND y.pos % 2 = 1 GROUP BY ALL), s AS (SELECT batch, q, d, sum(m) AS score FROM m GROUP BY ALL), t AS (SELECT *, max(score) OVER (PARTITION BY q) AS mx FROM s), l AS (SELECT q, d, score - mx - ln(sum(exp(score - mx)) OVER (PARTITION BY q)) AS lp FROM t)") + "SELECT round(avg(-lp), 6) AS loss, count(*) AS n FROM l WHERE q = d",

@@ -24,7 +24,7 @@ def kmeans_centroids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _built(spark: SparkSession, d: str) -> str:
-    path = f"{shared_dir(spark).removeprefix('file://')}/index-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
     I.build_index(spark, as_collection(C.queries_once(spark, d), "qid"), encoder(hashed_words()), path, iterations=3)
     return path
 
@@ -38,7 +38,7 @@ def index_decode(spark: SparkSession, d: str) -> DataFrame:
     """Cosine of each encoded token with what the codes give back."""
     path = _built(spark, d)
     cen, par = spark.read.parquet(path + "/centroids"), spark.read.parquet(path + "/parameters")
-    back = I.decode(spark.read.parquet(path + "/codes"), cen, par, 2).select("pid", "pos", F.col("vec").alias("decoded"))
+    back = I.decode(spark.read.parquet(path + "/by_doc"), cen, par, 2).select("pid", "pos", F.col("vec").alias("decoded"))
     own = encoder(hashed_words())(as_collection(C.queries_once(spark, d), "qid"))
     return own.join(back, ["pid", "pos"]).select("pid", "pos", F.round(vectors.cosine(F.col("vec"), F.col("decoded")), 6).alias("cosine"))
 

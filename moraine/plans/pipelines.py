@@ -65,12 +65,10 @@ def encode_queries(spark: SparkSession, queries: DataFrame, encode: Encode) -> D
     return queries.select("qid", "text").mapInPandas(run, "qid string, qpos int, qvec array<double>")
 
 
-def search(spark: SparkSession, queries: DataFrame, path: str, encode: Encode, config: Config) -> DataFrame:
-    """``(qid, pid, score, rank)`` of a finished index, by the two-round plan over decoded codes."""
-    cen, par = spark.read.parquet(f"{path}/centroids"), spark.read.parquet(f"{path}/parameters")
-    codes = I.decode(spark.read.parquet(f"{path}/codes").drop("bucket"), cen, par, config.nbits).select(F.col("ordinal").alias("doc_idx"), "pos", "cid", "vec")
+def search(spark: SparkSession, queries: DataFrame, path: str, encode: Encode, config: Config, top_k: int = 0) -> DataFrame:
+    """``(qid, pid, score, rank)`` of a finished index, in two rounds over its codes; ``top_k`` 0 stands for that of the settings."""
     q = materialize(encode_queries(spark, queries, encode), "queries")
-    got = R.retrieve(q, cen, codes, config.nprobe, config.n_candidates, config.top_k)
+    got = R.search_index(q, path, config.nbits, config.nprobe, config.n_candidates, top_k or config.top_k)
     return got.join(spark.read.parquet(f"{path}/docs").select(F.col("ordinal").alias("doc_idx"), "pid"), "doc_idx").select("qid", "pid", "score", "rank")
 
 

@@ -8,11 +8,15 @@ candidates of production. ``retrieve_recall`` measures both.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions import codec
 from ..operators import index as I
 from ..operators import retrieval as R
+from ..runtime import shared_dir
 from ..sources.sinks import trec_line
 from . import common as C
 
@@ -75,6 +79,20 @@ def retrieve_full(spark, d):
     return retrieve_topk(spark, d, FULL)
 
 
+def search_topk(spark, d):
+    """The two rounds over an index of codes written from all embeddings: what the codes give back is scored."""
+    from .index_queries import _parameters
+
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    e = C.token_vectors(spark, d)
+    I.mean_centroids(e).write.parquet(f"{path}/centroids")
+    codec.as_arrays(_parameters(spark, d)).write.parquet(f"{path}/parameters")
+    vecs = e.select(F.col("doc_idx").alias("ordinal"), F.col("doc_idx").cast("string").alias("pid"), "pos", "vec")
+    I.write_codes(vecs, path, 2)
+    I.write_lists(vecs.select("ordinal", "pid").distinct(), path)
+    return R.search_index(C.query_vectors(e), path, 2, NPROBE, FULL, K).select("qid", "doc_idx", "score", "approx", "rank")
+
+
 def retrieve_recall(spark, d):
     """Share of each query's exact best that two rounds find, by number of candidates."""
     exact = maxsim_exact_topk(spark, d).select("qid", "doc_idx")
@@ -114,7 +132,7 @@ def trec_run_full(spark, d):
     return trec_run(spark, d, FULL)
 
 
-QUERIES = {f.__name__: f for f in (maxsim_exact_topk, maxsim_candidates, probe_centroids, candidate_generation, approx_maxsim, rerank_exact, rerank_full, retrieve_topk, retrieve_full, retrieve_recall, retrieve_maxp, retrieve_maxp_full, run_maxp, trec_run, trec_run_full)}
+QUERIES = {f.__name__: f for f in (maxsim_exact_topk, maxsim_candidates, probe_centroids, candidate_generation, approx_maxsim, rerank_exact, rerank_full, retrieve_topk, retrieve_full, search_topk, retrieve_recall, retrieve_maxp, retrieve_maxp_full, run_maxp, trec_run, trec_run_full)}
 
 _EXACT = "mx AS (SELECT qid, doc_idx, round(sum(m), 6) AS score FROM (SELECT qid, qpos, doc_idx, max(list_dot_product(qv, v)) AS m FROM q, e GROUP BY ALL) GROUP BY qid, doc_idx), tk AS (SELECT qid, doc_idx, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_idx) AS INTEGER) AS rank FROM mx)"
 _PROBE = f"pr AS (SELECT qid, qpos, cid, sim, CAST(r AS INTEGER) AS probe FROM (SELECT *, row_number() OVER (PARTITION BY qid, qpos ORDER BY sim DESC, cid) AS r FROM (SELECT qid, qpos, cid, round(list_dot_product(qv, c), 6) AS sim FROM q, cen)) WHERE r <= {NPROBE})"
@@ -145,3 +163,6 @@ _FULL = (*_ALL[:7], _TWO.replace(f"r <= {NCAND})", f"r <= {FULL})"))
 SQL |= {full: SQL[name].replace(C.with_(*_ALL), C.with_(*_FULL)) for full, name in (("rerank_full", "rerank_exact"), ("retrieve_full", "retrieve_topk"), ("retrieve_maxp_full", "retrieve_maxp"), ("trec_run_full", "trec_run"))}
 _TOP = "(SELECT qid, doc_idx FROM {} WHERE rank <= " + f"{K})"
 SQL["retrieve_recall"] = " UNION ALL ".join(f"SELECT * FROM ({C.with_(*parts, _EXACT)} SELECT CAST({n} AS INTEGER) AS n_candidates, t.qid, round(count(r.doc_idx) / count(*), 6) AS recall FROM {_TOP.format('tk')} t LEFT JOIN {_TOP.format('rk')} r USING (qid, doc_idx) GROUP BY t.qid)" for n, parts in ((NCAND, _ALL), (FULL, _FULL)))
+# Over codes: both rounds score the vectors that they give back.
+_DV = "dv AS (SELECT vec_id, any_value(near.doc_idx) AS doc_idx, any_value(pos) AS pos, any_value(cid) AS cid, list(c[codes.d + 1] + val ORDER BY codes.d) AS v FROM codes JOIN near USING (vec_id) JOIN par ON par.d = codes.d AND par.b = codes.code GROUP BY vec_id)"
+SQL["search_topk"] = C.with_(C.E, C.CEN, C.NEAR, C.RES, C.PAR, C.CODES, C.Q, _DV, _PROBE, _CAND.replace("JOIN near", "JOIN dv"), _APP, _TWO.replace(f"r <= {NCAND})", f"r <= {FULL})").replace("JOIN e ON e.doc_idx", "JOIN dv e ON e.doc_idx")) + "SELECT qid, doc_idx, score, approx, rank FROM rk"

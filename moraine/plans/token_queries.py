@@ -27,7 +27,7 @@ def doc_tokens(spark, d):
 
 def punctuation_mask(spark, d):
     t = table(spark, d, "documents").select("doc_id", K.doc_ids(C.token_ids(F.col("text")), 180).alias("ids"))
-    m = F.transform("ids", lambda x: (x != K.PAD) & (x % 23 != 0))
+    m = K.skip_mask(F.col("ids"), SKIPPED)
     return t.select("doc_id", F.size(F.filter(m, lambda x: x)).alias("n_kept"), F.size("ids").alias("n"))
 
 
@@ -51,8 +51,7 @@ def field_mask_markers(spark, d):
 def doc_keep_mask(spark, d):
     m = _marked(spark, d)
     inside = K.field_mask(F.col("ids"), [TITLE, BODY])
-    plain = F.transform("ids", lambda x: (x != K.PAD) & (x % 23 != 0))
-    return m.select("docid", F.size(K.kept(F.col("ids"), inside, plain)).alias("doclen"))
+    return m.select("docid", F.size(K.kept(F.col("ids"), inside, K.skip_mask(F.col("ids"), SKIPPED))).alias("doclen"))
 
 
 QUERIES = {f.__name__: f for f in (query_tokens, doc_tokens, punctuation_mask, field_mask_title, field_mask_markers, doc_keep_mask)}

@@ -81,6 +81,24 @@ def file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = file_system(spark, path)
+    return fs.exists(at)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file, which gets its name when it is complete; one of that name is replaced."""
+    fs, at = file_system(spark, path)
+    new = file_system(spark, path + ".new")[1]
+    out = fs.create(new, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(at):
+        fs.delete(at, False)
+    if not fs.rename(new, at):
+        raise OSError(f"{path} could not be put in place")
+
+
 def discard(step: DataFrame) -> None:
     """Remove a written step, wherever it lies, once all that reads it has been written itself."""
     path = getattr(step, "_step", None)

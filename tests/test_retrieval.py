@@ -74,7 +74,7 @@ def test_build_resumes_and_refuses_other_data(spark, tmp_path):
     meta = I.build_index(spark, col, enc, path, iterations=2)
     assert meta["n_docs"] == 31 and meta["n_embeddings"] == sum(20 + i % 5 for i in range(30)) and meta["bytes_per_vector"] == 8
     assert spark.read.parquet(path + "/docs").where("doclen = 0").count() == 1
-    codes = rows(spark.read.parquet(path + "/codes").select("pid", "pos", "cid", "packed"))
+    codes = rows(spark.read.parquet(path + "/by_doc").select("pid", "pos", "cid", "packed"))
 
     def broken(df):
         raise AssertionError("a finished index is not encoded again")
@@ -85,7 +85,7 @@ def test_build_resumes_and_refuses_other_data(spark, tmp_path):
     state = I._state(path)
     I._set_state(path, fingerprint=state["fingerprint"], stage="centroids")
     assert I.build_index(spark, col, enc, path, iterations=2) == meta
-    assert rows(spark.read.parquet(path + "/codes").select("pid", "pos", "cid", "packed")) == codes
+    assert rows(spark.read.parquet(path + "/by_doc").select("pid", "pos", "cid", "packed")) == codes
 
 
 def test_sample_size():
