@@ -43,9 +43,19 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("out")
     a.add_argument("--encode", required=True, help=encode)
     a.add_argument("--qrels")
+    a = sub.add_parser("distill", help="score a run with a cross-encoder and write tuples")
+    for name in ("collection", "queries", "qrels", "run", "out"):
+        a.add_argument(name)
+    a.add_argument("--predict", required=True, help="module:function from a list of (query, text) to a list of scores")
+    for name in ("evaluate-beir", "evaluate-lotte"):
+        a = sub.add_parser(name, help="index, search and score the datasets of a benchmark")
+        a.add_argument("--encode", required=True, help="module:function from a length to such a function")
+        a.add_argument("--only", nargs="*", help="datasets or topics")
+        a.add_argument("--out", help="file for the metrics")
     x = p.parse_args(argv)
 
-    from pyspark.sql import SparkSession
+    from pyspark.sql import SparkSession, Window
+    from pyspark.sql import functions as F
 
     from .plans import pipelines as P
     from .sources import readers, sinks
@@ -60,6 +70,14 @@ def main(argv: list[str] | None = None) -> None:
         P.build_triples(spark, x.queries, x.qrels, x.run, x.out, x.per_positive, x.strategy, config.seed, x.passage_map)
     elif x.command == "index":
         print(json.dumps(P.index(spark, x.collection, x.out, _function(x.encode), config, not x.afresh)))
+    elif x.command == "distill":
+        run = readers.read_run(spark, x.run).select("qid", F.col("docid").alias("pid"), F.row_number().over(Window.partitionBy("qid").orderBy("line_no")).alias("rank"))
+        P.distill(spark, x.collection, x.queries, x.qrels, run, _function(x.predict), x.out, config)
+    elif x.command in ("evaluate-beir", "evaluate-lotte"):
+        got = (P.evaluate_beir if x.command == "evaluate-beir" else P.evaluate_lotte)(spark, _function(x.encode), config, x.only)
+        print(json.dumps(got))
+        if x.out:
+            sinks.write_metrics(got, x.out)
     else:
         run = P.search(spark, readers.read_queries(spark, x.queries), x.index, _function(x.encode), config)
         sinks.write_run(run, x.out, "moraine")

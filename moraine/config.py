@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field, fields, replace
 
-
 #: Other names under which a settings file may give them.
 ALIASES = {"field_format": "format_strategy", "field_format_template": "format_template", "ncandidates_factor": "candidate_factor", "retrieve_top_k": "top_k", "kmeans_niters": "kmeans_iterations", "max_passages_per_doc_factor": "passages_per_doc", "doc_segmentation": "segmentation"}
 

@@ -27,6 +27,7 @@ def hashed_words(dim: int = 16, longest: int = 180) -> Encode:
             out.append(np.array([v / np.linalg.norm(v) for v in vecs], np.float32).reshape(-1, dim))
         return out
 
+    encode.most_tokens = 512
     return encode
 
 

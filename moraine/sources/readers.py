@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import filled, single_line, strip
 from ..operators.ordinals import with_line_no
+from ..runtime import exists
 
 TUPLE_SCHEMA = T.StructType(
     [
@@ -68,6 +69,11 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     return _last(df.where(F.col("rel").isNotNull()), ["qid", "docid"], "rel").drop("ordinal")
 
 
+def read_train_queries(spark: SparkSession, path: str) -> DataFrame:
+    """As :func:`read_queries`; a file that is not there holds none."""
+    return read_queries(spark, path) if exists(spark, path) else spark.createDataFrame([], "qid string, text string, ordinal long")
+
+
 def read_train_positives(spark: SparkSession, path: str) -> DataFrame:
     """Distinct ``(qid, docid)`` with a positive judgement; only rows of four columns or more count."""
     w = lines(spark, path).withColumn("w", _ws()).where(F.size("w") >= 4)
@@ -86,11 +92,14 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     return df.select("line_no", *[F.get("f", F.lit(k)).alias(c) for k, c in enumerate(("query", "pos", "neg"))])
 
 
-def read_tuples(spark: SparkSession, path: str) -> DataFrame:
-    """Distillation tuples of a JSON-lines file; an empty file is an error."""
+def read_tuples(spark: SparkSession, path: str, nway: int | None = None) -> DataFrame:
+    """Distillation tuples of a JSON-lines file; an empty file is an error, and so, with ``nway``, is a tuple of another size."""
     df = spark.read.schema(TUPLE_SCHEMA).json(path).where(F.col("qid").isNotNull())
     if df.isEmpty():
         raise ValueError(f"{path} holds no tuples")
+    if nway is not None:
+        fits = (F.size("pids") == nway) & (F.size("scores") == nway)
+        df = df.where(F.assert_true(F.coalesce(fits, F.lit(False)), F.concat(F.lit(f"not a tuple of {nway}: query "), F.col("qid"))).isNull())
     return df
 
 
@@ -124,7 +133,13 @@ def lotte_paths(root: str, topic: str, split: str, kind: str) -> dict[str, str]:
     if kind not in ("search", "forum"):
         raise ValueError("search or forum")
     at = PurePosixPath(root) / topic / split
-    return {"collection": str(at / "collection.tsv"), "queries": str(at / f"questions.{kind}.tsv"), "qas": str(at / f"qas.{kind}.jsonl")}
+    return {"collection": str(at / "collection.tsv"), "queries": str(at / f"questions.{kind}.tsv"), "qrels": str(at / f"qrels.{kind}.tsv"), "qas": str(at / f"qas.{kind}.jsonl")}
+
+
+def read_lotte_qas(spark: SparkSession, path: str) -> DataFrame:
+    """``(qid, docid, rel)`` of a LoTTE answer file: every listed passage is relevant."""
+    df = spark.read.schema("qid string, answer_pids array<string>").json(path)
+    return df.where(F.col("qid").isNotNull()).select("qid", F.explode("answer_pids").alias("docid"), F.lit(1).alias("rel")).where(F.col("docid").isNotNull()).distinct()
 
 
 def count_lines(spark: SparkSession, path: str) -> int:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import single_line
+from ..runtime import put_text
 
 
 def trec_line(run: Column) -> Column:
@@ -31,6 +31,9 @@ def write_tuples(tuples: DataFrame, path: str) -> None:
 
 def write_metrics(metrics: dict, path: str) -> None:
     """A small JSON file, put in place in one step."""
-    with open(path + ".new", "w", encoding="utf-8") as f:
-        json.dump(metrics, f, indent=2, sort_keys=True)
-    os.replace(path + ".new", path)
+    put_text(SparkSession.active(), path, json.dumps(metrics, indent=2, sort_keys=True))
+
+
+def write_lines(df: DataFrame, path: str, line: Column, *order: str) -> None:
+    """Lines of text, in the order of columns where any are named."""
+    (df.orderBy(*order) if order else df).select(line.alias("value")).write.mode("overwrite").text(path)
