@@ -41,6 +41,8 @@ def encoder(encode: Encode, batch: int = 32) -> Callable[[DataFrame], DataFrame]
                     part = pdf.iloc[lo : lo + batch]
                     mats = encode([t or "" for t in part["text"]])
                     n = [len(m) for m in mats]
+                    if not sum(n):
+                        continue
                     yield pd.DataFrame({"ordinal": np.repeat(part["ordinal"].to_numpy(), n), "pid": np.repeat(part["pid"].to_numpy(), n), "pos": np.concatenate([np.arange(k) for k in n]).astype(np.int32), "vec": [v for m in mats for v in m]})
 
         return collection.select("ordinal", "pid", "text").mapInPandas(run, "ordinal long, pid string, pos int, vec array<float>")

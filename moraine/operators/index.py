@@ -33,7 +33,7 @@ STAGES = ("centroids", "codes", "lists", "complete")
 #: Centroids are sent to every task in blocks: so many at most, and so many bytes of them.
 MOST_CENTROIDS, MOST_CENTROID_BYTES = 1 << 19, 256 << 20
 #: Centroids learned by one model on the driver at most; more are learned in two levels.
-DIRECT = 1 << 14
+DIRECT = 1 << 10
 #: Folders of the codes by centroid.
 BUCKETS = 64
 
@@ -96,7 +96,7 @@ def kmeans_centroids(sample: DataFrame, k: int, iterations: int = 10, seed: int
     top = spark.createDataFrame(_means(sample, coarse, iterations, seed, vec), "cid int, centroid array<double>")
     placed = ranked_centroids(sample.select(F.col(vec).alias("vec")), top, 1, ["vec"], with_centroid=False).select("cid", "vec")
 
-    def cut(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def cut(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         c = lloyd(np.array(pdf["vec"].tolist(), np.float64), fine, iterations, seed + int(key[0]))
         return pd.DataFrame({"cid": int(key[0]) * fine + np.arange(len(c)), "centroid": list(c)})
 
@@ -178,7 +178,8 @@ def encode(vecs: DataFrame, centroids: DataFrame, parameters: DataFrame, nbits:
     cols = [f for f in vecs.schema.fields if f.name != vec]
     if centroid_blocks(centroids) > 1:
         near = ranked_centroids(vecs, centroids, 1, [f.name for f in cols], vec)
-        codes = codec.quantize(vectors.minus(F.col(vec), F.col("centroid")), parameters.select("boundaries").scalar())
+        near = near.withColumn("boundaries", parameters.select("boundaries").scalar())
+        codes = codec.quantize(vectors.minus(F.col(vec), F.col("centroid")), F.col("boundaries"))
         packed = F.unhex(F.array_join(F.transform(codec.pack(codes, nbits), lambda x: F.lpad(F.hex(x), 2, "0")), ""))
         return near.select(*[f.name for f in cols], F.col("cid").cast("int").alias("cid"), packed.alias("packed"))
     ids, mat = held_centroids(centroids)

@@ -1,4 +1,4 @@
-"""Queries of the iterative and stateful operators, which SQL cannot express."""
+"""Queries of the index build and of incremental encoding over all documents."""
 
 from __future__ import annotations
 
@@ -7,26 +7,40 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codec, vectors
+from ..config import Config
+from ..functions import vectors
 from ..functions.encoders import encoder, hashed_words
 from ..operators import index as I
-from ..runtime import shared_dir, table
+from ..runtime import materialize, shared_dir, table
 from ..streaming.ingest import as_collection, ingest
 from . import common as C
 
 
+#: Indexes built in this process: session and data to path.
+_PATHS: dict[tuple[str, str], str] = {}
+
+
 def kmeans_centroids(spark: SparkSession, d: str) -> DataFrame:
-    """Centroids of all embeddings with the number of vectors nearest to each."""
+    """Centroids of all embeddings, with all components and the number of vectors nearest to each."""
     e = C.token_vectors(spark, d)
-    cen = I.kmeans_centroids(e, 16, 5)
-    near = I.ranked_centroids(e, cen, 1, ["vec_id"])
-    return cen.join(near.groupBy("cid").agg(F.count("*").alias("n")), "cid", "left").select("cid", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.element_at("centroid", 1), 6).alias("first"))
+    cen = materialize(I.kmeans_centroids(e, 16, 5), "centroids")
+    near = I.ranked_centroids(e, cen, 1, ["vec_id"], with_centroid=False)
+    out = cen.join(near.groupBy("cid").agg(F.count("*").alias("n")), "cid", "left")
+    return out.select("cid", F.coalesce("n", F.lit(0)).alias("n"), F.posexplode("centroid").alias("d", "x")).withColumn("x", F.round("x", 6))
+
+
+def _collection(spark: SparkSession, d: str) -> DataFrame:
+    return as_collection(table(spark, d, "documents"), "doc_id")
 
 
 def _built(spark: SparkSession, d: str) -> str:
-    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-    I.build_index(spark, as_collection(C.queries_once(spark, d), "qid"), encoder(hashed_words()), path, iterations=3)
-    return path
+    """An index of all documents, with the settings of production but for the encoder, which is the stand-in."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _PATHS:
+        path, c = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", Config()
+        I.build_index(spark, _collection(spark, d), encoder(hashed_words(longest=c.doc_maxlen)), path, c.nbits, seed=c.seed, iterations=c.kmeans_iterations, residual_sample=c.residual_sample)
+        _PATHS[key] = path
+    return _PATHS[key]
 
 
 def index_build(spark: SparkSession, d: str) -> DataFrame:
@@ -34,27 +48,36 @@ def index_build(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(_built(spark, d) + "/docs").select("pid", "doclen")
 
 
+def index_lists(spark: SparkSession, d: str) -> DataFrame:
+    """What the inverted lists hold: entries, different ones, the least and the greatest, and lists out of order."""
+    lists = spark.read.parquet(_built(spark, d) + "/lists")
+    unsorted = (F.array_sort("emb_ids") != F.col("emb_ids")).cast("int")
+    each = lists.select(F.explode("emb_ids").alias("e")).agg(F.count("*").alias("n"), F.count_distinct("e").alias("n_different"), F.min("e").alias("least"), F.max("e").alias("greatest"))
+    return each.withColumn("n_unsorted", lists.agg(F.sum(unsorted)).scalar())
+
+
 def index_decode(spark: SparkSession, d: str) -> DataFrame:
     """Cosine of each encoded token with what the codes give back."""
     path = _built(spark, d)
     cen, par = spark.read.parquet(path + "/centroids"), spark.read.parquet(path + "/parameters")
     back = I.decode(spark.read.parquet(path + "/by_doc"), cen, par, 2).select("pid", "pos", F.col("vec").alias("decoded"))
-    own = encoder(hashed_words())(as_collection(C.queries_once(spark, d), "qid"))
+    own = encoder(hashed_words(longest=Config().doc_maxlen))(_collection(spark, d))
     return own.join(back, ["pid", "pos"]).select("pid", "pos", F.round(vectors.cosine(F.col("vec"), F.col("decoded")), 6).alias("cosine"))
 
 
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """Codes of the queries, encoded by a stream that stops when all files are done."""
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    c = as_collection(C.queries_once(spark, d), "qid")
-    sample = encoder(hashed_words())(c)
-    cen = I.kmeans_centroids(sample, 16, 3)
-    near = I.ranked_centroids(sample, cen, 1, ["pid", "pos"])
-    par = codec.as_arrays(codec.quantile_parameters(near.select(vectors.minus(F.col("vec"), F.col("centroid")).alias("residual")), 2))
-    schema = table(spark, d, "queries").schema
-    ingest(spark, f"{d}/queries.parquet", schema, lambda df: as_collection(df, "qid"), encoder(hashed_words()), cen, par, 2, base + "/codes", base + "/checkpoint")
-    return spark.read.parquet(base + "/codes").select("pid", "pos", "cid")
-
-
-QUERIES = {f.__name__: f for f in (kmeans_centroids, index_build, index_decode, stream_ingest)}
-SQL: dict[str, str] = {}
+    """Lengths of the documents, encoded against the index's centroids by a stream that stops when all files are done."""
+    base, path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", _built(spark, d)
+    cen, par = spark.read.parquet(path + "/centroids"), spark.read.parquet(path + "/parameters")
+    schema = table(spark, d, "documents").schema
+    ingest(spark, f"{d}/documents.parquet", schema, lambda df: as_collection(df, "doc_id"), encoder(hashed_words(longest=Config().doc_maxlen)), cen, par, 2, base + "/codes", base + "/checkpoint")
+    return spark.read.parquet(base + "/codes").groupBy("pid").agg(F.count("*").alias("doclen"))
+
+
+QUERIES = {f.__name__: f for f in (kmeans_centroids, index_build, index_lists, index_decode, stream_ingest)}
+_LEN = f"dl AS (SELECT CAST(doc_id AS VARCHAR) AS pid, CAST(least({Config().doc_maxlen}, len({C.sql_words('text')})) AS BIGINT) AS doclen FROM documents WHERE doc_id IS NOT NULL)"
+SQL = {
+    "index_build": C.with_(_LEN) + "SELECT * FROM dl",
+    "index_lists": C.with_(_LEN) + "SELECT CAST(sum(doclen) AS BIGINT) AS n, CAST(sum(doclen) AS BIGINT) AS n_different, CAST(0 AS BIGINT) AS least, CAST(sum(doclen) - 1 AS BIGINT) AS greatest, CAST(0 AS BIGINT) AS n_unsorted FROM dl",
+    "stream_ingest": C.with_(_LEN) + "SELECT * FROM dl WHERE doclen > 0",
+}

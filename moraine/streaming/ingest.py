@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.index import encode
+from ..runtime import file_system
 
 
 def ingest(spark: SparkSession, source: str, schema: StructType, to_collection: Callable[[DataFrame], DataFrame], encoder: Callable[[DataFrame], DataFrame], centroids: DataFrame, parameters: DataFrame, nbits: int, sink: str, checkpoint: str) -> int:
@@ -23,7 +23,8 @@ def ingest(spark: SparkSession, source: str, schema: StructType, to_collection:
     reader = spark.readStream.schema(schema)
     head, name = source.rstrip("/").rsplit("/", 1)
     # A file stream watches a folder; a table in one file is a folder with a filter.
-    stream = reader.parquet(source) if os.path.isdir(source.removeprefix("file://")) else reader.option("pathGlobFilter", name).parquet(head)
+    fs, at = file_system(spark, source)
+    stream = reader.parquet(source) if fs.getFileStatus(at).isDirectory() else reader.option("pathGlobFilter", name).parquet(head)
     codes = encode(encoder(to_collection(stream)), centroids, parameters, nbits)
     run = codes.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()

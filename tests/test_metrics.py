@@ -54,3 +54,17 @@ def test_losses(spark):
     assert L.kl_distillation(k, ["g"], "a", "b").first().loss == pytest.approx(0.0)
     s = spark.createDataFrame([(0, 1, 1, 5.0), (0, 1, 2, 5.0)], "batch int, q int, d int, score double")
     assert L.in_batch_ce(s).first().loss == pytest.approx(math.log(2))
+
+
+def test_one_pass_equals_the_metrics_apart(spark):
+    import random
+
+    r = random.Random(2)
+    qrels = spark.createDataFrame([(f"q{q}", f"d{d}", r.choice([-1, 0, 0, 1, 2, 3])) for q in range(30) for d in r.sample(range(60), 15)] + [("dry", "d1", 0)], "qid string, pid string, rel int")
+    runs = spark.createDataFrame([(f"r{k}", f"q{q}", f"d{d}", n + 1) for k in range(3) for q in range(5, 35) for n, d in enumerate(r.sample(range(60), 25))] + [("lost", "elsewhere", "d1", 1)], "run string, qid string, pid string, rank int")
+    got = {x.run: x for x in M.evaluate(runs, qrels).collect()}
+    parts = {"mrr_10": M.mrr_at(runs, qrels, 10), "recall_50": M.recall_at(runs, qrels, 50), "recall_1000": M.recall_at(runs, qrels, 1000), "ndcg_10": M.ndcg_at(runs, qrels, 10), "success_5": M.success_at(runs, qrels, 5)}
+    assert set(got) == {"r0", "r1", "r2", "lost"} and got["lost"].ndcg_10 == 0.0
+    for name, df in parts.items():
+        for x in df.collect():
+            assert abs(got[x.run][name] - x[df.columns[1]]) < 2e-6

@@ -37,3 +37,16 @@ def test_tuple_texts_strict(spark):
     assert [(r.n, r.text) for r in M.tuple_texts(t, c).orderBy("n").collect()] == [(0, "B"), (1, "A")]
     with pytest.raises(Exception, match="unknown passage"):
         M.tuple_texts(t, c.where("pid = 'a'")).collect()
+
+
+def test_drawn_negatives_are_different_and_from_the_pool(spark):
+    pos = spark.createDataFrame([("q", f"p{i}") for i in range(40)] + [("few", "p0"), ("none", "p0")], "qid string, docid string")
+    pool = spark.createDataFrame([("q", f"n{i:03}", i) for i in range(300)] + [("few", "a", 0), ("few", "b", 1)], "qid string, docid string, ord int")
+    t = M.triples(pos, pool, 5, "random").collect()
+    by = {}
+    for r in t:
+        by.setdefault((r.qid, r.pos), []).append(r.neg)
+    assert all(len(v) == len(set(v)) == 5 for (q, _), v in by.items() if q == "q") and len(by) == 41
+    assert sorted(by["few", "p0"]) == ["a", "b"]
+    assert len({n for (q, _), v in by.items() if q == "q" for n in v}) > 100
+    assert sorted(map(tuple, t)) == sorted(map(tuple, M.triples(pos.repartition(7), pool.repartition(5), 5, "random").collect()))

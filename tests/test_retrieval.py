@@ -106,3 +106,77 @@ def test_recall_of_the_registered_retrieval(spark, tmp_path):
     few = set(rows(Q.retrieve_topk(spark, str(tmp_path)).select("qid", "doc_idx")))
     got = Q.retrieve_recall(spark, str(tmp_path)).groupBy("n_candidates").agg(F.avg("recall").alias("recall")).collect()
     assert {r.n_candidates: round(r.recall, 6) for r in got} == {20: len(exact & few) / len(exact), Q.FULL: len(exact & found) / len(exact)}
+
+
+def _index(spark, path, n_docs=40, seed=3):
+    """Vectors of documents with their index under 12 centroids."""
+    rng = np.random.default_rng(seed)
+    vecs = rng.normal(size=(n_docs * 5, 16))
+    vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
+    D = spark.createDataFrame([(i // 5, f"D{i // 5}", i % 5, v.tolist()) for i, v in enumerate(vecs)], "ordinal long, pid string, pos int, vec array<double>")
+    I.learn(D, 12, 4, path, 5)
+    I.write_codes(D, path, 4)
+    I.write_lists(D.select("ordinal", "pid").distinct(), path)
+    return vecs, D
+
+
+def test_search_scores_what_the_codes_give_back(spark, tmp_path):
+    path = str(tmp_path / "index")
+    vecs, _ = _index(spark, path)
+    cen, par = spark.read.parquet(path + "/centroids"), spark.read.parquet(path + "/parameters")
+    back = {(r.ordinal, r.pos): np.array(r.vec) for r in I.decode(spark.read.parquet(path + "/by_doc"), cen, par, 4).collect()}
+    q = {7: vecs[[3, 11]], 8: vecs[[50]]}
+    Q = spark.createDataFrame([(k, i, v.tolist()) for k, m in q.items() for i, v in enumerate(m)], "qid long, qpos int, qvec array<double>")
+    got = R.search_index(Q, path, 4, nprobe=12, n_candidates=1000, k=5).collect()
+    for k, m in q.items():
+        score = {d: round(sum(max(v @ back[d, p] for p in range(5)) for v in m), 6) for d in range(40)}
+        best = sorted(score, key=lambda d: (-score[d], d))[:5]
+        assert [(r.doc_idx, pytest.approx(r.score, abs=1e-5)) for r in sorted((r for r in got if r.qid == k), key=lambda r: r["rank"])] == [(d, score[d]) for d in best]
+
+
+def test_search_reads_the_probed_folders_only(spark, tmp_path):
+    path = str(tmp_path / "index")
+    vecs, _ = _index(spark, path)
+    Q = spark.createDataFrame([(1, 0, vecs[0].tolist())], "qid long, qpos int, qvec array<double>")
+    one = R.search_index(Q, path, 4, nprobe=1, n_candidates=1000, k=1000)
+    assert one.where("rank = 1").first().doc_idx == 0
+    few = R.probes(Q, spark.read.parquet(path + "/centroids"), 1).first().cid
+    wanted = {r.ordinal for r in spark.read.parquet(path + "/codes").where(F.col("cid") == few).collect()}
+    assert {r.doc_idx for r in one.collect()} == wanted and len(wanted) < 40
+    lists = spark.read.parquet(path + "/lists").collect()
+    assert sorted(e for r in lists for e in r.emb_ids) == list(range(200)) and all(r.emb_ids == sorted(r.emb_ids) for r in lists)
+
+
+def test_search_beyond_what_is_pushed_into_scans(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+    vecs, _ = _index(spark, path)
+    Q = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(vecs[::20])], "qid long, qpos int, qvec array<double>")
+    want = rows(R.search_index(Q, path, 4, 2, 10, 5))
+    monkeypatch.setattr(R, "MOST_PUSHED", 0)
+    assert rows(R.search_index(Q, path, 4, 2, 10, 5)) == want
+
+
+def test_centroids_in_blocks_are_as_in_one(spark, tmp_path, monkeypatch):
+    _, D = _index(spark, str(tmp_path / "index"))
+    cen, par = spark.read.parquet(str(tmp_path / "index/centroids")), spark.read.parquet(str(tmp_path / "index/parameters"))
+    take = lambda: (rows(I.ranked_centroids(D, cen, 3, ["ordinal", "pos"]).select("ordinal", "pos", "cid", "probe")), rows(I.encode(D, cen, par, 4)))
+    want = take()
+    monkeypatch.setattr(I, "MOST_CENTROIDS", 5)
+    assert I.centroid_blocks(cen) == 3 and take() == want
+
+
+def test_two_levels_of_centroids(spark):
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(32, 8)) * 4
+    x = np.repeat(middle, 20, axis=0) + rng.normal(size=(640, 8)) * 0.1
+    S = spark.createDataFrame([(v.tolist(),) for v in x], "vec array<double>")
+    c = np.array([r.centroid for r in I.kmeans_centroids(S, 64, 10, direct=16).collect()])
+    assert 40 <= len(c) <= 64
+    lost = ((x[:, None] - c[None]) ** 2).sum(2).min(1).mean()
+    assert lost < 0.1 * ((x - x.mean(0)) ** 2).sum(1).mean()
+
+
+def test_texts_without_tokens_have_an_index(spark, tmp_path):
+    col = spark.createDataFrame([(0, "a", ""), (1, "b", None)], "ordinal long, pid string, text string")
+    meta = I.build_index(spark, col, encoder(hashed_words(16)), str(tmp_path / "none"), settings={"dim": 16})
+    assert meta["n_docs"] == 2 and meta["n_embeddings"] == 0 and meta["n_centroids"] == 1 and meta["dim"] == 16

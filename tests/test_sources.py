@@ -109,3 +109,48 @@ def test_config(tmp_path):
     assert Config.load(str(tmp_path / "c.yaml")) == c and c.n_candidates == 8192
     with pytest.raises(ValueError):
         Config(nbits=3)
+
+
+def test_sample_is_the_first_by_hash(spark):
+    import hashlib
+
+    df = spark.range(3000).withColumnRenamed("id", "key")
+    order = sorted(range(3000), key=lambda k: hashlib.md5(f"7|{k}".encode()).hexdigest())
+    for n in (1, 50, 2999, 3000, 9000):
+        assert [r.key for r in O.sample_exact(df, "key", n, 7).orderBy("key").collect()] == sorted(order[:n])
+    assert O.sample_exact(df, "key", 0).count() == 0 and O.sample_exact(df.limit(0), "key", 3).count() == 0
+
+
+def test_shuffle_is_another_each_epoch(spark):
+    df = spark.createDataFrame([(str(i),) for i in range(50)] + [("7",)], "key string")
+    a, b = (rows(O.shuffled(df, "key", 1, e).select("place", "key")) for e in (0, 1))
+    assert [p for p, _ in a] == list(range(51)) and sorted(k for _, k in a) == sorted(k for _, k in b) and a != b
+
+
+def test_missing_files_and_tuple_sizes(spark, file, tmp_path):
+    from moraine.plans import pipelines as P
+
+    assert rows(S.read_train_queries(spark, str(tmp_path / "none.tsv"))) == []
+    with pytest.warns(UserWarning):
+        assert P.normalize_qrels(spark, str(tmp_path / "none.tsv"), str(tmp_path / "out")) is False
+    P.normalize_qrels(spark, file("q 0 d x\nq d 1\nq 0 d x\n"), str(tmp_path / "out"))
+    assert [r.value for r in S.lines(spark, str(tmp_path / "out")).collect()] == ["q\td\tx", "q\td\tx"]
+    two = file('{"qid":"1","query":"q","pids":["a","b"],"scores":[1.5,1],"positive_idx":0}\n{"qid":"2","query":"q","pids":["a"],"scores":[1],"positive_idx":0}\n', "t.jsonl")
+    assert S.read_tuples(spark, two).count() == 2
+    with pytest.raises(Exception, match="not a tuple of 2"):
+        S.read_tuples(spark, two, 2).collect()
+    assert rows(S.read_lotte_qas(spark, file('{"qid":"1","answer_pids":["a","b","a"]}\n{"qid":"2"}\n', "qas.jsonl"))) == [("1", "a", 1), ("1", "b", 1)]
+
+
+def test_metrics_file_is_replaced(spark, tmp_path):
+    path = str(tmp_path / "m.json")
+    for v in (1.0, 0.5):
+        K.write_metrics({"a": {"mrr": v}}, path)
+    assert '"mrr": 0.5' in open(path).read()
+
+
+def test_settings_under_other_names(tmp_path):
+    p = tmp_path / "c.json"
+    p.write_text('{"field_format": "tagged", "retrieve_top_k": 7, "lr": 1e-5, "kmeans_niters": 3}')
+    c = Config.load(str(p))
+    assert (c.format_strategy, c.top_k, c.kmeans_iterations) == ("tagged", 7, 3)

@@ -55,3 +55,11 @@ def test_segment_errors_and_nulls(spark):
     assert [r.passage for r in X.segment(df, "t", 4, 2).collect()] == [""]
     with pytest.raises(ValueError):
         X.segment(df, "t", 4, 5)
+
+
+def test_windows_of_an_injected_tokenizer(spark):
+    from moraine.functions import text as X
+
+    df = spark.createDataFrame([("a", "abcdefgh", 1), ("b", "", 2), ("c", None, 3)], "docid string, body string, passage_idx int")
+    got = X.segment_with(df, "body", list, "".join, 4, 3).orderBy("docid", "passage_idx").collect()
+    assert [(r.docid, r.passage_idx, r.passage) for r in got] == [("a", 0, "abcd"), ("a", 1, "defg"), ("a", 2, "gh"), ("b", 0, ""), ("c", 0, "")]
