@@ -311,7 +311,12 @@ def write_lists(collection: DataFrame, path: str) -> None:
     # As many files of a bucket as the shuffle is wide, so that no task writes a whole bucket of a large index.
     salt = F.pmod(F.xxhash64("ordinal"), F.lit(max(1, width(spark) // BUCKETS)))
     placed.repartition("bucket", salt).sortWithinPartitions("bucket", "cid", "ordinal", "pos").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/codes")
-    inverted_lists(spark.read.parquet(f"{path}/codes").select("cid", "emb_id")).write.mode("overwrite").parquet(f"{path}/lists")
+    inverted_lists(read_codes(spark, path).select("cid", "emb_id")).write.mode("overwrite").parquet(f"{path}/lists")
+
+
+def read_codes(spark: SparkSession, path: str) -> DataFrame:
+    """``codes`` of an index, which has no folder at all where there are no tokens."""
+    return spark.read.schema("ordinal long, pos int, cid int, packed binary, emb_id long, bucket int").parquet(f"{path}/codes")
 
 
 def build_index(spark: SparkSession, collection: DataFrame, encoder: Callable[[DataFrame], DataFrame], path: str, nbits: int = 2, fraction: float | None = None, seed: int = 42, iterations: int = 10, residual_sample: int = 100_000, resume: bool = True, settings: dict | None = None, trainer: Callable[..., DataFrame] = kmeans_centroids) -> dict:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..runtime import materialize
-from .index import BUCKETS, decode, ranked_centroids
+from .index import BUCKETS, decode, ranked_centroids, read_codes
 
 
 #: Keys that are pushed into a scan as a filter at most.
@@ -81,7 +81,7 @@ def search_index(q: DataFrame, path: str, nbits: int, nprobe: int = 2, n_candida
     cen, par = spark.read.parquet(f"{path}/centroids"), spark.read.parquet(f"{path}/parameters")
     probed = materialize(probes(q, cen, nprobe).select("qid", "cid").distinct(), "probed")
     buckets = [r[0] for r in probed.select(F.pmod("cid", F.lit(BUCKETS))).distinct().collect()]  # BUCKETS rows at most
-    codes = spark.read.parquet(f"{path}/codes").where(F.col("bucket").isin(buckets))
+    codes = read_codes(spark, path).where(F.col("bucket").isin(buckets))
     cids = _few(probed, "cid")
     codes = codes.where(F.col("cid").isin(cids)) if cids is not None else codes.join(probed.select("cid").distinct(), "cid", "left_semi")
     seen = decode(codes.select(F.col("ordinal").alias("doc_idx"), "pos", "cid", "packed"), cen, par, nbits)
