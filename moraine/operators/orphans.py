@@ -49,11 +49,10 @@ def suspects(refs: DataFrame, parents: DataFrame, ranges: int) -> DataFrame:
     def run(r: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(r):
             return pd.DataFrame({"key": [], "period": []}).astype({"key": object, "period": "int32"})
-        dictionary, code = np.unique(r["key"].to_numpy(object).astype(str), return_inverse=True)
-        own = np.searchsorted(dictionary, p["key"].to_numpy(object).astype(str)) if len(p) else np.zeros(0, np.int64)
-        known = own < len(dictionary)
-        if len(p):
-            known &= dictionary[np.minimum(own, len(dictionary) - 1)] == p["key"].to_numpy(object).astype(str)
+        # Keys stay Python strings, so a long one costs its own length only and none loses its end.
+        code, dictionary = pd.factorize(r["key"].to_numpy(object), sort=True)
+        own = pd.Index(dictionary, dtype=object).get_indexer(p["key"].to_numpy(object)) if len(p) else np.zeros(0, np.int64)
+        known = own >= 0
         own, first, last = own[known], p["first"].to_numpy()[known], p["last"].to_numpy()[known]
         period = r["period"].to_numpy()
         keys, periods = [], []

@@ -61,3 +61,11 @@ def test_reference_tables_with_extra_columns(spark):
     gone = spark.createDataFrame([], GONE)
     assert rows(orphans.orphan_references(refs, links, docs, gone)) == []
     assert orphans.orphan_counts(orphans.orphan_references(refs, links, docs.limit(0), gone)).collect()
+
+
+def test_long_keys_and_ends_that_are_no_characters(spark):
+    """A very long key, and keys that differ in a trailing zero character only."""
+    long = "k" * 200_000
+    refs = spark.createDataFrame([(k, 24000) for k in ("a", "a\0", long, "b")], "key string, period int")
+    parents = spark.createDataFrame([("a", 0, 1 << 30), (long, 0, 1 << 30)], "key string, first int, last int")
+    assert sorted(r.key for r in orphans.suspects(refs, parents, 2).collect()) == ["a\0", "b"]
