@@ -50,8 +50,10 @@ def suspects(refs: DataFrame, parents: DataFrame, ranges: int) -> DataFrame:
         if not len(r):
             return pd.DataFrame({"key": [], "period": []}).astype({"key": object, "period": "int32"})
         # Keys stay Python strings, so a long one costs its own length only and none loses its end.
-        code, dictionary = pd.factorize(r["key"].to_numpy(object), sort=True)
-        own = pd.Index(dictionary, dtype=object).get_indexer(p["key"].to_numpy(object)) if len(p) else np.zeros(0, np.int64)
+        dictionary = np.array(sorted(set(r["key"])), object)
+        place = {key: k for k, key in enumerate(dictionary)}
+        code = np.fromiter(map(place.__getitem__, r["key"]), np.int64, len(r))
+        own = np.fromiter((place.get(key, -1) for key in p["key"]), np.int64, len(p))
         known = own >= 0
         own, first, last = own[known], p["first"].to_numpy()[known], p["last"].to_numpy()[known]
         period = r["period"].to_numpy()
