@@ -54,6 +54,21 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitter.split_oversized(table(spark, d, "msmarco_docs"), "docid", ["title", "body"]).dropDuplicates(["docid", "piece_no"])
 
 
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces of each item add up to: the text put together again without the overlaps, and the limits kept."""
+    p = p6_pieces(spark, d).groupBy("docid").agg(F.array_sort(F.collect_list(F.struct("piece_no", "start", "end", "piece", "n_pieces"))).alias("p"))  # the pieces of one item
+    after = F.slice("p", 2, F.size("p"))
+    pairs = F.zip_with(F.slice("p", 1, F.size("p") - 1), after, lambda a, b: F.struct(a["end"].alias("end"), b["start"].alias("start"), b["piece"].alias("piece")))
+    whole = F.concat(F.element_at("p", 1)["piece"], F.array_join(F.transform(pairs, lambda x: F.substr(x["piece"], x["end"] - x["start"] + 1)), ""))
+    return p.select(
+        "docid",
+        F.md5(whole).alias("whole"),
+        F.forall("p", lambda x: (x["end"] - x["start"] <= 2000) & (F.length(x["piece"]) == x["end"] - x["start"])).alias("limit_kept"),
+        F.forall(pairs, lambda x: F.abs(x["end"] - x["start"] - 200) <= 50).alias("overlap_kept"),
+        F.forall("p", lambda x: x["n_pieces"] == F.size("p")).alias("counted"),
+    )
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "benchmark")).select("doc_id", "item_id")
 
@@ -94,4 +109,4 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return bands.groupBy("band").agg(F.count("*").alias("documents"), F.round(F.avg("level"), 3).alias("mean_level"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_main, p4_found, p4_clean, p5_found, p5_restored, p6_found, p6_pieces, p7_found, p8_found, p8_mix, p8_shares, p8_mix_words, p8_shares_words, p9_found, p9_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_main, p4_found, p4_clean, p5_found, p5_restored, p6_found, p6_pieces, p6_check, p7_found, p8_found, p8_mix, p8_shares, p8_mix_words, p8_shares_words, p9_found, p9_profile)}
