@@ -81,16 +81,17 @@ FUNCTION = {
 }
 _SETS = {k: frozenset(v.split()) for k, v in FUNCTION.items()}
 LINE_END = "\n"
-_TOKEN = re.compile(r"[^\W\d_]+|\d[\d.,]*|[^\w\s]|_")
+_TOKEN, _NUMBER = re.compile(r"[^\W\d_]+|[^\w\s]|[\d_]"), re.compile(r"\d[\d.,]*")
 _DAMAGED = re.compile("[\x80-\x9fÃÂâ├┬Γ√¬Ð�Г]|[РВ][^\\sа-яА-ЯёЁa-zA-Z.,]")
 #: Marks around a title, and marks before a site's name in it.
 _AROUND, _BARS = frozenset("“”\"'«»‹›….*"), frozenset("–—-|·")
+_CYRILLIC = re.compile("[Ѐ-ӿ]")
 _LEADER = re.compile(r"[>»/|:›·→-]$")
 
 
 def tokens(line: str) -> list[str]:
     """Lower-case words, marks, and ``#`` for numbers; a closing arrow is dropped."""
-    out = ["#" if t[0].isdigit() else t for t in _TOKEN.findall(line.lower())]
+    out = _TOKEN.findall(_NUMBER.sub("#", line.lower()))
     while out and out[-1] in "»›→":
         out.pop()
     return out
@@ -130,11 +131,10 @@ def _placed(toks: list[str], name: list[str]) -> list[str]:
     return out
 
 
-def language(toks: list[str]) -> str:
+def language(toks: list[str], cyrillic: bool = True) -> str:
     """A rough language of a page's tokens: that of the most function words."""
     n = Counter(toks)
-    total = sum(k for w, k in n.items() if w[0].isalpha())
-    if sum(k for w, k in n.items() if "Ѐ" <= w[0] <= "ӿ") * 2 > total:
+    if cyrillic and sum(k for w, k in n.items() if "Ѐ" <= w[0] <= "ӿ") * 2 > sum(k for w, k in n.items() if w[0].isalpha()):
         return "ru"
     score = {k: sum(n[w] for w in s if w in n) for k, s in _SETS.items()}
     best = max(score, key=score.get)
@@ -263,6 +263,7 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
             body = repair(body)[0]
             title = repair(title)[0]
         own = title_forms(title)
+        ends = {f[-1] for f in own if len(f) > 2}
         words: list[str] = []
         held.append({})
         for no, raw in enumerate(body.split("\n"), 1):
@@ -279,13 +280,13 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
             x.page, x.no = p, no
             x.own = toks in own
             # A path: the page's own title after something else.
-            x.path = any(len(f) > 2 and len(toks) > len(f) and toks[-len(f) :] == f and bool(_LEADER.search(toks[-len(f) - 1])) for f in own)
+            x.path = toks[-1] in ends and any(len(f) > 2 and len(toks) > len(f) and toks[-len(f) :] == f and bool(_LEADER.search(toks[-len(f) - 1])) for f in own)
             _, x.toks, x.whole, x.open, x.close, x.inner, x.title = known
             if x.own:
                 x.open, x.close, x.inner = [], [], []
             held[p][x.whole] = len(x.toks)
             lines.append(x)
-        langs.append(language(words))
+        langs.append(language(words, bool(_CYRILLIC.search(body))))
     if not lines:
         return [], [], {}
 
@@ -337,6 +338,7 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
     count: dict[tuple[str, int, int], set] = {}
     lists: dict[tuple[str, int], set] = {}
     within: dict[tuple[str, int], set] = {}
+    heads: set[tuple[str, str]] = set()
     follow: list[list[int]] = [[] for _ in lines]
     # Beyond the windows' depth lines are compared as a whole.
     long: dict[int, set] = {}
@@ -371,6 +373,7 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
         for k, key in zip(OPEN, x.open):
             if loose[r] >= k and (not certain[r] or "@" in x.toks or "#" in x.toks):
                 count.setdefault((lang, key, 2), set()).add(page[r])
+                heads.add((x.toks[0], x.toks[1]))
         for k, key in zip(CLOSE, x.close):
             if from_end[r] >= k:
                 count.setdefault((lang, key, 3), set()).add(page[r])
@@ -379,14 +382,22 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
         if entries[r] and len(x.toks) <= SHORT:
             for key in (x.whole, *x.open):
                 lists.setdefault((lang, key), set()).add(page[r])
-        for at in [i for i, t in enumerate(x.toks[:-3], 1) if t in STOPS]:
-            for k in OPEN:
-                if at + k <= len(x.toks):
-                    within.setdefault((lang, _key(k, x.toks[at : at + k])), set()).add(page[r])
         if not x.own:
             fresh = (x.whole, page[r]) not in seen
             seen.add((x.whole, page[r]))
             out.append((pages[x.page][0], x.no, [x.whole, *x.open, *x.close, *x.inner] if len(x.toks) <= SHORT else [x.whole], follow[r], bool(x.path) or block[r], lang, fresh, head[r], len(x.toks)))
+    # Of the counted openings: the pages in which they open a sentence within a line.
+    sentences: dict[int, list[int]] = {}
+    for r, x in enumerate(lines):
+        toks = x.toks
+        if len(toks) < 4:
+            continue
+        keys = sentences.get(x.whole)
+        if keys is None:
+            stops = [i for i, t in enumerate(toks[:-3], 1) if t in STOPS and (toks[i], toks[i + 1]) in heads]
+            keys = sentences[x.whole] = [_key(k, toks[at : at + k]) for at in stops for k in OPEN if at + k <= len(toks)]
+        for key in keys:
+            within.setdefault((langs[x.page], key), set()).add(page[r])
     size: dict[str, set] = {}
     for p, lang in enumerate(langs):
         size.setdefault(lang, set()).add(first[p])
