@@ -222,6 +222,15 @@ class _Line:
     __slots__ = ("page", "no", "toks", "whole", "open", "close", "inner", "title", "own", "path")
 
 
+def _sound(line: str, mended: dict[str, str]) -> str:
+    """A line with wrongly decoded text restored; template lines are looked up."""
+    if line.isascii():
+        return line
+    if line not in mended:
+        mended[line] = repair(line)[0]
+    return mended[line]
+
+
 def _like_title(raw: str, toks: list[str]) -> bool:
     return 2 <= len(toks) <= 16 and raw[-1:] not in ".:;," and toks[0] not in ("*", "-", "•", "–")
 
@@ -258,9 +267,10 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
     langs: list[str] = []
     read: dict[str, tuple] = {}
     held: list[dict[int, int]] = []
+    mended: dict[str, str] = {}
     for p, (_, title, body) in enumerate(pages):
         if _DAMAGED.search(body):
-            body = repair(body)[0]
+            body = "\n".join(_sound(line, mended) for line in body.split("\n"))
             title = repair(title)[0]
         own = title_forms(title)
         ends = {f[-1] for f in own if len(f) > 2}
@@ -406,7 +416,7 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
     return out, runs, size
 
 
-_SCHEMA = "id string, line_no int, keys array<long>, follow array<int>, path boolean, lang string, fresh boolean, head int, n_toks int, host long, key long, kind int, k int, n int, lists int, inside int"
+_SCHEMA = "id string, line_no int, keys array<long>, follow array<int>, path boolean, lang string, fresh boolean, head int, n_toks int, host long, key long, kind int, k int, n int, lists int, inside int, what string"
 
 
 def _shard_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,24 +440,40 @@ def _shard_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, counted, size = weigh(site, [p for _, p in sorted(pages.items())])
         host = None if site is None else xxhash.xxh3_64_intdigest(site.encode("utf-8", "surrogatepass")) - (1 << 63)
         lines += [(*x, host) for x in found]
-        runs += [(lang, None, None, None, host, *x) for lang, *x in counted]
-        runs += [(lang, None, None, None, host, None, -1, None, n, None, None) for lang, n in size.items()]
+        runs += [(lang, host, *x) for lang, *x in counted]
+        runs += [(lang, host, None, -1, None, n, None, None) for lang, n in size.items()]
         if len(lines) > 20_000:
-            yield _batch(lines, runs)
+            yield from _batches(lines, runs)
             lines, runs = [], []
-    if lines or runs:
-        yield _batch(lines, runs)
+    yield from _batches(lines, runs)
+
+
+_TYPES = [("id", pa.string()), ("line_no", pa.int32()), ("keys", pa.list_(pa.int64())), ("follow", pa.list_(pa.int32())), ("path", pa.bool_()), ("lang", pa.string()), ("fresh", pa.bool_()), ("head", pa.int32()), ("n_toks", pa.int32()), ("host", pa.int64()), ("key", pa.int64()), ("kind", pa.int32()), ("k", pa.int32()), ("n", pa.int32()), ("lists", pa.int32()), ("inside", pa.int32()), ("what", pa.string())]
+_OF_LINES = ("id", "line_no", "keys", "follow", "path", "lang", "fresh", "head", "n_toks", "host")
+_OF_RUNS = ("lang", "host", "key", "kind", "k", "n", "lists", "inside")
 
 
-_TYPES = [("id", pa.string()), ("line_no", pa.int32()), ("keys", pa.list_(pa.int64())), ("follow", pa.list_(pa.int32())), ("path", pa.bool_()), ("lang", pa.string()), ("fresh", pa.bool_()), ("head", pa.int32()), ("n_toks", pa.int32()), ("host", pa.int64()), ("key", pa.int64()), ("kind", pa.int32()), ("k", pa.int32()), ("n", pa.int32()), ("lists", pa.int32()), ("inside", pa.int32())]
+def _lists(values: tuple[list[int], ...], kind: pa.DataType) -> pa.ListArray:
+    flat = np.fromiter(itertools.chain.from_iterable(values), kind.to_pandas_dtype())
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]).astype(np.int32)), pa.array(flat, kind))
 
 
-def _batch(lines: list[tuple], runs: list[tuple]) -> pa.RecordBatch:
-    left = [list(c) for c in zip(*lines)] or [[]] * 10
-    right = [list(c) for c in zip(*runs)] or [[]] * 11
-    none = [None]
-    columns = [c + none * len(runs) for c in left[:5]] + [a + b for a, b in zip(left[5:], right[:5])] + [none * len(lines) + c for c in right[5:]]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _TYPES)], names=[n for n, _ in _TYPES])
+def _batches(lines: list[tuple], runs: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """One batch of lines and one of runs and page counts, each with nulls for what the other has."""
+    for rows, own in ((lines, _OF_LINES), (runs, _OF_RUNS)):
+        if rows:
+            columns = dict(zip(own, zip(*rows)))
+            arrays = []
+            for name, kind in _TYPES:
+                if name == "what":
+                    arrays.append(pa.array(["line" if own is _OF_LINES else "run"] * len(rows)))
+                elif name not in columns:
+                    arrays.append(pa.nulls(len(rows), kind))
+                elif pa.types.is_list(kind):
+                    arrays.append(_lists(columns[name], kind.value_type))
+                else:
+                    arrays.append(pa.array(columns[name], kind))
+            yield pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in _TYPES])
 
 
 def host_lines(rows: DataFrame) -> DataFrame:
@@ -456,9 +482,9 @@ def host_lines(rows: DataFrame) -> DataFrame:
     The chance of so many pages is bounded by that of a Poisson number
     (Chernoff); half a page stands in for lines that no other host has.
     """
-    pages = rows.where("kind = -1 AND host IS NOT NULL").groupBy("host", "lang").agg(F.sum("n").alias("host_pages"))
+    pages = rows.where("what = 'run' AND kind = -1 AND host IS NOT NULL").groupBy("host", "lang").agg(F.sum("n").alias("host_pages"))
     world = pages.groupBy("lang").agg(F.sum("host_pages").alias("world_pages"))
-    lines = rows.where("fresh AND host IS NOT NULL").select("host", "lang", F.element_at("keys", 1).alias("key"), ((F.size("follow") > 0) | F.col("head").isNotNull()).cast("int").alias("leads"), (F.col("n_toks") >= LONG).alias("long"))
+    lines = rows.where("what = 'line' AND fresh AND host IS NOT NULL").select("host", "lang", F.element_at("keys", 1).alias("key"), ((F.size("follow") > 0) | F.col("head").isNotNull()).cast("int").alias("leads"), (F.col("n_toks") >= LONG).alias("long"))
     # One exchange serves both sums.
     per = lines.repartition("key").groupBy("key", "lang", "host").agg(F.count("*").alias("pages"), F.sum("leads").alias("leads"), F.max("long").alias("long"))
     each = per.groupBy("key", "lang").agg(F.sum("pages").alias("all"), F.collect_list(F.when(F.col("pages") >= F.when(F.col("long"), LONG_PAGES).otherwise(HOST_PAGES), F.struct("host", "pages", "leads"))).alias("many"))
@@ -477,10 +503,10 @@ def boilerplate_lines(docs: DataFrame, id_col: str = "docid", url_col: str = "ur
     d = d.join(sizes, F.col("site").eqNullSafe(F.col("of")), "left")
     shard = F.xxhash64("site", F.pmod(F.xxhash64("id"), F.greatest(F.coalesce("shards", F.lit(1)), F.lit(1))))
     d = d.select("id", "site", "title", "body", shard.alias("shard")).repartition(4 * width(spark), "shard").sortWithinPartitions("shard")
-    rows = materialize(d.mapInArrow(_shard_pass, _SCHEMA), "lines")
+    rows = materialize(d.mapInArrow(_shard_pass, _SCHEMA), "lines", by="what")
 
-    world = rows.where("kind = -1").groupBy("lang").agg(F.sum("n").alias("all_pages"), F.count("*").alias("shards"))
-    runs = rows.where("kind >= 0").groupBy("lang", "key", "kind").agg(F.sum("k").alias("pages"), F.sum("lists").alias("lists"), F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("k") / F.col("n")).alias("square"), F.max(F.when(F.col("k") >= 4, F.col("k") / F.col("n")).otherwise(0)).alias("most"))
+    world = rows.where("what = 'run' AND kind = -1").groupBy("lang").agg(F.sum("n").alias("all_pages"), F.count("*").alias("shards"))
+    runs = rows.where("what = 'run' AND kind >= 0").groupBy("lang", "key", "kind").agg(F.sum("k").alias("pages"), F.sum("lists").alias("lists"), F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("k") / F.col("n")).alias("square"), F.max(F.when(F.col("k") >= 4, F.col("k") / F.col("n")).otherwise(0)).alias("most"))
     runs = runs.join(world, "lang")
     p = F.col("pages") / F.col("all_pages")
     # Ratio of the variance of a run's share over hosts to what chance allows.
@@ -496,7 +522,7 @@ def boilerplate_lines(docs: DataFrame, id_col: str = "docid", url_col: str = "ur
     shared = own.groupBy("key").agg(F.count_distinct("host").alias("hosts"), intro).where(F.col("hosts") >= HOSTS).select("key", "intro")
     chosen = materialize(chosen.unionByName(shared).groupBy("key").agg(F.max("intro").alias("intro")), "runs")
 
-    lines = rows.where("id IS NOT NULL")
+    lines = rows.where("what = 'line'")
     hit = lines.select("id", "line_no", "follow", "head", F.explode("keys").alias("key")).join(chosen, "key")
     whole = lines.where("host IS NOT NULL").select("id", "line_no", "follow", "head", "host", F.element_at("keys", 1).alias("key"))
     hit = hit.unionByName(whole.join(own.groupBy("host", "key").agg(intro), ["host", "key"]).select(*hit.columns))

@@ -148,6 +148,7 @@ def unwrap(run: str, depth: int = DEPTH, found: frozenset = frozenset()) -> str
     return best
 
 
+@lru_cache(200_000)
 def _pieces(run: str, found: frozenset = frozenset()) -> str | None:
     """A run in which damage and sound text touch: the parts that are valid UTF-8 under an encoding are undone."""
     whole = unwrap(run, DEPTH, found)
