@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
-from .text import HashOf
+from .text import HashOf, hashes
 
 BITS = 18
 #: Prior: occurrences it counts for, and its variance of levels.
@@ -63,10 +63,6 @@ def labelled(labels: DataFrame, id_col: str, band_col: str) -> DataFrame:
     return y.groupBy("id").agg(F.avg("band").cast("double").alias("y"))
 
 
-def _slots(words: list[str], known: HashOf, bits: int) -> Counter:
-    return Counter(known[w] & ((1 << bits) - 1) for w in words)
-
-
 def common_words(docs: DataFrame, y: DataFrame, id_col: str, text_col: str, bits: int) -> np.ndarray:
     """Slots of the words that stand in most labelled documents, all of which are English."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0).join(y.select("id"), "id", "left_semi")
@@ -86,7 +82,7 @@ def features(docs: DataFrame, common: np.ndarray, id_col: str = "doc_id", text_c
     """``(id, slots, counts, share)`` of the documents with enough words; ``share`` is that of the common words."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
     kind = src.schema["id"].dataType.simpleString()
-    names = frozenset(common.tolist())
+    common = np.bincount(common, minlength=1 << bits) > 0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = HashOf()
@@ -96,11 +92,14 @@ def features(docs: DataFrame, common: np.ndarray, id_col: str = "doc_id", text_c
                 if len(text.split(None, min_words)) < min_words:
                     continue
                 words = _WORD.findall(text.lower())
-                n = _slots(words, known, bits)
+                n = Counter(words)
+                # Words of one slot stay apart; all that is done with them are sums.
+                slot = (hashes(list(n), known) & np.uint64((1 << bits) - 1)).astype(np.int32)
+                count = np.fromiter(n.values(), np.int32, len(n))
                 keys.append(key)
-                slots.append(np.fromiter(n.keys(), np.int32, len(n)))
-                counts.append(np.fromiter(n.values(), np.int32, len(n)))
-                share.append(sum(n[w] for w in names if w in n) / max(1, len(words)))
+                slots.append(slot)
+                counts.append(count)
+                share.append(float(count[common[slot]].sum()) / max(1, len(words)))
             if keys:
                 yield pd.DataFrame({"id": keys, "slots": slots, "counts": counts, "share": share})
 
@@ -216,11 +215,11 @@ def _cuts(rows: DataFrame, words: Words) -> list[float]:
     return list(np.maximum.accumulate(out))
 
 
-def fitted(rows: DataFrame, known: DataFrame, tolerance: float = 1e-3, most: int = 20, bits: int = BITS) -> tuple[Words, list[float]]:
+def fitted(rows: DataFrame, known: DataFrame, tolerance: float = 0.01, most: int = 20, bits: int = BITS) -> tuple[Words, list[float]]:
     """Word parameters on the scale of the labels, and the mean log-likelihood after each round.
 
-    Rounds end when the likelihood rises by less than ``tolerance`` of an
-    occurrence's, or after ``most`` of them. ``rows``: slots, counts, y;
+    Rounds end when the likelihood of an occurrence has risen by less than
+    ``tolerance``, or after ``most`` of them, with the words of the last step. ``rows``: slots, counts, y;
     ``known``: those with a label.
     """
     words = _anchored(known, _sums(known, None, bits)[0])
@@ -228,9 +227,9 @@ def fitted(rows: DataFrame, known: DataFrame, tolerance: float = 1e-3, most: int
     while True:
         new, likelihood = _sums(rows, words, bits)
         course.append(likelihood)
-        if len(course) > 1 and (course[-1] - course[-2] < tolerance or len(course) > most):
-            return words, course
         words = _anchored(known, new)
+        if len(course) > 1 and (course[-1] - course[-2] < tolerance or len(course) >= most):
+            return words, course
 
 
 def reading_bands(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", band_col: str = "band", min_words: int = 50, bits: int = BITS) -> DataFrame:
