@@ -36,13 +36,13 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import materialize, width
@@ -183,10 +183,12 @@ def copies(held: list[dict[int, int]]) -> list[int]:
     of its kind only, so likeness does not chain.
     """
     first = list(range(len(held)))
-    on = Counter(key for page in held for key in page)
-    some = [p for p, page in enumerate(held) if any(n >= LONG and on[key] > 1 for key, n in page.items())]
+    long_on = Counter(key for page in held for key, n in page.items() if n >= LONG)
+    shared = {key for key, n in long_on.items() if n > 1}
+    some = [p for p, page in enumerate(held) if not shared.isdisjoint(page)]
     if len(some) < 2:
         return first
+    on = Counter(key for page in held for key in page)
     column: dict[int, int] = {}
     for p in some:
         for key in held[p]:
@@ -203,8 +205,8 @@ def copies(held: list[dict[int, int]]) -> list[int]:
     total = np.array([sum(held[p].values()) for p in some])
     rest = np.array([sum(n for key, n in held[p].items() if on[key] <= many) for p in some])
     long = has[:, weight >= LONG]
-    shared, shared_few = (has * weight) @ has.T, (has[:, few] * weight[few]) @ has[:, few].T
-    agree = (shared >= COPY_ALL * np.maximum.outer(total, total)) | ((shared_few > 0) & (shared_few >= COPY_FEW * np.maximum.outer(rest, rest)))
+    both, both_few = (has * weight) @ has.T, (has[:, few] * weight[few]) @ has[:, few].T
+    agree = (both >= COPY_ALL * np.maximum.outer(total, total)) | ((both_few > 0) & (both_few >= COPY_FEW * np.maximum.outer(rest, rest)))
     agree &= long @ long.T > 0
     for i, p in enumerate(some):
         for j in np.flatnonzero(agree[i, :i]).tolist():
@@ -273,7 +275,7 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
             body = "\n".join(_sound(line, mended) for line in body.split("\n"))
             title = repair(title)[0]
         own = title_forms(title)
-        ends = {f[-1] for f in own if len(f) > 2}
+        last_of = {f[-1] for f in own if len(f) > 2}
         words: list[str] = []
         held.append({})
         for no, raw in enumerate(body.split("\n"), 1):
@@ -290,7 +292,7 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
             x.page, x.no = p, no
             x.own = toks in own
             # A path: the page's own title after something else.
-            x.path = toks[-1] in ends and any(len(f) > 2 and len(toks) > len(f) and toks[-len(f) :] == f and bool(_LEADER.search(toks[-len(f) - 1])) for f in own)
+            x.path = toks[-1] in last_of and any(len(f) > 2 and len(toks) > len(f) and toks[-len(f) :] == f and bool(_LEADER.search(toks[-len(f) - 1])) for f in own)
             _, x.toks, x.whole, x.open, x.close, x.inner, x.title = known
             if x.own:
                 x.open, x.close, x.inner = [], [], []
@@ -305,20 +307,22 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
     page = np.array([first[x.page] for x in lines])
     n_pages = len(set(page.tolist()))
     # The stream of the host: lines end in a token of their own, pages in one that no other page has.
-    number: dict[str, int] = {LINE_END: 1}
+    number: dict[str, int] = defaultdict(itertools.count(2).__next__)
+    number[LINE_END] = 1
     numbered: dict[int, list[int]] = {}
     stream: list[int] = []
-    start = np.zeros(len(lines) + 1, np.int64)
+    ends = [0]
     for r, x in enumerate(lines):
         ids = numbered.get(x.whole)
         if ids is None:
             # Beyond the windows' depth nothing of a line is compared from its ends.
             toks = x.toks if len(x.toks) <= 2 * DEPTH else x.toks[:DEPTH] + x.toks[-DEPTH:]
-            ids = numbered[x.whole] = [*[number.setdefault(t, len(number) + 1) for t in toks], 1]
+            ids = numbered[x.whole] = [*map(number.__getitem__, toks), 1]
         stream += ids
-        start[r + 1] = len(stream)
+        ends.append(len(stream))
         if r + 1 == len(lines) or lines[r + 1].page != x.page:
             stream[-1] = (1 << 32) - 1 - x.page
+    start = np.array(ends)
     flat = np.array([0] * DEPTH + stream + [0] * DEPTH, np.uint32)
     ahead, back = np.arange(DEPTH), -np.arange(DEPTH)
     forward = flat[(start[:-1] + DEPTH)[:, None] + ahead]
@@ -331,9 +335,9 @@ def weigh(site: str | None, pages: list[tuple[str, str | None, str]], strict: fl
     inside = size[last] + 1 < DEPTH
     forward[last[inside], size[last[inside]] + 1] = flat[start[last[inside] + 1] + DEPTH - 1]
     least = max(3, int(np.ceil(strict * n_pages)))
-    from_start = run_lengths(forward, page, least)
-    from_end = run_lengths(backward, page, 3).tolist()
     loose = run_lengths(forward, page, 3)
+    from_start = loose if least == 3 else run_lengths(forward, page, least)
+    from_end = run_lengths(backward, page, 3).tolist()
     # Blocks: runs over the ends of lines, which several pages hold line by line.
     block = np.zeros(len(lines) + 1, np.int64)
     past = np.searchsorted(start[1:], start[:-1] + loose, "right")
@@ -487,8 +491,8 @@ def host_lines(rows: DataFrame) -> DataFrame:
     lines = rows.where("what = 'line' AND fresh AND host IS NOT NULL").select("host", "lang", F.element_at("keys", 1).alias("key"), ((F.size("follow") > 0) | F.col("head").isNotNull()).cast("int").alias("leads"), (F.col("n_toks") >= LONG).alias("long"))
     # One exchange serves both sums.
     per = lines.repartition("key").groupBy("key", "lang", "host").agg(F.count("*").alias("pages"), F.sum("leads").alias("leads"), F.max("long").alias("long"))
-    each = per.groupBy("key", "lang").agg(F.sum("pages").alias("all"), F.collect_list(F.when(F.col("pages") >= F.when(F.col("long"), LONG_PAGES).otherwise(HOST_PAGES), F.struct("host", "pages", "leads"))).alias("many"))
-    each = each.where(F.size("many") > 0).select("key", "lang", "all", F.inline("many")).join(pages, ["host", "lang"]).join(world, "lang")
+    each = per.withColumn("all", F.sum("pages").over(Window.partitionBy("key", "lang")))  # a row per host with the line
+    each = each.where(F.col("pages") >= F.when(F.col("long"), LONG_PAGES).otherwise(HOST_PAGES)).join(pages, ["host", "lang"]).join(world, "lang")
     expected = F.col("host_pages") * (F.col("all") - F.col("pages") + 0.5) / F.greatest(F.col("world_pages") - F.col("host_pages"), F.col("host_pages"))
     beyond = F.col("pages") * F.log(F.col("pages") / expected) - F.col("pages") + expected
     return each.where((F.col("pages") > expected) & (beyond >= HOST_CHANCE)).select("host", "lang", "key", "pages", "leads")
