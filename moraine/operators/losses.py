@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,3 +28,10 @@ def kl_distillation(rows: DataFrame, group: list[str], teacher: str, student: st
 def in_batch_ce(scores: DataFrame) -> DataFrame:
     """Mean cross-entropy of each query's own document among all documents of the batch. ``scores``: batch, q, d, score."""
     return log_softmax(scores, ["batch", "q"], "score", "_l").where(F.col("q") == F.col("d")).agg(F.avg(-F.col("_l")).alias("loss"), F.count("*").alias("n"))
+
+
+def rate_share(step: Column, warmup: int, total: Column) -> Column:
+    """Share of the peak learning rate at a step: rising to it over the warm-up, then falling to nothing at the last step."""
+    rising = step / F.lit(float(max(1, warmup)))
+    falling = (total - step) / F.greatest(F.lit(1), total - warmup)
+    return F.when(step < warmup, rising).otherwise(F.greatest(F.lit(0.0), falling))

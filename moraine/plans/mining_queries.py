@@ -128,6 +128,13 @@ def kl_distillation(spark, d):
     return L.kl_distillation(s, ["tuple"], "score", "student").select(F.round("loss", 6).alias("loss"), "n")
 
 
+def learning_rates(spark, d):
+    """The schedule over as many steps as there are triples, and some beyond."""
+    n = triples_hash_sampled(spark, d).agg(F.count("*")).scalar()
+    steps = spark.range(1).select(n.alias("total")).select("total", F.explode(F.sequence(F.lit(0), F.col("total") + 10)).alias("step"))
+    return steps.select("step", F.round(L.rate_share(F.col("step"), 100, F.col("total")), 9).alias("share"))
+
+
 def in_batch_ce(spark, d):
     """Batches of eight documents; each document's even tokens are the query of its odd ones."""
     e = C.token_vectors(spark, d).withColumn("batch", F.floor(F.col("doc_idx") / 8).cast("long"))
@@ -139,7 +146,7 @@ def in_batch_ce(spark, d):
     return L.in_batch_ce(m).select(F.round("loss", 6).alias("loss"), "n")
 
 
-QUERIES = {f.__name__: f for f in (negative_pool_anti, triples_top_negatives, triples_hash_sampled, triples_first_passage, triples_resolve_text, distill_pairs, distill_tuples, distill_tuples_maxp, distill_scored, triples_shuffled, tuple_passages, pairwise_ce, kl_distillation, in_batch_ce)}
+QUERIES = {f.__name__: f for f in (negative_pool_anti, triples_top_negatives, triples_hash_sampled, triples_first_passage, triples_resolve_text, distill_pairs, distill_tuples, distill_tuples_maxp, distill_scored, triples_shuffled, tuple_passages, pairwise_ce, kl_distillation, learning_rates, in_batch_ce)}
 
 _POS = "ps AS (SELECT qid, pid AS docid FROM qr WHERE rel > 0)"
 _CA = "ca AS (SELECT qid, pid AS docid, min(rank) AS ord FROM rn GROUP BY ALL)"
@@ -183,5 +190,6 @@ SQL = {
     "triples_shuffled": C.with_(*_BASE, _HS) + "SELECT key, row_number() OVER (ORDER BY md5(concat_ws('|', '42', '3', key)), key) - 1 AS place FROM (SELECT concat_ws('|', qid, pos, neg) AS key FROM hs)",
     "pairwise_ce": C.with_(_TS) + "SELECT round(avg(greatest(g.score - p.score, 0) + ln(1 + exp(-abs(g.score - p.score)))), 6) AS loss, count(*) AS n FROM ts g JOIN ts p ON g.tuple = p.tuple AND p.n = p.positive_idx AND g.n <> g.positive_idx",
     "kl_distillation": C.with_(_TS, "a AS (SELECT *, -CAST(n AS DOUBLE) AS st, max(score) OVER (PARTITION BY tuple) AS mt, max(-n) OVER (PARTITION BY tuple) AS ms FROM ts), b AS (SELECT tuple, score - mt - ln(sum(exp(score - mt)) OVER (PARTITION BY tuple)) AS lt, st - ms - ln(sum(exp(st - ms)) OVER (PARTITION BY tuple)) AS ls FROM a)") + "SELECT round(avg(kl), 6) AS loss, count(*) AS n FROM (SELECT tuple, sum(exp(lt) * (lt - ls)) AS kl FROM b GROUP BY tuple)",
+    "learning_rates": C.with_(*_BASE, _HS, "t AS (SELECT count(*) AS n FROM hs)") + "SELECT step, round(CASE WHEN step < 100 THEN step / 100.0 ELSE greatest(0.0, (n - step) / greatest(1, n - 100)) END, 9) AS share FROM (SELECT n, unnest(range(0, n + 11)) AS step FROM t)",
     "in_batch_ce": C.with_(C.E, "m AS (SELECT x.doc_idx // 8 AS batch, x.doc_idx AS q, y.doc_idx AS d, x.pos, max(list_dot_product(x.v, y.v)) AS m FROM e x JOIN e y ON x.doc_idx // 8 = y.doc_idx // 8 AND x.pos % 2 = 0 AND y.pos % 2 = 1 GROUP BY ALL), s AS (SELECT batch, q, d, sum(m) AS score FROM m GROUP BY ALL), t AS (SELECT *, max(score) OVER (PARTITION BY q) AS mx FROM s), l AS (SELECT q, d, score - mx - ln(sum(exp(score - mx)) OVER (PARTITION BY q)) AS lp FROM t)") + "SELECT round(avg(-lp), 6) AS loss, count(*) AS n FROM l WHERE q = d",
 }
