@@ -32,6 +32,8 @@ from ..runtime import discard, file_system, materialize, put_text, width
 STAGES = ("centroids", "codes", "lists", "complete")
 #: Centroids are sent to every task in blocks: so many at most, and so many bytes of them.
 MOST_CENTROIDS, MOST_CENTROID_BYTES = 1 << 19, 256 << 20
+#: So many centroids are one block whatever their dimension (up to 4,096).
+FEW = 8_192
 #: Centroids learned by one model on the driver at most; more are learned in two levels.
 DIRECT = 1 << 10
 #: Folders of the codes by centroid.
@@ -111,10 +113,21 @@ def centroid_blocks(centroids: DataFrame) -> int:
 
 def held_centroids(centroids: DataFrame, block: int = 0, blocks: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Ids and matrix of one block of the centroids, in order of id."""
-    c = centroids.where(F.pmod("cid", F.lit(blocks)) == block).select("cid", "centroid").orderBy("cid").toPandas()  # blocks are made such that this is bounded
+    return _matrix(centroids.where(F.pmod("cid", F.lit(blocks)) == block).select("cid", "centroid").toPandas())  # blocks are made such that this is bounded
+
+
+def _matrix(c: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    c = c.sort_values("cid")
     return c["cid"].to_numpy(np.int64), np.array(c["centroid"].tolist(), np.float64)
 
 
+def few_centroids(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ids and matrix where there are ``FEW`` centroids at most, read by one job; else none, and they are counted first."""
+    few = min(FEW, MOST_CENTROIDS)
+    c = centroids.select("cid", "centroid").limit(few + 1).toPandas()
+    return _matrix(c) if len(c) <= few else None
+
+
 def tile(mat: np.ndarray) -> int:
     """Vectors a product is taken of at a time, such that it has four million cells at most."""
     return max(1, 4_000_000 // max(1, len(mat)))
@@ -139,10 +152,11 @@ def ranked_centroids(vecs: DataFrame, centroids: DataFrame, keep: int, by: list[
         raise ValueError(f"{by} must name columns of the vectors")
     kind = centroids.schema["cid"].dataType.simpleString()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols) + f", cid {kind}, sim double, probe int" + ", centroid array<double>" * with_centroid
-    blocks = centroid_blocks(centroids)
+    small = few_centroids(centroids)
+    blocks = 1 if small else centroid_blocks(centroids)
 
     def one(block: int) -> DataFrame:
-        held = vecs.sparkSession.sparkContext.broadcast(held_centroids(centroids, block, blocks))
+        held = vecs.sparkSession.sparkContext.broadcast(small or held_centroids(centroids, block, blocks))
 
         def run(batches):
             ids, mat = held.value
@@ -176,13 +190,14 @@ def encode(vecs: DataFrame, centroids: DataFrame, parameters: DataFrame, nbits:
     spark = vecs.sparkSession
     per = 8 // codec.check_bits(nbits)
     cols = [f for f in vecs.schema.fields if f.name != vec]
-    if centroid_blocks(centroids) > 1:
+    small = few_centroids(centroids)
+    if not small and centroid_blocks(centroids) > 1:
         near = ranked_centroids(vecs, centroids, 1, [f.name for f in cols], vec)
         near = near.withColumn("boundaries", parameters.select("boundaries").scalar())
         codes = codec.quantize(vectors.minus(F.col(vec), F.col("centroid")), F.col("boundaries"))
         packed = F.unhex(F.array_join(F.transform(codec.pack(codes, nbits), lambda x: F.lpad(F.hex(x), 2, "0")), ""))
         return near.select(*[f.name for f in cols], F.col("cid").cast("int").alias("cid"), packed.alias("packed"))
-    ids, mat = held_centroids(centroids)
+    ids, mat = small or held_centroids(centroids)
     p = parameters.select("boundaries").first()
     held = spark.sparkContext.broadcast((ids, mat, np.array(p["boundaries"], np.float64)))
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import filled
+from ..runtime import materialize
 
 
 def negative_pool(run: DataFrame, positives: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def triples(positives: DataFrame, pool: DataFrame, per_positive: int = 1, strate
         return positives.select("qid", F.col("docid").alias("pos")).join(near.select("qid", F.col("docid").alias("neg"), "k"), "qid")
     if strategy != "random":
         raise ValueError("top or random")
-    placed = _placed(pool, seed)
+    placed = materialize(_placed(pool, seed), "pool")
     sizes = placed.groupBy("qid").agg(F.max("n").alias("n"))
     start = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "qid", "pos")), 1, 12), 16, 10).cast("long")
     drawn = positives.select("qid", F.col("docid").alias("pos")).join(sizes, "qid")

@@ -9,12 +9,13 @@ from ..functions import codec, vectors
 from ..config import Config
 from ..operators import index as I
 from ..operators.ordinals import sample_exact
+from ..runtime import materialize
 from . import common as C
 
 
 def _near(spark: SparkSession, d: str) -> DataFrame:
     e = C.token_vectors(spark, d)
-    return I.ranked_centroids(e, I.mean_centroids(e), 1, ["vec_id"])
+    return I.ranked_centroids(e, materialize(I.mean_centroids(e), "centroids"), 1, ["vec_id"])
 
 
 def _residuals(spark, d):
@@ -23,12 +24,13 @@ def _residuals(spark, d):
 
 
 def _parameters(spark, d):
-    p = codec.quantile_parameters(sample_exact(_residuals(spark, d), "vec_id", Config().residual_sample), 2)
+    r = materialize(_residuals(spark, d).select("vec_id", "residual"), "residuals")
+    p = codec.quantile_parameters(sample_exact(r, "vec_id", Config().residual_sample), 2)
     return p.withColumn("value", F.round("value", 6))
 
 
 def _codes(spark, d):
-    p = codec.as_arrays(_parameters(spark, d))
+    p = materialize(codec.as_arrays(_parameters(spark, d)), "parameters")
     r = _residuals(spark, d).withColumns({"boundaries": p.select("boundaries").scalar(), "bucket_values": p.select("bucket_values").scalar()})
     return r.withColumn("codes", codec.quantize(F.col("residual"), F.col("boundaries")))
 
@@ -127,7 +129,7 @@ def index_metadata(spark, d):
 def encode_arrow(spark, d):
     """The codes by matrix products; equal to quantize_codes and pack_codes."""
     e = C.token_vectors(spark, d)
-    p = codec.as_arrays(_parameters(spark, d))
+    p = materialize(codec.as_arrays(_parameters(spark, d)), "parameters")
     return I.encode(e.select("vec_id", "vec"), I.mean_centroids(e), p, 2).select("vec_id", "cid", F.lower(F.hex("packed")).alias("packed"))
 
 

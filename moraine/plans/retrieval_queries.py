@@ -16,7 +16,7 @@ from ..config import Config
 from ..functions import codec
 from ..operators import index as I
 from ..operators import retrieval as R
-from ..runtime import shared_dir
+from ..runtime import materialize, shared_dir
 from ..sources.sinks import trec_line
 from . import common as C
 
@@ -27,9 +27,9 @@ FULL = Config().n_candidates
 
 def _parts(spark, d):
     e = C.token_vectors(spark, d)
-    cen = I.mean_centroids(e)
-    codes = I.ranked_centroids(e, cen, 1, ["vec_id"]).select("doc_idx", "pos", "cid", "vec")
-    return C.query_vectors(e), cen, codes
+    cen = materialize(I.mean_centroids(e), "centroids")
+    codes = I.ranked_centroids(e, cen, 1, ["vec_id"], with_centroid=False).select("doc_idx", "pos", "cid", "vec")
+    return C.query_vectors(e), cen, materialize(codes, "codes")
 
 
 def maxsim_exact_topk(spark, d):
