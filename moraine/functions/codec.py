@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -62,19 +65,30 @@ def quantile_parameters(residuals: DataFrame, nbits: int, vec: str = "residual")
     Bucket ``b`` of ``L`` holds the sorted positions from ``int(b / L * n)`` to
     ``int((b + 1) / L * n)``; its value is their mean and its boundary (but for
     the last) the value at the upper position, at most ``n - 1``. Callers pass
-    a bounded sample: one dimension is one window partition.
+    a bounded sample: one dimension is sorted in one task.
     """
     level = 1 << check_bits(nbits)
-    x = residuals.select(F.posexplode(vec).alias("d", "x"))
-    n = F.count("*").over(Window.partitionBy("d"))
-    r = x.select("d", "x", (F.row_number().over(Window.partitionBy("d").orderBy("x")) - 1).alias("r"), n.alias("n"))
-    buckets = F.explode(F.array(*[F.lit(b) for b in range(level)])).alias("bucket")
-    r = r.select("d", "x", "r", "n", buckets)
-    lo = F.floor(F.col("bucket") * F.col("n") / level)
-    hi = F.when(F.col("bucket") == level - 1, F.col("n")).otherwise(F.floor((F.col("bucket") + 1) * F.col("n") / level))
-    inside = (F.col("r") >= lo) & (F.col("r") < hi)
-    edge = (F.col("bucket") < level - 1) & (F.col("r") == F.least(hi, F.col("n") - 1))
-    return r.where(inside | edge).groupBy("d", "bucket").agg(F.max(F.when(edge, F.col("x"))).alias("boundary"), F.avg(F.when(inside, F.col("x"))).alias("value"))
+
+    def spread(batches):
+        for batch in batches:
+            lists = batch.column(vec)
+            at = np.concatenate([np.empty(0, np.int64), *[np.arange(n) for n in lists.value_lengths().to_numpy()]])
+            order, flat = np.argsort(at, kind="stable"), lists.flatten().to_numpy(zero_copy_only=False)
+            edge = np.append(0, np.cumsum(np.bincount(at)))
+            flat = flat[order].astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(edge) - 1, dtype=np.int32)), pa.array([flat[lo:hi].tobytes() for lo, hi in zip(edge[:-1], edge[1:])], pa.binary())], ["d", "x"])
+
+    def buckets(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.sort(np.frombuffer(b"".join(pdf["x"]), np.float64))
+        n = len(x)
+        ends = [b * n // level for b in range(level)] + [n]
+        parts = [x[lo:hi] for lo, hi in zip(ends[:-1], ends[1:])]
+        edges = [x[min(hi, n - 1)] for hi in ends[1:-1]] + [None]
+        out = pd.DataFrame({"d": np.int32(key[0]), "bucket": np.arange(level, dtype=np.int32), "boundary": pd.array(edges, "Float64"), "value": pd.array([p.mean() if len(p) else None for p in parts], "Float64")})
+        return out[out["boundary"].notna() | out["value"].notna()]
+
+    x = residuals.where(F.col(vec).isNotNull()).select(vec).mapInArrow(spread, "d int, x binary")
+    return x.groupBy("d").applyInPandas(buckets, "d int, bucket int, boundary double, value double")
 
 
 def as_arrays(parameters: DataFrame) -> DataFrame:

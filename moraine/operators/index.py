@@ -23,6 +23,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,10 @@ FEW = 8_192
 DIRECT = 1 << 10
 #: Folders of the codes by centroid.
 BUCKETS = 64
+#: Different vectors whose codes a task remembers at most.
+MOST_HELD = 1 << 17
+#: How tables of a row a token are written: sorted numbers by their differences, few values by their places.
+DENSE = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.dictionary.page.size": str(8 << 20)}
 
 
 def n_centroids(n_vectors: float) -> int:
@@ -62,44 +67,55 @@ def mean_centroids(vecs: DataFrame, label: str = "label", vec: str = "vec") -> D
     return m.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("d", "m")))["m"].alias("centroid"))  # one entry per dimension
 
 
-def _means(sample: DataFrame, k: int, iterations: int, seed: int, vec: str) -> list[tuple[int, list[float]]]:
+def _means(sample: DataFrame, k: int, iterations: int, seed: int, vec: str, weight: str | None = None) -> list[tuple[int, list[float]]]:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = sample.select(array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("features"))
-    model = KMeans(k=k, maxIter=iterations, seed=seed, initMode="k-means||").fit(rows)
-    return [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    rows = sample.select(array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("features"), *([F.col(weight).cast("double").alias("weight")] if weight else []))
+    means = KMeans(k=k, maxIter=iterations, seed=seed, initMode="k-means||", **({"weightCol": "weight"} if weight else {}))
+    return [(i, [float(x) for x in c]) for i, c in enumerate(means.fit(rows).clusterCenters())]
 
 
-def lloyd(x: np.ndarray, k: int, iterations: int, seed: int) -> np.ndarray:
-    """Plain k-means of a matrix, started at distinct rows; at most as many centroids as rows."""
+def lloyd(x: np.ndarray, k: int, iterations: int, seed: int, weights: np.ndarray | None = None) -> np.ndarray:
+    """Plain k-means of a matrix whose rows stand for so many vectors, started at distinct rows; at most as many centroids as rows."""
     rng = np.random.default_rng(seed)
-    c = x[np.sort(rng.permutation(len(x))[:k])].astype(np.float64)
+    w = np.ones(len(x)) if weights is None else np.asarray(weights, np.float64)
+    first = rng.permutation(len(x))[:k] if weights is None else np.argsort(rng.exponential(size=len(x)) / w)[:k]
+    c = x[np.sort(first)].astype(np.float64)
+    if weights is not None and len(x) <= k:
+        return c  # different rows, each its own mean
     for _ in range(iterations):
         near = np.concatenate([(((c * c).sum(1)[None] - 2 * x[lo : lo + 4096] @ c.T).argmin(1)) for lo in range(0, len(x), 4096)])
-        n = np.bincount(near, minlength=len(c))
-        total = np.stack([np.bincount(near, x[:, d], len(c)) for d in range(x.shape[1])], 1)
-        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
+        n = np.bincount(near, w, minlength=len(c))
+        total = np.stack([np.bincount(near, x[:, d] * w, len(c)) for d in range(x.shape[1])], 1)
+        c = np.where(n[:, None] > 0, total / np.where(n > 0, n, 1)[:, None], c)
     return c
 
 
 def kmeans_centroids(sample: DataFrame, k: int, iterations: int = 10, seed: int = 42, vec: str = "vec", direct: int = DIRECT) -> DataFrame:
-    """``(cid, centroid)`` by distributed k-means over a sample; at most as many as there are vectors.
+    """``(cid, centroid)`` by distributed k-means over a sample; at most as many as there are different vectors.
 
-    Beyond ``direct`` centroids the sample is cut into about as many clusters
-    as the root of ``k``, and each of them is cut again in a task of its own,
-    which holds the cluster's share of the sample.
+    Beyond ``direct`` centroids equal vectors are counted once, with their
+    number as weight. Where there are no more of them than centroids, they are
+    the centroids. Else they are cut into about as many clusters as the root of
+    ``k``, and each of these is cut again in a task of its own, which holds the
+    cluster's share of the different vectors.
     """
+    from .ordinals import dense_ordinal
+
     spark = sample.sparkSession
     if k <= direct:
         return spark.createDataFrame(_means(sample, k, iterations, seed, vec), "cid int, centroid array<double>")
+    counts = materialize(sample.groupBy(F.col(vec).alias("vec")).agg(F.count("*").alias("weight")), "different", options=DENSE)
+    if counts.count() <= k:
+        return dense_ordinal(counts, ["vec"], "cid").select(F.col("cid").cast("int").alias("cid"), F.col("vec").cast("array<double>").alias("centroid"))
     coarse = 1 << math.ceil(math.log2(math.sqrt(k)))
     fine = -(-k // coarse)
-    top = spark.createDataFrame(_means(sample, coarse, iterations, seed, vec), "cid int, centroid array<double>")
-    placed = ranked_centroids(sample.select(F.col(vec).alias("vec")), top, 1, ["vec"], with_centroid=False).select("cid", "vec")
+    top = spark.createDataFrame(_means(counts, coarse, iterations, seed, "vec", "weight"), "cid int, centroid array<double>")
+    placed = ranked_centroids(counts, top, 1, ["vec"], with_centroid=False).select("cid", "vec", "weight")
 
     def cut(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        c = lloyd(np.array(pdf["vec"].tolist(), np.float64), fine, iterations, seed + int(key[0]))
+        c = lloyd(np.array(pdf["vec"].tolist(), np.float64), fine, iterations, seed + int(key[0]), pdf["weight"].to_numpy())
         return pd.DataFrame({"cid": int(key[0]) * fine + np.arange(len(c)), "centroid": list(c)})
 
     return placed.groupBy("cid").applyInPandas(cut, "cid int, centroid array<double>")
@@ -113,33 +129,91 @@ def centroid_blocks(centroids: DataFrame) -> int:
 
 def held_centroids(centroids: DataFrame, block: int = 0, blocks: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Ids and matrix of one block of the centroids, in order of id."""
-    return _matrix(centroids.where(F.pmod("cid", F.lit(blocks)) == block).select("cid", "centroid").toPandas())  # blocks are made such that this is bounded
+    return _matrix(centroids.where(F.pmod("cid", F.lit(blocks)) == block).select("cid", "centroid").toArrow())  # blocks are made such that this is bounded
+
+
+def _matrix(c: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    c = c.sort_by("cid").combine_chunks()
+    return c["cid"].to_numpy().astype(np.int64), matrix(c["centroid"].combine_chunks()).astype(np.float64)
+
+
+def matrix(lists: pa.Array) -> np.ndarray:
+    """The rows of an array of lists of one length."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], lists.type)
+    if not len(lists):
+        return np.empty((0, 0))
+    sizes = lists.value_lengths()
+    if lists.null_count or len(sizes.unique()) > 1:
+        raise ValueError("vectors must be there and of one length")
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
 
+def byte_rows(column: pa.Array) -> np.ndarray:
+    """The rows of an array of byte strings of one length."""
+    if not len(column):
+        return np.empty((0, 0), np.uint8)
+    edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    if len(np.unique(np.diff(edges))) > 1:
+        raise ValueError("codes must be of one length")
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]].reshape(len(column), -1)
 
-def _matrix(c: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    c = c.sort_values("cid")
-    return c["cid"].to_numpy(np.int64), np.array(c["centroid"].tolist(), np.float64)
+
+def as_bytes(rows: np.ndarray) -> pa.Array:
+    """Byte strings from the rows of a matrix."""
+    rows = np.ascontiguousarray(rows, np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.py_buffer(rows.tobytes())])
+
+
+def different(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first of each different row, and which of these each row is like, bit by bit."""
+    bits = np.ascontiguousarray(x)
+    bits = bits.view(np.uint32 if bits.itemsize == 4 else np.uint64)
+    odd = np.random.default_rng(1).integers(1 << 63, size=bits.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    which, _ = pd.factorize((bits.astype(np.uint64) * odd).sum(1, dtype=np.uint64))
+    first = np.empty(which.max(initial=-1) + 1, np.int64)
+    first[which[::-1]] = np.arange(len(x))[::-1]
+    if not np.array_equal(bits[first][which], bits):  # two that share a hash
+        _, first, which = np.unique(bits, axis=0, return_index=True, return_inverse=True)
+    return first, which.ravel()
 
 
 def few_centroids(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
     """Ids and matrix where there are ``FEW`` centroids at most, read by one job; else none, and they are counted first."""
     few = min(FEW, MOST_CENTROIDS)
-    c = centroids.select("cid", "centroid").limit(few + 1).toPandas()
-    return _matrix(c) if len(c) <= few else None
+    c = centroids.select("cid", "centroid").limit(few + 1).toArrow()
+    return _matrix(c) if c.num_rows <= few else None
 
 
 def tile(mat: np.ndarray) -> int:
-    """Vectors a product is taken of at a time, such that it has four million cells at most."""
-    return max(1, 4_000_000 // max(1, len(mat)))
+    """Vectors a product is taken of at a time, such that it has a million cells at most."""
+    return max(1, 1_000_000 // max(1, len(mat)))
 
 
 def nearest(x: np.ndarray, mat: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of ``mat`` with the largest products with each row of ``x``, and the products; of equal ones the lower row comes first."""
-    sim = np.round(x @ mat.T, 6)
-    best = sim.argmax(1)[:, None] if k == 1 else np.argsort(-sim, axis=1, kind="stable")[:, :k]
+    sim = x @ mat.T
+    if k == 1:
+        top = sim.max(1)
+        # The first within a rounding of the best; where it is rounded to less, all are rounded.
+        best = (sim >= (top - 2e-6)[:, None]).argmax(1)
+        top = np.round(top, 6)
+        for i in np.flatnonzero(np.round(sim[np.arange(len(sim)), best], 6) != top):
+            best[i] = np.round(sim[i], 6).argmax()
+        return best[:, None], top[:, None]
+    sim = np.round(sim, 6)
+    best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
     return best, np.take_along_axis(sim, best, 1)
 
 
+def nearest_once(x: np.ndarray, mat: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``nearest``, looked for once for equal rows and by tiles."""
+    first, which = different(x)
+    x, step = x[first].astype(np.float64), tile(mat)
+    got = [nearest(x[lo : lo + step], mat, k) for lo in range(0, len(x), step)]
+    return np.concatenate([b for b, _ in got])[which], np.concatenate([s for _, s in got])[which]
+
+
 def ranked_centroids(vecs: DataFrame, centroids: DataFrame, keep: int, by: list[str], vec: str = "vec", with_centroid: bool = True) -> DataFrame:
     """``vecs`` with the ``keep`` centroids of largest dot product with each vector (cid, sim, probe, centroid), ties to the lower id.
 
@@ -152,6 +226,7 @@ def ranked_centroids(vecs: DataFrame, centroids: DataFrame, keep: int, by: list[
         raise ValueError(f"{by} must name columns of the vectors")
     kind = centroids.schema["cid"].dataType.simpleString()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols) + f", cid {kind}, sim double, probe int" + ", centroid array<double>" * with_centroid
+    number = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32()}.get(kind, pa.int64())
     small = few_centroids(centroids)
     blocks = 1 if small else centroid_blocks(centroids)
 
@@ -160,16 +235,20 @@ def ranked_centroids(vecs: DataFrame, centroids: DataFrame, keep: int, by: list[
 
         def run(batches):
             ids, mat = held.value
-            k, step = min(keep, len(ids)), tile(mat)
-            for pdf in batches:
-                for lo in range(0, len(pdf) if k else 0, step):
-                    part = pdf.iloc[lo : lo + step]
-                    best, sim = nearest(np.array(part[vec].tolist(), np.float64), mat, k)
-                    out = part[names].loc[part.index.repeat(k)].reset_index(drop=True)
-                    out = out.assign(cid=ids[best].ravel(), sim=sim.ravel(), probe=np.tile(np.arange(1, k + 1), len(part)))
-                    yield out.assign(centroid=list(mat[best.ravel()])) if with_centroid else out
-
-        return vecs.select(*names).mapInPandas(run, schema)
+            k, step = min(keep, len(ids)), max(1, 4_000_000 // max(1, mat.size))
+            for batch in batches:
+                if not k or not batch.num_rows:
+                    continue
+                all_best, all_sim = nearest_once(matrix(batch.column(vec)).astype(np.float64), mat, k)
+                for lo in range(0, batch.num_rows, step):
+                    part, best, sim = batch.slice(lo, step), all_best[lo : lo + step].ravel(), all_sim[lo : lo + step].ravel()
+                    row = pa.array(np.repeat(np.arange(part.num_rows), k))
+                    out = [part.column(n).take(row) for n in names] + [pa.array(ids[best]).cast(number), pa.array(sim), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), part.num_rows))]
+                    if with_centroid:
+                        out.append(pa.ListArray.from_arrays(np.arange(len(best) + 1, dtype=np.int32) * mat.shape[1], mat[best].ravel()))
+                    yield pa.RecordBatch.from_arrays(out, [*names, "cid", "sim", "probe", "centroid"][: len(out)])
+
+        return vecs.select(*names).mapInArrow(run, schema)
 
     out = one(0)
     for block in range(1, blocks):
@@ -183,12 +262,12 @@ def ranked_centroids(vecs: DataFrame, centroids: DataFrame, keep: int, by: list[
 def encode(vecs: DataFrame, centroids: DataFrame, parameters: DataFrame, nbits: int, vec: str = "vec") -> DataFrame:
     """``vecs`` with ``cid`` and ``packed``, by matrix products over Arrow batches.
 
-    Centroids and codec parameters go to every task; where the centroids are
+    A vector that a task has met before keeps its code. Centroids and codec
+    parameters go to every task; where the centroids are
     more than one block, the nearest are found block by block and the codes by
     column expressions. The other columns must then name a vector.
     """
-    spark = vecs.sparkSession
-    per = 8 // codec.check_bits(nbits)
+    codec.check_bits(nbits)
     cols = [f for f in vecs.schema.fields if f.name != vec]
     small = few_centroids(centroids)
     if not small and centroid_blocks(centroids) > 1:
@@ -197,26 +276,58 @@ def encode(vecs: DataFrame, centroids: DataFrame, parameters: DataFrame, nbits:
         codes = codec.quantize(vectors.minus(F.col(vec), F.col("centroid")), F.col("boundaries"))
         packed = F.unhex(F.array_join(F.transform(codec.pack(codes, nbits), lambda x: F.lpad(F.hex(x), 2, "0")), ""))
         return near.select(*[f.name for f in cols], F.col("cid").cast("int").alias("cid"), packed.alias("packed"))
-    ids, mat = small or held_centroids(centroids)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cols) + ", cid int, packed binary"
+    return vecs.mapInArrow(_encoding(vecs.sparkSession, small or held_centroids(centroids), parameters, nbits, [f.name for f in cols], vec), schema)
+
+
+def encode_texts(collection: DataFrame, encoder: Callable[[DataFrame], DataFrame], centroids: DataFrame, parameters: DataFrame, nbits: int) -> DataFrame:
+    """Codes (ordinal, pid, pos, cid, packed) of texts (ordinal, pid, text); vectors stay in the task's Python where the encoder has a ``run``."""
+    small = few_centroids(centroids) if hasattr(encoder, "run") else None
+    if not hasattr(encoder, "run") or not small and centroid_blocks(centroids) > 1:
+        return encode(encoder(collection), centroids, parameters, nbits)
+    code, make = _encoding(collection.sparkSession, small or held_centroids(centroids), parameters, nbits, ["ordinal", "pid", "pos"], "vec"), encoder.run
+    return collection.select("ordinal", "pid", "text").mapInArrow(lambda batches: code(make(batches)), "ordinal long, pid string, pos int, cid int, packed binary")
+
+
+def _encoding(spark: SparkSession, centroids: tuple[np.ndarray, np.ndarray], parameters: DataFrame, nbits: int, cols: list[str], vec: str) -> Callable:
+    """From Arrow batches of vectors to such of their codes."""
+    per = 8 // codec.check_bits(nbits)
     p = parameters.select("boundaries").first()
-    held = spark.sparkContext.broadcast((ids, mat, np.array(p["boundaries"], np.float64)))
+    held = spark.sparkContext.broadcast((*centroids, np.array(p["boundaries"], np.float64)))
 
-    def run(batches):
+    def codes_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ids, mat, edges = held.value
-        step = tile(mat)
-        for whole in batches:
-            for lo in range(0, len(whole), step):
-                pdf = whole.iloc[lo : lo + step]
-                x = np.array(pdf[vec].tolist(), np.float64)
-                best = nearest(x, mat, 1)[0][:, 0]
-                codes = ((x - mat[best])[:, :, None] > edges[None]).sum(2)
-                codes = np.pad(codes, ((0, 0), (0, -codes.shape[1] % per)))
-                shift = (np.arange(per) * nbits)[None, None]
-                packed = (codes.reshape(len(pdf), -1, per) << shift).sum(2).astype(np.uint8)
-                yield pd.DataFrame({**{f.name: pdf[f.name] for f in cols}, "cid": ids[best], "packed": [r.tobytes() for r in packed]})
+        cids, packs = [], []
+        for lo in range(0, len(x), step := tile(mat)):
+            part = x[lo : lo + step].astype(np.float64)
+            best = nearest(part, mat, 1)[0][:, 0]
+            codes = ((part - mat[best])[:, :, None] > edges[None]).sum(2)
+            codes = np.pad(codes, ((0, 0), (0, -codes.shape[1] % per)))
+            shift = (np.arange(per) * nbits)[None, None]
+            cids.append(ids[best])
+            packs.append((codes.reshape(len(part), -1, per) << shift).sum(2).astype(np.uint8))
+        return np.concatenate(cids).astype(np.int32), np.concatenate(packs)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cols) + ", cid int, packed binary"
-    return vecs.mapInPandas(run, schema)
+    def run(batches):
+        at: dict[bytes, int] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = matrix(batch.column(vec))
+            first, which = different(x)
+            keys = [r.tobytes() for r in x[first]]
+            if not at or len(at) > MOST_HELD:
+                at, cids, packs = {}, np.empty(0, np.int32), None
+            new = [i for i, key in enumerate(keys) if key not in at]
+            if new:
+                base = len(at)
+                at.update((keys[i], base + n) for n, i in enumerate(new))
+                c, p = codes_of(x[first[new]])
+                cids, packs = np.concatenate([cids, c]), p if packs is None else np.concatenate([packs, p])
+            own = np.array([at[key] for key in keys])[which]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in cols], pa.array(cids[own]), as_bytes(packs[own])], [*cols, "cid", "packed"])
+
+    return run
 
 
 def decode(codes: DataFrame, centroids: DataFrame, parameters: DataFrame, nbits: int) -> DataFrame:
@@ -232,8 +343,19 @@ def decode(codes: DataFrame, centroids: DataFrame, parameters: DataFrame, nbits:
 
 def inverted_lists(codes: DataFrame, per_block: int = 1 << 20) -> DataFrame:
     """``(cid, block, emb_ids)``: ascending embedding ids by centroid, in blocks of bounded size."""
-    block = F.floor(F.col("emb_id") / per_block).cast("long").alias("block")
-    return codes.groupBy("cid", block).agg(F.array_sort(F.collect_list("emb_id")).alias("emb_ids"))
+    kinds = {f.name: f.dataType.simpleString() for f in codes.schema.fields}
+
+    def gather(batches):
+        for batch in batches:
+            cid, emb = (batch.column(c).to_numpy() for c in ("cid", "emb_id"))
+            order = np.lexsort((emb, cid))
+            cid, emb = cid[order], emb[order]
+            block = emb // per_block
+            edge = np.append(np.flatnonzero(np.append(True, (np.diff(cid) != 0) | (np.diff(block) != 0))), len(cid)) if len(cid) else np.zeros(1, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cid[edge[:-1]]), pa.array(block[edge[:-1]].astype(np.int64)), pa.ListArray.from_arrays(edge.astype(np.int32), emb)], ["cid", "block", "emb_ids"])
+
+    some = codes.select("cid", "emb_id").where(F.col("cid").isNotNull() & F.col("emb_id").isNotNull()).mapInArrow(gather, f"cid {kinds['cid']}, block long, emb_ids array<{kinds['emb_id']}>")
+    return some.groupBy("cid", "block").agg(F.array_sort(F.flatten(F.collect_list("emb_ids"))).alias("emb_ids"))
 
 
 def doc_offsets(docs: DataFrame) -> DataFrame:
@@ -309,12 +431,90 @@ def learn(vecs: DataFrame, k: int, nbits: int, path: str, iterations: int = 10,
 def write_codes(vecs: DataFrame, path: str, nbits: int) -> None:
     """Write ``by_doc`` from vectors (ordinal, pid, pos, vec), in one narrow pass; positions count from 0."""
     spark = vecs.sparkSession
-    codes = encode(vecs, spark.read.parquet(f"{path}/centroids"), spark.read.parquet(f"{path}/parameters"), nbits)
-    codes.write.mode("overwrite").parquet(f"{path}/by_doc")
+    _write_codes(encode(vecs, spark.read.parquet(f"{path}/centroids"), spark.read.parquet(f"{path}/parameters"), nbits), path)
+
+
+def _write_codes(codes: DataFrame, path: str) -> None:
+    codes.write.mode("overwrite").options(**DENSE).parquet(f"{path}/by_doc")
+
+
+def doc_runs(by_doc: DataFrame) -> DataFrame:
+    """``(ordinal, pid, pos, cid, packed)``: a row for tokens of a document that follow one another in the codes by document, with byte strings of their positions, centroids and codes."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ordinal = batch.column("ordinal").to_numpy()
+            pos, cid = (batch.column(c).to_numpy().astype(np.int32) for c in ("pos", "cid"))
+            packed = byte_rows(batch.column("packed"))
+            edge = np.append(np.flatnonzero(np.append(True, np.diff(ordinal) != 0)), len(ordinal))
+            parts = [[a[lo:hi].tobytes() for lo, hi in zip(edge[:-1], edge[1:])] for a in (pos, cid, packed)]
+            yield pa.RecordBatch.from_arrays([batch.column("ordinal").take(pa.array(edge[:-1])), batch.column("pid").take(pa.array(edge[:-1])), *[pa.array(p, pa.binary()) for p in parts]], ["ordinal", "pid", "pos", "cid", "packed"])
+
+    return by_doc.select("ordinal", "pid", "pos", "cid", "packed").mapInArrow(run, "ordinal long, pid string, pos binary, cid binary, packed binary")
+
+
+def _squeezed(a: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, the first bytes of all before the second ones."""
+    return pa.compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _loosened(b: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(b, n * size, "zstd", asbytes=True), np.uint8).reshape(size, n).T.copy().view(kind).ravel()
+
+
+def _by_centroid(runs: DataFrame, salts: int) -> DataFrame:
+    """Tokens of runs of documents (ordinal, emb_start, pos, cid, packed) put together by centroid, batch by batch."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pos, cid = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32) for c in ("pos", "cid"))
+            n = np.array([len(x) // 4 for x in batch.column("pos").to_pylist()])
+            packed = np.frombuffer(b"".join(batch.column("packed").to_pylist()), np.uint8).reshape(len(pos), -1)
+            ordinal, start = (np.repeat(batch.column(c).to_numpy(), n) for c in ("ordinal", "emb_start"))
+            emb = start + pos
+            order = np.lexsort((emb, cid))
+            ordinal, emb, pos, cid, packed = ordinal[order], emb[order], pos[order], cid[order], packed[order]
+            edge = np.append(np.flatnonzero(np.append(True, np.diff(cid) != 0)), len(cid))
+            at = cid[edge[:-1]]
+            cols = [[_squeezed(a[lo:hi]) for lo, hi in zip(edge[:-1], edge[1:])] for a in (ordinal, emb, pos)]
+            codes = [pa.compress(np.ascontiguousarray(packed[lo:hi].T).tobytes(), codec="zstd", asbytes=True) for lo, hi in zip(edge[:-1], edge[1:])]
+            salt = ((emb[edge[:-1]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % salts
+            yield pa.RecordBatch.from_arrays([pa.array((at % BUCKETS).astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array(at), pa.array(np.diff(edge).astype(np.int32)), pa.array(np.full(len(at), packed.shape[1], np.int32)), *[pa.array(c, pa.binary()) for c in (*cols, codes)]], ["bucket", "salt", "cid", "n", "width", "ordinal", "emb_id", "pos", "packed"])
+
+    return runs.select("ordinal", "emb_start", "pos", "cid", "packed").mapInArrow(run, "bucket int, salt int, cid int, n int, width int, ordinal binary, emb_id binary, pos binary, packed binary")
+
+
+def _tokens(chunks: DataFrame) -> DataFrame:
+    """What ``_by_centroid`` put together, a row a token again, in the same order."""
+
+    def run(batches):
+        for batch in batches:
+            rows, lo = batch.to_pylist(), 0
+            while lo < len(rows):
+                hi, size = lo, 0
+                while hi < len(rows) and (hi == lo or size + rows[hi]["n"] <= 100_000):
+                    size, hi = size + rows[hi]["n"], hi + 1
+                part, lo = rows[lo:hi], hi
+                n = [r["n"] for r in part]
+                ordinal, emb, pos = (np.concatenate([_loosened(r[c], r["n"], kind) for r in part]) for c, kind in (("ordinal", np.int64), ("emb_id", np.int64), ("pos", np.int32)))
+                packed = np.concatenate([np.frombuffer(pa.decompress(r["packed"], r["n"] * r["width"], "zstd", asbytes=True), np.uint8).reshape(r["width"], r["n"]).T for r in part])
+                cid, bucket = (np.repeat(np.array([r[c] for r in part], np.int32), n) for c in ("cid", "bucket"))
+                yield pa.RecordBatch.from_arrays([pa.array(ordinal), pa.array(pos), pa.array(cid), as_bytes(packed), pa.array(emb), pa.array(bucket)], ["ordinal", "pos", "cid", "packed", "emb_id", "bucket"])
+
+    return chunks.mapInArrow(run, "ordinal long, pos int, cid int, packed binary, emb_id long, bucket int")
 
 
 def write_lists(collection: DataFrame, path: str) -> None:
-    """Write ``docs``, ``codes`` and ``lists`` from ``by_doc``. ``collection``: ordinal, pid."""
+    """Write ``docs``, ``codes`` and ``lists`` from ``by_doc``. ``collection``: ordinal, pid.
+
+    Tokens move as byte strings, by document to their first embedding and by
+    centroid to their folder.
+    """
     spark = collection.sparkSession
     by_doc = spark.read.parquet(f"{path}/by_doc")
     lens = by_doc.groupBy("ordinal").agg(F.count("*").alias("doclen"))
@@ -322,11 +522,11 @@ def write_lists(collection: DataFrame, path: str) -> None:
     starts = doc_offsets(docs.select(F.col("ordinal").alias("doc_idx"), "doclen")).select(F.col("doc_idx").alias("ordinal"), "emb_start")
     docs.join(starts, "ordinal").write.mode("overwrite").parquet(f"{path}/docs")
     starts = spark.read.parquet(f"{path}/docs").select("ordinal", "emb_start")
-    placed = by_doc.join(starts, "ordinal").select("ordinal", "pos", "cid", "packed", (F.col("emb_start") + F.col("pos")).alias("emb_id"), F.pmod("cid", F.lit(BUCKETS)).alias("bucket"))
     # As many files of a bucket as the shuffle is wide, so that no task writes a whole bucket of a large index.
-    salt = F.pmod(F.xxhash64("ordinal"), F.lit(max(1, width(spark) // BUCKETS)))
-    placed.repartition("bucket", salt).sortWithinPartitions("bucket", "cid", "ordinal", "pos").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/codes")
-    inverted_lists(read_codes(spark, path).select("cid", "emb_id")).write.mode("overwrite").parquet(f"{path}/lists")
+    placed = _by_centroid(doc_runs(by_doc).join(starts, "ordinal"), max(1, width(spark) // BUCKETS))
+    placed = placed.repartition("bucket", "salt").sortWithinPartitions("bucket", "cid")
+    _tokens(placed).sortWithinPartitions("bucket", "cid", "ordinal", "pos").write.mode("overwrite").options(**DENSE).partitionBy("bucket").parquet(f"{path}/codes")
+    inverted_lists(read_codes(spark, path).select("cid", "emb_id")).write.mode("overwrite").options(**DENSE).parquet(f"{path}/lists")
 
 
 def read_codes(spark: SparkSession, path: str) -> DataFrame:
@@ -353,7 +553,7 @@ def build_index(spark: SparkSession, collection: DataFrame, encoder: Callable[[D
     if done is None:
         n = collection.count()
         few = n_sampled_docs(n, fraction)
-        sample = materialize(encoder(sample_exact(collection, "pid", few, seed)).select("pid", "pos", "vec"), "sample")
+        sample = materialize(encoder(sample_exact(collection, "pid", few, seed)).select("pid", "pos", "vec"), "sample", options=DENSE)
         rows = sample.count()
         k = max(1, min(n_centroids(max(1, rows) / max(1, min(n, few)) * n), rows))
         learn(sample, k, nbits, path, iterations, seed, residual_sample, int((settings or {}).get("dim", 1)), trainer)
@@ -361,7 +561,7 @@ def build_index(spark: SparkSession, collection: DataFrame, encoder: Callable[[D
         _set_state(path, fingerprint=mark, stage="centroids")
         done = "centroids"
     if done == "centroids":
-        write_codes(encoder(collection), path, nbits)
+        _write_codes(encode_texts(collection, encoder, spark.read.parquet(f"{path}/centroids"), spark.read.parquet(f"{path}/parameters"), nbits), path)
         _set_state(path, fingerprint=mark, stage="codes")
         done = "codes"
     if done == "codes":

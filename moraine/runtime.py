@@ -59,15 +59,18 @@ def shared_dir(spark: SparkSession) -> str:
     return got.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str = "step", by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, tag: str = "step", by: str | None = None, options: dict | None = None) -> DataFrame:
     """Write ``df`` once into the shared folder, in folders ``by`` the values of a column, and read it back.
 
+    ``options`` are the writer's.
+
     Cuts the lineage: a lost executor costs a re-read, not a recomputation,
     and consumers that use the result twice do not compute it twice.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    writer = df.write.options(**(options or {}))
+    (writer.partitionBy(by) if by else writer).parquet(path)
     if os.path.isdir(path.removeprefix("file://")):
         _OWN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
