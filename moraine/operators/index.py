@@ -341,6 +341,39 @@ def decode(codes: DataFrame, centroids: DataFrame, parameters: DataFrame, nbits:
     return j.withColumn("vec", vectors.plus(F.col("centroid"), value)).drop("centroid", "bucket_values")
 
 
+def code_cosines(collection: DataFrame, by_doc: DataFrame, encode: Callable[[list[str]], list[np.ndarray]], centroids: DataFrame, parameters: DataFrame, nbits: int, batch: int = 32) -> DataFrame:
+    """``(pid, pos, cosine)``: cosine of each token's vector, encoded again, with what the codes by document give back.
+
+    ``collection``: ordinal, pid, text. The codes of a document move to its
+    text as byte strings; vectors never leave the task that makes them.
+    """
+    per = 8 // codec.check_bits(nbits)
+    values = parameters.select("bucket_values").first()[0]
+    held = collection.sparkSession.sparkContext.broadcast((*held_centroids(centroids), np.array(values, np.float64)))
+
+    def run(batches):
+        ids, mat, values = held.value
+        dim = np.arange(mat.shape[1])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, batch):
+                part = whole.slice(lo, batch)
+                mats = [np.asarray(m, np.float64) for m in encode([t or "" for t in part.column("text").to_pylist()])]
+                # A row of codes may hold a part of its document.
+                pos = [np.frombuffer(b, np.int32) for b in part.column("pos").to_pylist()]
+                n = [len(p) for p in pos]
+                own = np.concatenate([m[p] for m, p in zip(mats, pos)])
+                cid = np.searchsorted(ids, np.frombuffer(b"".join(part.column("cid").to_pylist()), np.int32))
+                packed = np.frombuffer(b"".join(part.column("packed").to_pylist()), np.uint8).reshape(len(cid), -1)
+                codes = ((packed[:, :, None] >> (np.arange(per) * nbits)[None, None]) & ((1 << nbits) - 1)).reshape(len(cid), -1)[:, : mat.shape[1]]
+                back = mat[cid] + values[dim[None], codes]
+                size = np.sqrt((own * own).sum(1)) * np.sqrt((back * back).sum(1))
+                cosine = np.round((own * back).sum(1) / np.maximum(size, 1e-12), 6)
+                yield pa.RecordBatch.from_arrays([part.column("pid").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.concatenate(pos)), pa.array(cosine)], ["pid", "pos", "cosine"])
+
+    runs = doc_runs(by_doc).drop("ordinal")
+    return collection.select("pid", "text").join(runs, "pid").select("pid", "text", "pos", "cid", "packed").mapInArrow(run, "pid string, pos int, cosine double")
+
+
 def inverted_lists(codes: DataFrame, per_block: int = 1 << 20) -> DataFrame:
     """``(cid, block, emb_ids)``: ascending embedding ids by centroid, in blocks of bounded size."""
     kinds = {f.name: f.dataType.simpleString() for f in codes.schema.fields}

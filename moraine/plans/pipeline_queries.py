@@ -60,8 +60,11 @@ def index_decode(spark: SparkSession, d: str) -> DataFrame:
     """Cosine of each encoded token with what the codes give back."""
     path = _built(spark, d)
     cen, par = spark.read.parquet(path + "/centroids"), spark.read.parquet(path + "/parameters")
-    back = I.decode(spark.read.parquet(path + "/by_doc"), cen, par, 2).select("pid", "pos", F.col("vec").alias("decoded"))
-    own = encoder(hashed_words(longest=Config().doc_maxlen))(_collection(spark, d))
+    by_doc, encode = spark.read.parquet(path + "/by_doc"), hashed_words(longest=Config().doc_maxlen)
+    if I.centroid_blocks(cen) == 1:
+        return I.code_cosines(_collection(spark, d), by_doc, encode, cen, par, 2)
+    back = I.decode(by_doc, cen, par, 2).select("pid", "pos", F.col("vec").alias("decoded"))
+    own = encoder(encode)(_collection(spark, d))
     return own.join(back, ["pid", "pos"]).select("pid", "pos", F.round(vectors.cosine(F.col("vec"), F.col("decoded")), 6).alias("cosine"))
 
 

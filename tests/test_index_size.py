@@ -1,6 +1,10 @@
 """Work that is done once for equal vectors, and tokens that move as byte strings."""
 
 import numpy as np
+from conftest import rows
+from pyspark.sql import functions as F
+
+from moraine.functions import vectors
 from moraine.functions.encoders import encoder, hashed_words
 from moraine.operators import index as I
 
@@ -39,8 +43,13 @@ def test_index_of_repeated_words(spark, tmp_path):
     col, path, encode = _collection(spark), str(tmp_path / "index"), hashed_words(8)
     meta = I.build_index(spark, col, encoder(encode), path, iterations=2)
     assert meta["n_embeddings"] == 1800
-    by_doc = spark.read.parquet(f"{path}/by_doc")
+    by_doc, cen, par = (spark.read.parquet(f"{path}/{t}") for t in ("by_doc", "centroids", "parameters"))
     start = {r.ordinal: r.emb_start for r in spark.read.parquet(path + "/docs").collect()}
     own = {(r.ordinal, r.pos, r.cid, bytes(r.packed), start[r.ordinal] + r.pos, r.cid % I.BUCKETS) for r in by_doc.collect()}
     codes = I.read_codes(spark, path).select("ordinal", "pos", "cid", "packed", "emb_id", "bucket").collect()
     assert len(codes) == 1800 and {(*r[:3], bytes(r[3]), *r[4:]) for r in codes} == own
+    back = I.decode(by_doc, cen, par, 2).select("pid", "pos", F.col("vec").alias("decoded"))
+    want = encoder(encode)(col).join(back, ["pid", "pos"]).select("pid", "pos", F.round(vectors.cosine(F.col("vec"), F.col("decoded")), 5))
+    got = I.code_cosines(col, by_doc, encode, cen, par, 2).select("pid", "pos", F.round("cosine", 5))
+    assert [r[:2] for r in rows(got)] == [r[:2] for r in rows(want)]
+    assert np.allclose([r[2] for r in rows(got)], [r[2] for r in rows(want)], atol=2e-5)
