@@ -391,6 +391,64 @@ def inverted_lists(codes: DataFrame, per_block: int = 1 << 20) -> DataFrame:
     return some.groupBy("cid", "block").agg(F.array_sort(F.flatten(F.collect_list("emb_ids"))).alias("emb_ids"))
 
 
+def list_totals(lists: DataFrame, span: int = 1 << 20, most: int = 64) -> DataFrame:
+    """One row ``(n, n_different, least, greatest, n_unsorted)`` of inverted lists (emb_ids): entries, different ones, the least and the greatest, and lists out of order.
+
+    Different entries are counted as bits, ``span`` entries to a string, which
+    tasks put together for at most ``most`` spans at a time.
+    """
+
+    def mark(batches):
+        bits: dict[int, np.ndarray] = {}
+        n = unsorted = 0
+        ends: list[int] = []
+        sums = lambda: pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([n]), pa.array([min(ends, default=None)], pa.int64()), pa.array([max(ends, default=None)], pa.int64()), pa.array([unsorted])], names)
+        names = ["span", "bits", "n", "least", "greatest", "n_unsorted"]
+
+        def flush():
+            none = pa.nulls(len(bits), pa.int64())
+            out = pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int64()), pa.array([pa.compress(np.packbits(b).tobytes(), codec="zstd", asbytes=True) for b in bits.values()], pa.binary()), none, none, none, none], names)
+            bits.clear()
+            return out
+
+        for batch in batches:
+            lists = batch.column("emb_ids")
+            e = lists.flatten().to_numpy().astype(np.int64)
+            edge = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy()))
+            n += len(e)
+            if not len(e):
+                continue
+            ends[:] = [min([*ends, int(e.min())]), max([*ends, int(e.max())])]
+            falls = np.append(0, np.cumsum(np.append(False, np.diff(e) < 0)))
+            full = np.diff(edge) > 0
+            unsorted += int((falls[edge[1:][full]] - falls[edge[:-1][full] + 1] > 0).sum())
+            place = e // span
+            order = np.argsort(place, kind="stable")
+            e, place = e[order], place[order]
+            cut = np.append(np.flatnonzero(np.append(True, np.diff(place) != 0)), len(e))
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                k = int(place[lo])
+                if k not in bits:
+                    if len(bits) >= most:
+                        yield flush()
+                    bits[k] = np.zeros(span, bool)
+                bits[k][e[lo:hi] - k * span] = True
+        if bits:
+            yield flush()
+        yield sums()
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        have = np.zeros(span // 8, np.uint8)
+        for b in pdf["bits"]:
+            have |= np.frombuffer(pa.decompress(b, span // 8, "zstd", asbytes=True), np.uint8)
+        return pd.DataFrame({"n_different": [int(np.unpackbits(have).sum())]})
+
+    marks = materialize(lists.select("emb_ids").mapInArrow(mark, "span long, bits binary, n long, least long, greatest long, n_unsorted long"), "marks")
+    each = marks.where("span IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.sum("n_unsorted").alias("n_unsorted"))
+    apart = marks.where("span IS NOT NULL").select("span", "bits").groupBy("span").applyInPandas(count, "n_different long")
+    return each.crossJoin(F.broadcast(apart.agg(F.coalesce(F.sum("n_different"), F.lit(0)).alias("n_different")))).select("n", "n_different", "least", "greatest", "n_unsorted")  # one row
+
+
 def doc_offsets(docs: DataFrame) -> DataFrame:
     """``(doc_idx, doclen, emb_start)``; running sums are taken over ranges of documents, then within each."""
     span = F.floor(F.col("doc_idx") / 100_000).cast("long")

@@ -50,10 +50,7 @@ def index_build(spark: SparkSession, d: str) -> DataFrame:
 
 def index_lists(spark: SparkSession, d: str) -> DataFrame:
     """What the inverted lists hold: entries, different ones, the least and the greatest, and lists out of order."""
-    lists = spark.read.parquet(_built(spark, d) + "/lists")
-    unsorted = (F.array_sort("emb_ids") != F.col("emb_ids")).cast("int")
-    each = lists.select(F.explode("emb_ids").alias("e")).agg(F.count("*").alias("n"), F.count_distinct("e").alias("n_different"), F.min("e").alias("least"), F.max("e").alias("greatest"))
-    return each.withColumn("n_unsorted", lists.agg(F.sum(unsorted)).scalar())
+    return I.list_totals(spark.read.parquet(_built(spark, d) + "/lists"))
 
 
 def index_decode(spark: SparkSession, d: str) -> DataFrame:

@@ -53,3 +53,10 @@ def test_index_of_repeated_words(spark, tmp_path):
     got = I.code_cosines(col, by_doc, encode, cen, par, 2).select("pid", "pos", F.round("cosine", 5))
     assert [r[:2] for r in rows(got)] == [r[:2] for r in rows(want)]
     assert np.allclose([r[2] for r in rows(got)], [r[2] for r in rows(want)], atol=2e-5)
+
+
+def test_totals_of_lists(spark):
+    lists = [[3, 5, 9], [9, 5], [], [1 << 40, (1 << 40) + 1], [7], [6, 8, 7], [9]]
+    got = I.list_totals(spark.createDataFrame([(x,) for x in lists], "emb_ids array<long>"), span=64, most=1).first()
+    assert tuple(got) == (12, 8, 3, (1 << 40) + 1, 2)
+    assert tuple(I.list_totals(spark.createDataFrame([], "emb_ids array<long>")).first())[:4] == (0, 0, None, None)
