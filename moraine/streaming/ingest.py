@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.index import encode
+from ..operators.index import DENSE, encode_texts
 from ..runtime import file_system
 
 
@@ -25,8 +25,8 @@ def ingest(spark: SparkSession, source: str, schema: StructType, to_collection:
     # A file stream watches a folder; a table in one file is a folder with a filter.
     fs, at = file_system(spark, source)
     stream = reader.parquet(source) if fs.getFileStatus(at).isDirectory() else reader.option("pathGlobFilter", name).parquet(head)
-    codes = encode(encoder(to_collection(stream)), centroids, parameters, nbits)
-    run = codes.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    codes = encode_texts(to_collection(stream), encoder, centroids, parameters, nbits)
+    run = codes.writeStream.format("parquet").options(**DENSE).option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return sum(int(p["numInputRows"]) for p in run.recentProgress)
 

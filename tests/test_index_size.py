@@ -60,3 +60,15 @@ def test_totals_of_lists(spark):
     got = I.list_totals(spark.createDataFrame([(x,) for x in lists], "emb_ids array<long>"), span=64, most=1).first()
     assert tuple(got) == (12, 8, 3, (1 << 40) + 1, 2)
     assert tuple(I.list_totals(spark.createDataFrame([], "emb_ids array<long>")).first())[:4] == (0, 0, None, None)
+
+
+def test_stream_draws_words_once_and_codes_as_the_index(spark, tmp_path):
+    from moraine.streaming.ingest import as_collection, ingest
+
+    docs = spark.createDataFrame([(str(i), "a b a c " * 5) for i in range(12)], "qid string, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "in"))
+    col, path, enc = as_collection(docs, "qid"), str(tmp_path / "index"), encoder(hashed_words(8))
+    I.build_index(spark, col, enc, path, iterations=2)
+    ingest(spark, str(tmp_path / "in"), docs.schema, lambda df: as_collection(df, "qid"), enc, spark.read.parquet(path + "/centroids"), spark.read.parquet(path + "/parameters"), 2, str(tmp_path / "out"), str(tmp_path / "cp"))
+    take = lambda p: rows(spark.read.parquet(p).select("pid", "pos", "cid", "packed"))
+    assert take(str(tmp_path / "out")) == take(path + "/by_doc")
