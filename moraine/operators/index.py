@@ -357,14 +357,17 @@ def code_cosines(collection: DataFrame, by_doc: DataFrame, encode: Callable[[lis
         for whole in batches:
             for lo in range(0, whole.num_rows, batch):
                 part = whole.slice(lo, batch)
-                mats = [np.asarray(m, np.float64) for m in encode([t or "" for t in part.column("text").to_pylist()])]
-                # A row of codes may hold a part of its document.
+                mats = [np.asarray(m, np.float64).reshape(-1, len(dim)) for m in encode([t or "" for t in part.column("text").to_pylist()])]
+                # A row of codes may hold a part of its document, or belong to another text of its name.
                 pos = [np.frombuffer(b, np.int32) for b in part.column("pos").to_pylist()]
+                there = np.concatenate([p < len(m) for m, p in zip(mats, pos)])
+                pos = [p[p < len(m)] for m, p in zip(mats, pos)]
                 n = [len(p) for p in pos]
                 own = np.concatenate([m[p] for m, p in zip(mats, pos)])
                 cid = np.searchsorted(ids, np.frombuffer(b"".join(part.column("cid").to_pylist()), np.int32))
                 packed = np.frombuffer(b"".join(part.column("packed").to_pylist()), np.uint8).reshape(len(cid), -1)
-                codes = ((packed[:, :, None] >> (np.arange(per) * nbits)[None, None]) & ((1 << nbits) - 1)).reshape(len(cid), -1)[:, : mat.shape[1]]
+                cid, packed = cid[there], packed[there]
+                codes = ((packed[:, :, None] >> (np.arange(per) * nbits)[None, None]) & ((1 << nbits) - 1)).reshape(len(cid), packed.shape[1] * per)[:, : len(dim)]
                 back = mat[cid] + values[dim[None], codes]
                 size = np.sqrt((own * own).sum(1)) * np.sqrt((back * back).sum(1))
                 cosine = np.round((own * back).sum(1) / np.maximum(size, 1e-12), 6)
