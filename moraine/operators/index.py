@@ -95,16 +95,16 @@ def lloyd(x: np.ndarray, k: int, iterations: int, seed: int, weights: np.ndarray
 def kmeans_centroids(sample: DataFrame, k: int, iterations: int = 10, seed: int = 42, vec: str = "vec", direct: int = DIRECT) -> DataFrame:
     """``(cid, centroid)`` by distributed k-means over a sample; at most as many as there are different vectors.
 
-    Beyond ``direct`` centroids equal vectors are counted once, with their
-    number as weight. Where there are no more of them than centroids, they are
-    the centroids. Else they are cut into about as many clusters as the root of
+    Where there are no more different vectors than centroids, they are the
+    centroids. Beyond ``direct`` centroids equal vectors are counted once, with
+    their number as weight; they are cut into about as many clusters as the root of
     ``k``, and each of these is cut again in a task of its own, which holds the
     cluster's share of the different vectors.
     """
     from .ordinals import dense_ordinal
 
     spark = sample.sparkSession
-    if k <= direct:
+    if k <= direct and sample.select(vec).distinct().limit(k + 1).count() > k:
         return spark.createDataFrame(_means(sample, k, iterations, seed, vec), "cid int, centroid array<double>")
     counts = materialize(sample.groupBy(F.col(vec).alias("vec")).agg(F.count("*").alias("weight")), "different", options=DENSE)
     if counts.count() <= k:

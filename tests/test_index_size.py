@@ -55,6 +55,14 @@ def test_index_of_repeated_words(spark, tmp_path):
     assert np.allclose([r[2] for r in rows(got)], [r[2] for r in rows(want)], atol=2e-5)
 
 
+def test_two_texts_of_one_name_are_compared_by_place(spark, tmp_path):
+    col, path, encode = spark.createDataFrame([(1, "D", "a b c d"), (1, "D", "a e"), (2, "E", "")], "ordinal long, pid string, text string"), str(tmp_path / "index"), hashed_words(8)
+    I.build_index(spark, col, encoder(encode), path, iterations=2)
+    by_doc, cen, par = (spark.read.parquet(f"{path}/{t}") for t in ("by_doc", "centroids", "parameters"))
+    got = rows(I.code_cosines(col, by_doc, encode, cen, par, 2).select("pid", "pos"))
+    assert got == rows(encoder(encode)(col).join(by_doc.select("pid", "pos"), ["pid", "pos"]).select("pid", "pos")) and len(got) == 10
+
+
 def test_totals_of_lists(spark):
     lists = [[3, 5, 9], [9, 5], [], [1 << 40, (1 << 40) + 1], [7], [6, 8, 7], [9]]
     got = I.list_totals(spark.createDataFrame([(x,) for x in lists], "emb_ids array<long>"), span=64, most=1).first()
